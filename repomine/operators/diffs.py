@@ -12,15 +12,13 @@ from repomine.operators.history import parent_columns
 from repomine.schemas import COMMIT_KEY, commit_key
 
 
-def _change_type() -> Column:
-    return F.when(F.col("old").isNull(), "ADD").when(F.col("new").isNull(), "DELETE").otherwise("MODIFY")
-
-
 def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
     """Changed paths of every commit that has a parent; a rename is a DELETE and an ADD.
 
-    Each commit asks for two trees, its own and its parent's. The trees are shuffled once to answer, and the
-    answers are grouped by path. Adaptive execution splits the join for a commit with a huge tree.
+    Each commit asks for two trees, its own and its parent's. The trees are shuffled once to answer;
+    adaptive execution splits that join for a commit with a huge tree. The answers are shuffled once by
+    path, where entries that are equal on both sides cancel first and the rest is named. No map-side
+    combine is asked for: the two sides of a path rarely meet before the shuffle.
     """
     asked = parent_columns(commits).where(~F.col("is_root")).select(
         "repo_id",
@@ -33,13 +31,22 @@ def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
         ).alias("tree"),
     )
     asked = asked.select("repo_id", "tree.hash", "child", "tree.is_new")
-    state = F.struct("mode", "blob_id")
-    sides = trees.join(asked, COMMIT_KEY).groupBy("repo_id", F.col("child").alias("hash"), "path").agg(
-        F.max(F.when(~F.col("is_new"), state)).alias("old"),
-        F.max(F.when(F.col("is_new"), state)).alias("new"),
+    entry = ["repo_id", "child", "path"]
+    sides = trees.join(asked, COMMIT_KEY).select(*entry, "mode", "blob_id", "is_new").repartition(*entry)
+    # Boolean aggregates keep both steps hash aggregations; a max over the entry itself would sort.
+    states = sides.groupBy(*entry, "mode", "blob_id").agg(
+        F.bool_or("is_new").alias("new"), F.bool_or(~F.col("is_new")).alias("old")
+    )
+    changed = states.where(~(F.col("new") & F.col("old"))).groupBy(*entry).agg(
+        F.bool_or("new").alias("new"), F.bool_or("old").alias("old")
     )
-    changed = sides.where(~F.col("old").eqNullSafe(F.col("new")))
-    return changed.select("repo_id", "hash", "path", _change_type().alias("change_type"))
+    return changed.select(
+        "repo_id", F.col("child").alias("hash"), "path", _change_type(F.col("old"), F.col("new"))
+    )
+
+
+def _change_type(old: Column, new: Column) -> Column:
+    return F.when(~old, "ADD").when(~new, "DELETE").otherwise("MODIFY").alias("change_type")
 
 
 def tree_diff_joined(commits: DataFrame, trees: DataFrame) -> DataFrame:
@@ -51,7 +58,9 @@ def tree_diff_joined(commits: DataFrame, trees: DataFrame) -> DataFrame:
     old = parents.join(edges, ["repo_id", "parent"]).select(*COMMIT_KEY, "path", "old")
     both = old.join(new, [*COMMIT_KEY, "path"], "full_outer")
     changed = both.where(~F.col("old").eqNullSafe(F.col("new")))
-    return changed.select(*COMMIT_KEY, "path", _change_type().alias("change_type"))
+    return changed.select(
+        *COMMIT_KEY, "path", _change_type(F.col("old").isNotNull(), F.col("new").isNotNull())
+    )
 
 
 def files_changed(changes: DataFrame, unique: bool = True) -> DataFrame:

@@ -13,7 +13,7 @@ from repomine.functions.text import array_contains_any, contains_any, trim_line
 from repomine.functions.urls import (
     HOST, HOST_PATTERN, is_repo_url, normalize_repo_url, repo_key,
 )
-from repomine.operators.joins import salted_join
+from repomine.operators.joins import small_side_join
 
 DOMAIN_COLUMNS = ("full_name", "description", "topics")
 
@@ -78,14 +78,15 @@ def commit_count_filter(
     return repos.where(count > threshold if mode.lower() == "greater" else count < threshold)
 
 
-def with_commit_count(repos: DataFrame, counts: DataFrame) -> DataFrame:
+def with_commit_count(repos: DataFrame, counts: DataFrame, broadcast: bool = False) -> DataFrame:
     """Repositories with their commit count; 0 where none is known.
 
-    ``counts`` has one row per repository. A repository may be listed many times, so its rows are salted
-    by their position.
+    ``counts`` has one row per repository; ``broadcast`` says that it was measured to fit. Otherwise the
+    repositories are salted by their position, since one may be listed many times.
     """
     spread = F.col("repo_ord") if "repo_ord" in repos.columns else F.col("clone_url")
-    joined = salted_join(repos, counts.select("repo_id", "commit_count"), ["repo_id"], spread, "left")
+    counts = counts.select("repo_id", "commit_count")
+    joined = small_side_join(repos, counts, ["repo_id"], spread, "left", broadcast)
     return joined.withColumn("commit_count", F.coalesce("commit_count", F.lit(0)).cast("bigint"))
 
 

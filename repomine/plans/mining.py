@@ -66,13 +66,23 @@ def candidate_repos(query: MiningQuery, tables: MiningTables) -> DataFrame:
     return match_domains(min_stars(complete, query.min_stars), query.domains).select(*REPO_COLUMNS)
 
 
-def choose_repos(query: MiningQuery, tables: MiningTables) -> DataFrame:
-    """Repositories of the search form. Commits are only counted if the count is asked for."""
+def choose_repos(query: MiningQuery, tables: MiningTables, small: bool | None = None) -> DataFrame:
+    """Repositories of the search form. Commits are only counted if the count is asked for.
+
+    ``small`` says that the candidates were measured to fit a broadcast (``None`` measures them here). Then
+    only their commits are counted, and the counts, one per candidate, fit too.
+    """
     chosen = candidate_repos(query, tables)
     if not count_filter_active(query.commit_filter, query.commit_threshold):
         return chosen
-    counts = commit_counts(tables.commits) if tables.commit_counts is None else tables.commit_counts
-    counted = with_commit_count(chosen, counts)
+    if small is None:
+        small = fits_broadcast(chosen)
+    ids = F.broadcast(chosen.select("repo_id")) if small else None
+    if tables.commit_counts is not None:
+        counts = tables.commit_counts if ids is None else tables.commit_counts.join(ids, "repo_id", "left_semi")
+    else:
+        counts = commit_counts(tables.commits if ids is None else tables.commits.join(ids, "repo_id", "left_semi"))
+    counted = with_commit_count(chosen, counts, broadcast=small)
     return commit_count_filter(counted, query.commit_filter, query.commit_threshold).select(*REPO_COLUMNS)
 
 
@@ -138,7 +148,7 @@ def mined_commits(query: MiningQuery, tables: MiningTables, with_count: bool = F
     candidates = candidate_repos(query, tables)
     small = fits_broadcast(candidates)
     return filter_commits(
-        choose_repos(query, tables), query.keywords, query.max_modified_files, tables,
+        choose_repos(query, tables, small), query.keywords, query.max_modified_files, tables,
         broadcast=small, only=candidates if small else None, with_count=with_count,
     )
 
