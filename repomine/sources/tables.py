@@ -11,20 +11,20 @@ from repomine.schemas import COMMITS, FILE_CHANGES, REPOS, TREE_ENTRIES
 # Folder per group of repositories. A search keeps few repositories, so most folders are never opened.
 BUCKET = "repo_bucket"
 BUCKETS = 1024
-# Writers per folder, so that the folder of a hot repository is not one task and not one file.
-WRITERS = 8
 
 
 def repo_bucket(repo_id: Column, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
 
 
-def land(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append", spread: str = "hash") -> None:
-    """Write a table with ``repo_id`` in folders by :func:`repo_bucket`, each written by a few tasks."""
+def land(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+    """Write a table with ``repo_id`` in folders by :func:`repo_bucket`.
+
+    The rebalancing exchange gathers a folder's rows into few files; adaptive execution cuts the folder of
+    a hot repository into as many files as its size asks for.
+    """
     placed = df.withColumn(BUCKET, repo_bucket(F.col("repo_id"), buckets))
-    writer = F.pmod(F.xxhash64(spread), F.lit(WRITERS))
-    # AQE merges the small ones of these exchanges and splits the large ones.
-    placed.hint("rebalance", BUCKET, writer).write.mode(mode).partitionBy(BUCKET).parquet(path)
+    placed.hint("rebalance", BUCKET).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 
 def _scan(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:

@@ -1,0 +1,238 @@
+"""Whole queries: search form, list form, report files, streams and plans."""
+
+from __future__ import annotations
+
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from repomine import MiningQuery, MiningTables, mine, mine_from_list
+from repomine.operators import report
+from repomine.operators.repos import repos_from_lines
+from repomine.plans import mining
+from repomine.schemas import COMMIT_KEY, COMMITS, FILE_CHANGES, REPORT, REPOS, RUN_SUMMARY, TREE_ENTRIES
+from repomine.session import shared_dir
+from repomine.sources import tables as landed_tables
+from repomine.sources.reports import append_history, read_report, write_report
+from repomine.streaming.refresh import append_unseen, landed_stream, matching_stream, run_to_end
+
+START = datetime(2024, 1, 1)
+
+
+def commit(repo, name, parents=(), message="fix", day=0):
+    at = START + timedelta(days=day)
+    return (repo, name, list(parents), "Ann", at, at, message)
+
+
+COMMIT_ROWS = [
+    commit("o/a", "a1", message="FIX start", day=1),
+    commit("o/a", "a2", ["a1"], "prefix\nmore \"text\", and\r\nlines", day=2),
+    commit("o/a", "a3", ["a2"], "fix all", day=3),
+    commit("o/a", "a4", ["a3"], "docs", day=4),
+    commit("o/b", "b1", message="x" * 2001 + " fix", day=1),
+    commit("o/c", "c1", message="fix", day=1),
+]
+REPO_ROWS = [
+    ("o/b", "o/b", "https://github.com/o/b.git", "a VR tool", [], 10, 1),
+    ("o/a", "o/a", "https://github.com/o/a.git", None, ["vr"], 99, 0),
+    ("o/c", "o/c", "https://github.com/o/c.git", "vr", [], 9, 2),
+    ("o/d", None, "https://github.com/o/d.git", "vr", [], 99, 3),
+]
+CHANGE_ROWS = (
+    [("o/a", "a1", f"p{i}", "ADD") for i in range(50)]
+    + [("o/a", "a2", f"p{i}", "MODIFY") for i in range(2)]
+    + [("o/a", "a3", f"p{i}", "MODIFY") for i in range(3)]
+)
+QUERY = MiningQuery(domains=["VR"], keywords=["fix"], min_stars=10, max_modified_files=2)
+
+
+@pytest.fixture
+def tables(spark):
+    return MiningTables(
+        commits=spark.createDataFrame(COMMIT_ROWS, COMMITS),
+        repos=spark.createDataFrame(REPO_ROWS, REPOS),
+        file_changes=spark.createDataFrame(CHANGE_ROWS, FILE_CHANGES),
+    )
+
+
+def hashes(df, column="commit_hash"):
+    return sorted(r[column] for r in df.collect())
+
+
+def test_search_form(spark, tables):
+    found = mine(QUERY, tables)
+    assert found.schema.simpleString() == REPORT.simpleString()
+    rows = {r["commit_hash"]: r for r in found.collect()}
+    assert sorted(rows) == ["a1", "a2", "b1"]
+    assert rows["a1"]["commit_url"] == "https://github.com/o/a/commit/a1"
+    assert rows["a1"]["date"] == "Tue Jan 02 00:00:00 UTC 2024"
+    assert rows["b1"]["message"] == "x" * 1997 + "..."
+
+
+@pytest.mark.parametrize("mode, threshold, want", [
+    ("greater", 1, ["a1", "a2"]), ("less", 2, ["b1"]), ("less", 0, ["a1", "a2", "b1"]), (None, 5, ["a1", "a2", "b1"]),
+])
+def test_commit_count_filter(tables, mode, threshold, want):
+    query = MiningQuery(["vr"], ["fix"], mode, threshold, 10, 2)
+    assert hashes(mine(query, tables)) == want
+
+
+def test_shuffled_form_equals_broadcast_form(tables, monkeypatch):
+    query = MiningQuery(["vr"], ["fix"], "greater", 0, 0, 2)
+    counted = MiningQuery(["vr"], ["fix"], "less", 4, 0, 2)
+    small = [hashes(mine(q, tables)) for q in (QUERY, query, counted)]
+    monkeypatch.setattr(mining, "fits_broadcast", lambda df: False)
+    assert [hashes(mine(q, tables)) for q in (QUERY, query, counted)] == small
+
+
+def test_trees_and_landed_changes_agree(spark, tables):
+    trees = []
+    blobs = {}
+    for name, changed in (("a1", 50), ("a2", 2), ("a3", 3), ("a4", 0)):
+        for i in range(changed):
+            blobs[i] = name
+        trees += [("o/a", name, f"p{i}", "100644", blob) for i, blob in blobs.items()]
+    from_trees = MiningTables(
+        commits=tables.commits, repos=tables.repos, tree_entries=spark.createDataFrame(trees, TREE_ENTRIES)
+    )
+    assert hashes(mine(QUERY, from_trees)) == hashes(mine(QUERY, tables)) == ["a1", "a2", "b1"]
+
+
+def test_unreadable_diff_drops_the_commit_only(spark, tables):
+    more = spark.createDataFrame([commit("o/a", "a9", ["nowhere"], "fix")], COMMITS)
+    commits = tables.commits.unionAll(more)
+    empty = spark.createDataFrame([], TREE_ENTRIES)
+    from_trees = MiningTables(commits=commits, repos=tables.repos, tree_entries=empty)
+    assert hashes(mine(QUERY, from_trees)) == ["a1", "a2", "a3", "b1"]
+    flagged = commits.withColumn("diff_ok", F.col("hash") != "a2")
+    marked = MiningTables(commits=flagged, repos=tables.repos, file_changes=tables.file_changes)
+    assert hashes(mine(QUERY, marked)) == ["a1", "a9", "b1"]
+
+
+def test_list_form_ignores_stars_and_keeps_repeats(spark, tables):
+    lines = ["https://github.com/o/c", "# x", "github.com/o/a", "https://github.com/o/c.git", "https://github.com/o/zz"]
+    listed = spark.createDataFrame([(v, i) for i, v in enumerate(lines)], "value string, repo_ord bigint")
+    found = mine_from_list(repos_from_lines(listed), ["fix"], 2, tables)
+    assert hashes(found) == ["a1", "a2", "c1", "c1"]
+
+
+def test_form_fields():
+    query = MiningQuery.from_form("VR,AR", "fix, bug", min_stars=5)
+    assert (query.domains, query.keywords, query.min_stars) == (["VR", "AR"], ["fix", " bug"], 5)
+    assert (query.commit_filter, query.commit_threshold, query.max_modified_files) == ("", 0, 10)
+
+
+def test_run_summary(spark, tables):
+    repos, none = tables.repos, spark.createDataFrame([], REPORT)
+    found = mine(QUERY, tables)
+    full = report.run_summary(repos, found)
+    assert full.schema.simpleString() == RUN_SUMMARY.simpleString()
+    assert tuple(full.first()) == (4, 3, "Successfully generated report with 3 commits from 4 repositories")
+    assert tuple(report.run_summary(repos, none).first()) == (4, 0, "No relevant commits found.")
+    assert tuple(report.run_summary(repos.limit(0), none).first()) == (0, 0, "No repositories found.")
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_run_writes_an_ordered_report(spark, tables, tmp_path, fmt):
+    message = mining.run_search(QUERY, tables, str(tmp_path), fmt)
+    (path,) = tmp_path.iterdir()
+    assert path.name.startswith("GitHubCommits_20")
+    assert message == f"Successfully generated report: {path} with 3 commits from 2 repositories"
+    back = read_report(spark, str(path), fmt)
+    assert back.columns == REPORT.names
+    # input order of the repositories, then newest first
+    ordered = back.orderBy(F.spark_partition_id(), F.monotonically_increasing_id()) if fmt == "csv" else back
+    assert [r["commit_hash"] for r in ordered.collect()] == ["a2", "a1", "b1"]
+    assert {r["commit_hash"]: r["message"] for r in back.collect()}["a2"].startswith('prefix\nmore "text", and')
+
+
+def test_run_messages(spark, tables, tmp_path):
+    none = MiningQuery(["nothing like it"], ["fix"])
+    assert mining.run_search(none, tables, str(tmp_path)) == "No repositories found."
+    assert not list(tmp_path.iterdir())
+    listed = repos_from_lines(spark.createDataFrame([("github.com/o/a", 0)], "value string, repo_ord bigint"))
+    assert mining.run_list(listed, ["absent"], 10, tables, str(tmp_path)) == "No relevant commits found."
+
+
+def test_report_titles(spark, tables, tmp_path):
+    path = write_report(mine(QUERY, tables), str(tmp_path), at=datetime(2024, 1, 2, 3, 4, 5))
+    assert path.endswith("/GitHubCommits_20240102_030405")
+    header = spark.read.text(path).first()["value"]
+    assert header == '"Commit URL","Commit Hash","Author","Date","Message"'
+
+
+def test_report_with_file_counts(tables):
+    kept = mining.mined_commits(QUERY, tables, with_count=True)
+    found = {r["commit_hash"]: r for r in report.to_report(kept, files=True).collect()}
+    assert {h: r["files_changed"] for h, r in found.items()} == {"a1": 50, "a2": 2, "b1": 0}
+    assert found["a2"]["repository"] == "https://github.com/o/a.git"
+
+
+def test_history_of_searches(spark, tables, tmp_path):
+    for query in (QUERY, MiningQuery(["none"], [])):
+        summary = report.run_summary(mining.choose_repos(query, tables), mine(query, tables))
+        append_history(mining.history_entry(query, summary), str(tmp_path / "searches"))
+    past = spark.read.parquet(str(tmp_path / "searches"))
+    found = sorted((r["domains"], r["min_stars"], r["repos_scanned"], r["commits_matched"]) for r in past.collect())
+    assert found == [("VR", 10, 2, 3), ("none", 0, 0, 0)]
+
+
+def test_stream_equals_batch(spark, tables, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    tables.commits.limit(3).write.parquet(landing)
+    hits = matching_stream(landed_stream(spark, landing, max_files=1), ["fix"])
+    run_to_end(hits, out, state)
+    tables.commits.write.mode("append").parquet(landing)  # the first ones again
+    run_to_end(hits, out, state)
+    assert hashes(spark.read.parquet(out), "hash") == ["a1", "a2", "a3", "b1", "c1"]
+
+
+def test_stream_with_horizon(spark, tables, tmp_path):
+    landing, out, state = (str(tmp_path / n) for n in ("landing", "out", "state"))
+    stamped = tables.commits.withColumn("seen_at", F.lit("2024-05-01").cast("timestamp"))
+    stamped.unionAll(stamped).write.parquet(landing)
+    stream = landed_stream(spark, landing, stamped.schema)
+    run_to_end(matching_stream(stream, ["fix"], "seen_at", "2 days"), out, state)
+    assert hashes(spark.read.parquet(out), "hash") == ["a1", "a2", "a3", "b1", "c1"]
+
+
+def test_append_unseen(spark, tables, tmp_path):
+    landing, table, state = (str(tmp_path / n) for n in ("landing", "table", "state"))
+    tables.commits.limit(2).write.parquet(landing)
+    append_unseen(landed_stream(spark, landing), table, state)
+    tables.commits.write.mode("append").parquet(landing)
+    append_unseen(landed_stream(spark, landing), table, state)
+    # a lost checkpoint delivers everything again
+    append_unseen(landed_stream(spark, landing), table, state + "2")
+    assert hashes(spark.read.parquet(table), "hash") == sorted(c[1] for c in COMMIT_ROWS)
+
+
+def test_landed_layout(spark, tables, tmp_path):
+    path = str(tmp_path / "commits")
+    landed_tables.land(tables.commits, path, buckets=16)
+    back = spark.read.parquet(path)
+    assert hashes(back, "hash") == hashes(tables.commits, "hash")
+    assert back.where(F.col("repo_bucket") != landed_tables.repo_bucket(F.col("repo_id"), 16)).count() == 0
+    assert hashes(landed_tables.scan_commits(spark, path), "hash") == hashes(tables.commits, "hash")
+    assert landed_tables.scan_commits(spark, path).select(*COMMIT_KEY).count() == len(COMMIT_ROWS)
+
+
+def test_shared_dir_is_the_cluster_setting(spark):
+    setting = spark.conf.get("spark.checkpoint.dir", None)
+    if setting is not None:
+        assert shared_dir(spark) == setting.rstrip("/")
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_plans_stay_in_the_jvm_without_cross_joins(tables, monkeypatch):
+    counted = MiningQuery(["vr"], ["fix"], "greater", 1, 0, 2)
+    small = plan_of(mine(counted, tables))
+    monkeypatch.setattr(mining, "fits_broadcast", lambda df: False)
+    large = plan_of(mine(counted, tables))
+    for plan in (small, large):
+        assert "Python" not in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+    assert "_salt" in large and "_salt" not in small
