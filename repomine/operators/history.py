@@ -49,6 +49,9 @@ def match_tally(repos: DataFrame, commits: DataFrame, kept: Column) -> DataFrame
 
 
 def new_commits(existing: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming commits that the table does not hold yet, each once. Only the key of ``existing`` is read."""
-    unseen = incoming.dropDuplicates(COMMIT_KEY)
-    return unseen.join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
+    """Incoming commits that the table does not hold yet, each once. Only the key of ``existing`` is read.
+
+    A refresh delivers mostly what is held, so that is dropped first; the rest is already placed by its key.
+    """
+    unseen = incoming.join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
+    return unseen.dropDuplicates(COMMIT_KEY)

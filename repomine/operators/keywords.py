@@ -14,7 +14,7 @@ MAX_PATTERN_TERMS = 20_000
 MAX_PATTERN_CHARS = 1_000_000
 
 # Lengths of the first piece of a term by which terms and texts meet in the shuffled form.
-ANCHOR_LENGTHS = (0, 1, 2, 4)
+ANCHOR_LENGTHS = (0, 1, 2, 4, 8, 16)
 
 
 def _anchor(term: Column) -> Column:

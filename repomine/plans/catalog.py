@@ -153,31 +153,25 @@ def repo_list(spark, sf_dir):
 
 
 @query(
-    """SELECT 'org/r' || c_custkey AS repo_id, c_name AS full_name,
-    'https://github.com/org/r' || c_custkey || '.git' AS clone_url,
-    CAST(floor(c_acctbal) AS INTEGER) AS stars FROM customer""",
+    """SELECT 'org/r' || c_custkey AS repo_id, c_name AS full_name, CAST(floor(c_acctbal) AS INTEGER) AS stars
+    FROM customer UNION ALL SELECT '', c_mktsegment, 0 FROM customer""",
     key="search_pages",
 )
 def flattened_pages(spark, sf_dir):
     pages = search_pages(roles.search_responses(spark, sf_dir))
-    return pages.select("repo_id", "full_name", "clone_url", "stars")
+    return pages.select(F.coalesce("repo_id", F.lit("")).alias("repo_id"), "full_name", "stars")
 
 
 @query(
-    """WITH pages_ AS (SELECT c_custkey // 100 AS page, count(CASE WHEN c_nationkey = 0 THEN 1 END) AS n
-        FROM customer GROUP BY 1),
-    ends AS (SELECT coalesce(min(page), (SELECT max(page) FROM pages_)) AS last FROM pages_ WHERE n > 6)
-    SELECT c_name AS full_name FROM customer, ends WHERE c_custkey // 100 <= last"""
+    """WITH ends AS (SELECT c_nationkey AS nation, min(CASE WHEN c_acctbal < 0 THEN c_custkey - 1
+        WHEN c_acctbal > 9000 THEN c_custkey END) AS last FROM customer GROUP BY c_nationkey)
+    SELECT c_name AS full_name FROM customer JOIN ends ON c_nationkey = nation
+    WHERE last IS NULL OR c_custkey <= last"""
 )
 def search_end(spark, sf_dir):
-    """A search that ends early: a page with more than six customers of nation 0 has no next-page link."""
-    nations = roles.table(spark, sf_dir, "customer").groupBy(
-        (F.floor(F.col("c_custkey") / 100) + 1).cast("int").alias("page")
-    )
-    ends = nations.agg((F.count_if(F.col("c_nationkey") == 0) > 6).alias("is_end"))
-    pages = roles.search_responses(spark, sf_dir).join(ends, "page")
-    pages = pages.withColumn("link", F.when(~F.col("is_end"), F.col("link")))
-    return search_pages(pages_until_end(pages)).select("full_name")
+    """Complete repositories on the pages that the searches use."""
+    pages = pages_until_end(roles.search_responses(spark, sf_dir))
+    return repo_ops.complete_repos(search_pages(pages)).select("full_name")
 
 
 @query(

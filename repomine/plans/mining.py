@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from repomine.functions.text import contains_any, split_terms
+from repomine.functions.text import contains_any, split_terms, truncate_text
 from repomine.operators.diffs import (
     files_changed, max_files, tree_diff, with_files_changed, within_file_limit,
 )
@@ -89,9 +89,14 @@ def choose_repos(query: MiningQuery, tables: MiningTables, small: bool | None =
 def keyword_commits(
     repos: DataFrame, keywords: Sequence[str], tables: MiningTables, broadcast: bool | None = None
 ) -> DataFrame:
-    """Commits of the repositories with any keyword; the predicate runs in the scan, before any shuffle."""
+    """Commits of the repositories with any keyword.
+
+    The predicate sees the whole message, in the scan. Only then is the message cut as the report cuts it,
+    so that no shuffle carries more of it.
+    """
     hits = tables.commits.where(contains_any(F.col("message"), keywords))
-    return parent_columns(commits_of(repos.select(*REPO_COLUMNS), hits, broadcast))
+    hits = parent_columns(hits.withColumn("message", truncate_text(F.col("message"))))
+    return commits_of(repos.select(*REPO_COLUMNS), hits, broadcast)
 
 
 def change_counts(hits: DataFrame, tables: MiningTables, only: DataFrame | None = None) -> DataFrame:

@@ -121,17 +121,21 @@ def list_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as landed search pages of 100 repositories, each with its next-page link."""
+    """Customers as landed search pages, one search per nation.
+
+    A page holds the customer and a second, incomplete repository. A negative balance is a failed request,
+    a balance above 9000 a page without a next one.
+    """
     return table(spark, sf_dir, "customer").selectExpr(
-        "CAST(floor(c_custkey / 100) AS INT) + 1 AS page",
-        "struct(concat('https://github.com/org/r', c_custkey, '.git') AS clone_url,"
-        " c_name AS full_name, CAST(floor(c_acctbal) AS INT) AS stargazers_count) AS item",
-    ).groupBy("page").agg({"item": "collect_list"}).selectExpr(
-        "'all' AS search_id",
-        "page",
-        "200 AS status",
-        "concat('<https://x/s?page=', page + 1, '>; rel=\"next\"') AS link",
-        "to_json(struct(`collect_list(item)` AS items)) AS body",
+        "CAST(c_nationkey AS STRING) AS search_id",
+        "CAST(c_custkey AS INT) AS page",
+        "CASE WHEN c_acctbal < 0 THEN 500 ELSE 200 END AS status",
+        "CASE WHEN c_acctbal <= 9000 THEN concat('<https://x/s?page=', c_custkey + 1, '>; rel=\"next\"') END AS link",
+        "to_json(struct(array("
+        "  struct(concat('https://github.com/org/r', c_custkey, '.git') AS clone_url, c_name AS full_name,"
+        "    CAST(floor(c_acctbal) AS STRING) AS stargazers_count),"
+        "  struct(CAST(NULL AS STRING) AS clone_url, c_mktsegment AS full_name, 'many' AS stargazers_count)"
+        ") AS items)) AS body",
     )
 
 

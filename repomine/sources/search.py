@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from repomine.functions.responses import commit_count, has_next, int_or_default, succeeded
+from repomine.functions.responses import commit_count, has_next, int_or_default, json_text, succeeded
 from repomine.functions.urls import repo_key
+from repomine.operators.joins import salted_join
 from repomine.schemas import SEARCH_PAGE
 
 
@@ -38,14 +39,15 @@ def search_pages(responses: DataFrame, keep: list[str] | None = None) -> DataFra
 def pages_until_end(responses: DataFrame) -> DataFrame:
     """Pages a search uses: up to the first that failed or is empty, or has no next page (that one included).
 
-    Columns ``search_id, page, status, link, body``; pages count from 1 without holes where they were asked.
+    Columns ``search_id, page, status, link, body``; the pages of a search rise in the order they were asked.
     """
-    items = F.from_json("body", SEARCH_PAGE)["items"]
-    usable = succeeded(F.col("status")) & F.coalesce(F.size(items) > 0, F.lit(False))
-    last = F.when(~F.coalesce(usable, F.lit(False)), F.col("page") - 1).when(~has_next(F.col("link")), F.col("page"))
+    # Looking for a first item costs less than reading the page, which is done for the pages kept only.
+    usable = F.coalesce(succeeded(F.col("status")), F.lit(False)) & json_text(F.col("body"), "items[0]").isNotNull()
+    last = F.when(~usable, F.col("page") - 1).when(~has_next(F.col("link")), F.col("page"))
     ends = responses.groupBy("search_id").agg(F.min(last).alias("_last"))
-    kept = responses.join(ends, "search_id").where(F.col("_last").isNull() | (F.col("page") <= F.col("_last")))
-    return kept.drop("_last")
+    # One search may have most of the pages, and bodies are long.
+    joined = salted_join(responses, ends, ["search_id"], F.col("page"))
+    return joined.where(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_last")
 
 
 def commit_count_from_responses(responses: DataFrame) -> DataFrame:
