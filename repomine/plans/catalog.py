@@ -108,6 +108,11 @@ def mine_search(spark, sf_dir):
     return mining.mine(FLAGSHIP, _mining_tables(spark, sf_dir))
 
 
+@query(f"WITH {_FILES}, {_CHOSEN} SELECT {_REPORT_COLUMNS} {_MINED}")
+def mine_search_staged(spark, sf_dir):
+    return mining.mine(FLAGSHIP, _mining_tables(spark, sf_dir), staged=True)
+
+
 @query(
     f"""WITH {_FILES}, {_LISTED} SELECT
     CASE WHEN c_mktsegment = 'FURNITURE' THEN 'http' ELSE 'https' END

@@ -18,6 +18,7 @@ from repomine.operators.repos import (
     commit_count_filter, complete_repos, count_filter_active, match_domains, min_stars, with_commit_count,
 )
 from repomine.operators.report import NO_COMMITS, NO_REPOSITORIES, in_report_order, to_report
+from repomine.schemas import commit_key
 from repomine.session import cut_lineage
 from repomine.sources.reports import write_report
 
@@ -99,18 +100,23 @@ def keyword_commits(
     return commits_of(repos.select(*REPO_COLUMNS), hits, broadcast)
 
 
-def change_counts(hits: DataFrame, tables: MiningTables, only: DataFrame | None = None) -> DataFrame:
+def change_counts(
+    hits: DataFrame, tables: MiningTables, repos: DataFrame | None = None, prune: bool = False
+) -> DataFrame:
     """Changed files per commit: of all landed changes, or from the trees of ``hits`` and their parents.
 
-    Landed changes are not joined with the hits first. That would search all messages a second time, and
-    unless the hits are few it would shuffle every change, whereas counting combines them before the
-    shuffle. ``only`` (repository ids measured to fit a broadcast) prunes them in the scan.
+    Landed changes are counted without a join before it: the counts are combined ahead of the shuffle, while
+    a join with the hits would shuffle every change. Where a side was measured to fit a broadcast it prunes
+    the changes in the scan: ``repos`` by repository, with ``prune`` the hits themselves by commit.
     """
     if tables.file_changes is None:
         return files_changed(tree_diff(hits, tables.tree_entries))
     changes = tables.file_changes
-    if only is not None and "repo_id" in changes.columns:
-        changes = changes.join(F.broadcast(only.select("repo_id")), "repo_id", "left_semi")
+    if repos is not None and "repo_id" in changes.columns:
+        changes = changes.join(F.broadcast(repos.select("repo_id")), "repo_id", "left_semi")
+    if prune:
+        key = commit_key(changes)
+        changes = changes.join(F.broadcast(hits.select(*key)), key, "left_semi")
     return files_changed(changes, tables.unique_paths)
 
 
@@ -132,19 +138,30 @@ def filter_commits(
     broadcast: bool | None = None,
     only: DataFrame | None = None,
     with_count: bool = False,
+    staged: bool = False,
 ) -> DataFrame:
     """Commits of ``repos`` with any keyword and at most so many changed files.
 
-    ``with_count`` adds ``files_changed``, which the plain report does not need.
+    ``with_count`` adds ``files_changed``, which the plain report does not need. ``staged`` writes the
+    commits with a keyword to the shared folder first and goes on from there: the messages are then searched
+    once however often the commits are used, and their number is known. Trees always ask for it, since the
+    commits are needed for the parents, for the trees and for the result.
     """
-    hits = with_readable_diff(keyword_commits(repos, keywords, tables, broadcast), tables)
-    counts = change_counts(hits, tables, only)
+    staged = staged or tables.file_changes is None
+    hits = keyword_commits(repos, keywords, tables, broadcast)
+    if staged:
+        hits = cut_lineage(hits)
+    hits = with_readable_diff(hits, tables)
+    prune = staged and tables.file_changes is not None and fits_broadcast(hits.select(*commit_key(hits)))
+    counts = change_counts(hits, tables, only, prune)
     if with_count:
         return max_files(with_files_changed(hits, counts), max_modified_files)
     return within_file_limit(hits, counts, max_modified_files)
 
 
-def mined_commits(query: MiningQuery, tables: MiningTables, with_count: bool = False) -> DataFrame:
+def mined_commits(
+    query: MiningQuery, tables: MiningTables, with_count: bool = False, staged: bool = False
+) -> DataFrame:
     """Kept commits of the search form, with the columns of their repository.
 
     One job is run here: it measures the repositories that pass domain and stars, which bounds the ones
@@ -154,22 +171,23 @@ def mined_commits(query: MiningQuery, tables: MiningTables, with_count: bool = F
     small = fits_broadcast(candidates)
     return filter_commits(
         choose_repos(query, tables, small), query.keywords, query.max_modified_files, tables,
-        broadcast=small, only=candidates if small else None, with_count=with_count,
+        broadcast=small, only=candidates if small else None, with_count=with_count, staged=staged,
     )
 
 
-def mine(query: MiningQuery, tables: MiningTables) -> DataFrame:
+def mine(query: MiningQuery, tables: MiningTables, staged: bool = False) -> DataFrame:
     """Report rows of the search form."""
-    return to_report(mined_commits(query, tables))
+    return to_report(mined_commits(query, tables, staged=staged))
 
 
 def mine_from_list(
-    repos: DataFrame, keywords: Sequence[str], max_modified_files: int, tables: MiningTables
+    repos: DataFrame, keywords: Sequence[str], max_modified_files: int, tables: MiningTables, staged: bool = False
 ) -> DataFrame:
     """Report rows of the list form. Stars and commit counts play no part in it."""
     small = fits_broadcast(repos.select(*REPO_COLUMNS))
+    only = repos if small else None
     return to_report(
-        filter_commits(repos, keywords, max_modified_files, tables, small, repos if small else None)
+        filter_commits(repos, keywords, max_modified_files, tables, small, only, staged=staged)
     )
 
 
@@ -185,7 +203,9 @@ def write_mined(
     if listed == 0:
         return NO_REPOSITORIES
     small = fits_broadcast(chosen)
-    kept = filter_commits(chosen, keywords, max_modified_files, tables, small, chosen if small else None)
+    only = chosen if small else None
+    # The sort into report order reads its input twice, so it must not start from the messages.
+    kept = filter_commits(chosen, keywords, max_modified_files, tables, small, only, staged=True)
     written = Observation()
     report = to_report(in_report_order(kept)).observe(written, F.count("*").alias("rows"))
     path = write_report(report, base, fmt)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from repomine.functions.responses import commit_count, has_next, int_or_default, json_text, succeeded
 from repomine.functions.urls import repo_key
 from repomine.operators.joins import salted_join
-from repomine.schemas import SEARCH_PAGE
+from repomine.operators.ordering import PAGE_SIZE
+from repomine.schemas import REPOS, SEARCH_PAGE
 
 
 def _flatten(pages: DataFrame, keep: list[str]) -> DataFrame:
@@ -51,6 +52,13 @@ def pages_until_end(responses: DataFrame) -> DataFrame:
 
 
 def commit_count_from_responses(responses: DataFrame) -> DataFrame:
-    """``full_name, commit_count``: 0 for a request that failed or cannot be read."""
+    """``full_name, commit_count``, where the full name is the ``repo_id``: 0 for a request that failed or cannot be read."""
     count = F.when(succeeded(F.col("status")), commit_count(F.col("link"), F.col("body"))).otherwise(0)
     return responses.select("full_name", F.coalesce(count, F.lit(0)).cast("bigint").alias("commit_count"))
+
+
+def repos_from_responses(responses: DataFrame) -> DataFrame:
+    """Repositories of landed searches in the order they were found, pages after the end left out."""
+    found = search_pages(pages_until_end(responses), ["page"])
+    order = F.col("page").cast("bigint") * PAGE_SIZE + F.col("item_no")
+    return found.withColumn("repo_ord", order).select(*REPOS.names)

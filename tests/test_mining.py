@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from repomine import MiningQuery, MiningTables, mine, mine_from_list
+from repomine.__main__ import main as command_line
 from repomine.operators import report
 from repomine.operators.repos import repos_from_lines
 from repomine.plans import mining
-from repomine.schemas import COMMIT_KEY, COMMITS, FILE_CHANGES, REPORT, REPOS, RUN_SUMMARY, TREE_ENTRIES
+from repomine.schemas import (
+    COMMIT_KEY, COMMITS, COUNT_RESPONSES, FILE_CHANGES, REPORT, REPOS, RUN_SUMMARY, SEARCH_RESPONSES, TREE_ENTRIES,
+)
 from repomine.session import shared_dir
 from repomine.sources import tables as landed_tables
+from repomine.sources.search import commit_count_from_responses, repos_from_responses
 from repomine.sources.reports import append_history, read_report, write_report
 from repomine.streaming.refresh import append_unseen, landed_stream, matching_stream, run_to_end
 
@@ -86,6 +91,14 @@ def test_shuffled_form_equals_broadcast_form(tables, monkeypatch):
     assert [hashes(mine(q, tables)) for q in (QUERY, query, counted)] == small
 
 
+def test_staged_form_equals_lazy_form(tables, monkeypatch):
+    by_hash = MiningTables(tables.commits, tables.repos, tables.file_changes.drop("repo_id"))
+    for t in (tables, by_hash):
+        assert hashes(mine(QUERY, t, staged=True)) == hashes(mine(QUERY, t)) == ["a1", "a2", "b1"]
+    monkeypatch.setattr(mining, "fits_broadcast", lambda df: False)
+    assert hashes(mine(QUERY, tables, staged=True)) == ["a1", "a2", "b1"]
+
+
 def test_trees_and_landed_changes_agree(spark, tables):
     trees = []
     blobs = {}
@@ -123,6 +136,32 @@ def test_form_fields():
     assert (query.commit_filter, query.commit_threshold, query.max_modified_files) == ("", 0, 10)
 
 
+def test_search_over_landed_responses(spark, tables):
+    """The remote steps as landed answers: two pages of results, and one commit-count answer per repository."""
+
+    def answer(page, link, *names):
+        items = [{"clone_url": f"https://github.com/{n}.git", "full_name": n, "stargazers_count": 20} for n in names]
+        return ("s", page, 200, link, json.dumps({"items": items}))
+
+    responses = [answer(1, 'rel="next"', "o/c", "o/a"), answer(2, None, "o/b"), answer(3, None, "o/zz")]
+    last = '<https://x/c?per_page=1&page={}>; rel="last"'
+    counts = [("o/a", 200, last.format(4), None), ("o/b", 500, None, None), ("o/c", 200, None, "[{}]")]
+    landed = MiningTables(
+        commits=tables.commits,
+        repos=repos_from_responses(spark.createDataFrame(responses, SEARCH_RESPONSES)),
+        file_changes=tables.file_changes,
+        commit_counts=commit_count_from_responses(
+            spark.createDataFrame(counts, COUNT_RESPONSES)
+        ).withColumnRenamed("full_name", "repo_id"),
+    )
+    assert landed.repos.schema.names == REPOS.names
+    ordered = [r["repo_id"] for r in landed.repos.orderBy("repo_ord").collect()]
+    assert ordered == ["o/c", "o/a", "o/b"]
+    # a failed count is 0: it passes "less" and fails "greater"
+    for mode, threshold, want in (("greater", 1, ["a1", "a2"]), ("less", 2, ["b1", "c1"]), ("", 1, ["a1", "a2", "b1", "c1"])):
+        assert hashes(mine(MiningQuery([], ["fix"], mode, threshold, 10, 2), landed)) == want
+
+
 def test_run_summary(spark, tables):
     repos, none = tables.repos, spark.createDataFrame([], REPORT)
     found = mine(QUERY, tables)
@@ -147,6 +186,25 @@ def test_run_writes_an_ordered_report(spark, tables, tmp_path, fmt):
     assert {r["commit_hash"]: r["message"] for r in back.collect()}["a2"].startswith('prefix\nmore "text", and')
 
 
+def test_command_line(spark, tables, tmp_path):
+    paths = {n: str(tmp_path / n) for n in ("repos", "commits", "changes", "out", "out2", "list.txt", "none.txt")}
+    tables.repos.write.parquet(paths["repos"])
+    landed_tables.land(tables.commits, paths["commits"], buckets=4)
+    tables.file_changes.write.parquet(paths["changes"])
+    inputs = ["--commits", paths["commits"], "--file-changes", paths["changes"], "--max-modified-files", "2"]
+    search = ["--repos", paths["repos"], "--domains", "VR", "--keywords", "fix", "--min-stars", "10"]
+    answer = command_line(["search", *search, *inputs, "--out", paths["out"]])
+    assert answer.endswith("with 3 commits from 2 repositories")
+
+    (tmp_path / "list.txt").write_text("# mine\ngithub.com/o/a\nhttps://github.com/o/zz\n")
+    (tmp_path / "none.txt").write_text("# mine\nhttps://example.org/o/a\n")
+    form = [*inputs, "--out", paths["out2"], "--format", "parquet"]
+    answer = command_line(["list", "--file", paths["list.txt"], "--keywords", "docs,FIX ", *form])
+    assert answer.endswith("with 2 commits from 2 repositories")
+    answer = command_line(["list", "--file", paths["none.txt"], *form])
+    assert answer == "No valid repository URLs found in the file."
+
+
 def test_run_messages(spark, tables, tmp_path):
     none = MiningQuery(["nothing like it"], ["fix"])
     assert mining.run_search(none, tables, str(tmp_path)) == "No repositories found."
