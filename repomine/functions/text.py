@@ -6,6 +6,7 @@ import functools
 import itertools
 import operator
 import os
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Mapping, Sequence
 
 from pyspark.sql import Column
@@ -20,6 +21,8 @@ BLANKS = "".join(map(chr, range(0x21)))
 
 # Above this many terms one pattern search is faster than a search per term (see README, measurements).
 MAX_SEPARATE_TERMS = 24
+# Characters of a term that are searched at once, at least.
+MIN_TAIL = 4
 
 
 def split_terms(text: str, trim: bool = False) -> list[str]:
@@ -55,29 +58,54 @@ def _escaped(text: str) -> str:
     return "".join(c if c.isalnum() or ord(c) > 127 else "\\" + c for c in text)
 
 
-def _alternation(terms: Sequence[str]) -> str:
-    # terms: sorted, none is a prefix of another
+def _rare_starts(terms: Sequence[str]) -> dict[str, int]:
+    """A position in each term from which to search for it, so that few and rare characters start a search.
+
+    Greedy cover of the terms by characters, the cheapest per term first. At least ``MIN_TAIL`` characters
+    of a term follow, so that a chance hit is unlikely; short terms are searched from their beginning.
+    """
+    weight = Counter(itertools.chain.from_iterable(terms))
+    holders: dict[str, set[str]] = defaultdict(set)
+    for term in terms:
+        for char in set(term[: max(len(term) - MIN_TAIL, 0) + 1]):
+            holders[char].add(term)
+    starts: dict[str, int] = {}
+    while len(starts) < len(terms):
+        char = min(holders, key=lambda c: (weight[c] / len(holders[c]), c))
+        starts.update((term, term.index(char)) for term in holders.pop(char))
+        holders = {c: left for c, held in holders.items() if (left := held - starts.keys())}
+    return starts
+
+
+def _alternation(tails: Sequence[tuple[str, str]]) -> str:
+    """Pattern for any of the sorted (rest of the tail, whole term) pairs, with common prefixes shared."""
     branches = []
-    for _, group in itertools.groupby(terms, key=lambda t: t[0]):
+    for _, group in itertools.groupby(tails, key=lambda t: t[0][:1]):
         members = list(group)
-        prefix = os.path.commonprefix(members)
-        rest = [m[len(prefix):] for m in members]
-        branches.append(_escaped(prefix) + ("" if rest == [""] else f"(?:{_alternation(rest)})"))
+        prefix = os.path.commonprefix([tail for tail, _ in members])
+        if prefix == "":  # the tail ends here, the term must end here too
+            branches += [f"(?<={_escaped(term)})" for _, term in members]
+        else:
+            rest = [(tail[len(prefix):], term) for tail, term in members]
+            branches.append(f"{_escaped(prefix)}(?:{_alternation(rest)})")
     return "|".join(branches)
 
 
 def terms_pattern(terms: Iterable[str]) -> str:
-    """One pattern that finds any of the given non-empty terms, with common prefixes shared.
+    """One pattern that finds any of the given non-empty terms.
 
-    Terms that start with another term add nothing to "contains any" and are left out. The look-ahead
-    lets the search pass over a character that starts no term with a single test.
+    A term is searched from its rarest suitable character on, and the part before it is looked up when the
+    rest was found. The look-ahead passes over a character that starts no search with a single test. Terms
+    that begin with another term add nothing to "contains any" and are left out.
     """
     kept: list[str] = []
     for term in sorted(set(terms)):
         if not kept or not term.startswith(kept[-1]):
             kept.append(term)
-    starts = "".join(_escaped(c) for c in sorted({t[0] for t in kept}))
-    return f"(?=[{starts}])(?:{_alternation(kept)})"
+    starts = _rare_starts(kept)
+    tails = sorted((term[starts[term]:], term) for term in kept)
+    first = "".join(_escaped(c) for c in sorted({tail[0] for tail, _ in tails}))
+    return f"(?=[{first}])(?:{_alternation(tails)})"
 
 
 def contains_any(text: Column, terms: Iterable[str]) -> Column:

@@ -44,13 +44,24 @@ def test_contains_any_pattern_equals_separate_searches(values):
 
 
 # The pattern uses only syntax that Python reads alike, so its logic can be tried without a job per case.
-@settings(max_examples=300, deadline=None)
+@settings(max_examples=500, deadline=None)
 @given(
-    st.lists(st.text(st.sampled_from("ab.c^]-é "), min_size=1, max_size=4), min_size=1, max_size=8),
-    st.text(st.sampled_from("ab.c^]-é "), max_size=12),
+    st.lists(st.text(st.sampled_from("abc.^]-é "), min_size=1, max_size=9), min_size=1, max_size=8),
+    st.text(st.sampled_from("abc.^]-é "), max_size=12),
+    st.data(),
 )
-def test_terms_pattern(terms, message):
-    assert bool(re.search(text.terms_pattern(terms), message)) == any(t in message for t in terms)
+def test_terms_pattern(terms, other, data):
+    pattern = text.terms_pattern(terms)
+    whole = data.draw(st.sampled_from(terms))
+    for message in (other, other + whole, whole + other, whole[1:] + other, whole[:-1] + other):
+        assert bool(re.search(pattern, message)) == any(t in message for t in terms)
+
+
+def test_long_terms_in_the_engine(values):
+    terms = [f"term {i:03} with {'xyz'[i % 3]} inside" for i in range(200)]
+    rows = [t.upper() for t in terms[::20]] + [t.replace("with", "wiht") for t in terms[::20]] + [terms[7][1:]]
+    want = [any(t in r.lower() for t in terms) for r in rows]
+    assert values(rows, lambda x: text.contains_any(x, terms)) == want
 
 
 def test_truncate_text(values):
