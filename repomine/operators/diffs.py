@@ -8,6 +8,7 @@ import operator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repomine.functions.buckets import bucketed
 from repomine.operators.history import parent_columns
 from repomine.schemas import COMMIT_KEY, commit_key
 
@@ -32,7 +33,8 @@ def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
     )
     asked = asked.select("repo_id", "tree.hash", "child", "tree.is_new")
     entry = ["repo_id", "child", "path"]
-    sides = trees.join(asked, COMMIT_KEY).select(*entry, "mode", "blob_id", "is_new").repartition(*entry)
+    asked, on = bucketed(trees, asked, COMMIT_KEY)
+    sides = trees.join(asked, on).select(*entry, "mode", "blob_id", "is_new").repartition(*entry)
     # Boolean aggregates keep both steps hash aggregations; a max over the entry itself would sort.
     states = sides.groupBy(*entry, "mode", "blob_id").agg(
         F.bool_or("is_new").alias("new"), F.bool_or(~F.col("is_new")).alias("old")

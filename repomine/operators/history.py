@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repomine.functions.buckets import BUCKET, bucketed, repo_bucket
 from repomine.operators.joins import salted_join, small_side_join
 from repomine.schemas import COMMIT_KEY
 
 
 def commits_of(repos: DataFrame, commits: DataFrame, broadcast: bool | None = None) -> DataFrame:
     """All commits of the given repositories. A repository listed twice gives its commits twice."""
-    return small_side_join(commits, repos, ["repo_id"], F.col("hash"), broadcast=broadcast)
+    repos, on = bucketed(commits, repos, ["repo_id"])
+    return small_side_join(commits, repos, on, F.col("hash"), broadcast=broadcast)
 
 
 def parent_columns(commits: DataFrame) -> DataFrame:
@@ -51,7 +53,12 @@ def match_tally(repos: DataFrame, commits: DataFrame, kept: Column) -> DataFrame
 def new_commits(existing: DataFrame, incoming: DataFrame) -> DataFrame:
     """Incoming commits that the table does not hold yet, each once. Only the key of ``existing`` is read.
 
-    A refresh delivers mostly what is held, so that is dropped first; the rest is already placed by its key.
+    Where the table has its folders, those of the incoming repositories are looked up first (their number is
+    bounded by the layout) and no others are opened. A refresh delivers mostly what is held, so that is
+    dropped before copies are; the rest is already placed by its key.
     """
+    if BUCKET in existing.columns:
+        touched = incoming.select(repo_bucket(F.col("repo_id")).alias(BUCKET)).distinct().collect()
+        existing = existing.where(F.col(BUCKET).isin([r[BUCKET] for r in touched]))
     unseen = incoming.join(existing.select(*COMMIT_KEY), COMMIT_KEY, "left_anti")
     return unseen.dropDuplicates(COMMIT_KEY)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from repomine.functions.buckets import bucketed
+
 # A side is broadcast only when all its rows were measured to stay below this.
 BROADCAST_BYTES = 64 * 1024 * 1024
 ROW_OVERHEAD = 64
@@ -52,3 +54,9 @@ def small_side_join(
     if broadcast:
         return big.join(F.broadcast(small), on, how)
     return salted_join(big, small, on, spread_by, how)
+
+
+def keep_repos(table: DataFrame, repos: DataFrame) -> DataFrame:
+    """Rows of the given repositories, which were measured to fit a broadcast."""
+    ids, on = bucketed(table, repos.select("repo_id"), ["repo_id"])
+    return table.join(F.broadcast(ids), on, "left_semi")

@@ -13,7 +13,7 @@ from repomine.operators.diffs import (
     files_changed, max_files, tree_diff, with_files_changed, within_file_limit,
 )
 from repomine.operators.history import commit_counts, commits_of, first_parent, parent_columns
-from repomine.operators.joins import fits_broadcast
+from repomine.operators.joins import fits_broadcast, keep_repos
 from repomine.operators.repos import (
     commit_count_filter, complete_repos, count_filter_active, match_domains, min_stars, with_commit_count,
 )
@@ -78,11 +78,11 @@ def choose_repos(query: MiningQuery, tables: MiningTables, small: bool | None =
         return chosen
     if small is None:
         small = fits_broadcast(chosen)
-    ids = F.broadcast(chosen.select("repo_id")) if small else None
-    if tables.commit_counts is not None:
-        counts = tables.commit_counts if ids is None else tables.commit_counts.join(ids, "repo_id", "left_semi")
-    else:
-        counts = commit_counts(tables.commits if ids is None else tables.commits.join(ids, "repo_id", "left_semi"))
+    counts = tables.commit_counts
+    source = tables.commits if counts is None else counts
+    if small:
+        source = keep_repos(source, chosen)
+    counts = commit_counts(source) if counts is None else source
     counted = with_commit_count(chosen, counts, broadcast=small)
     return commit_count_filter(counted, query.commit_filter, query.commit_threshold).select(*REPO_COLUMNS)
 
@@ -113,7 +113,7 @@ def change_counts(
         return files_changed(tree_diff(hits, tables.tree_entries))
     changes = tables.file_changes
     if repos is not None and "repo_id" in changes.columns:
-        changes = changes.join(F.broadcast(repos.select("repo_id")), "repo_id", "left_semi")
+        changes = keep_repos(changes, repos)
     if prune:
         key = commit_key(changes)
         changes = changes.join(F.broadcast(hits.select(*key)), key, "left_semi")

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from repomine.functions.buckets import BUCKET, repo_bucket
 from repomine.schemas import COMMITS, FILE_CHANGES, REPOS, TREE_ENTRIES
 
-# Folder per group of repositories. A search keeps few repositories, so most folders are never opened.
-BUCKET = "repo_bucket"
-BUCKETS = 1024
 
-
-def repo_bucket(repo_id: Column, buckets: int = BUCKETS) -> Column:
-    return F.pmod(F.xxhash64(repo_id), F.lit(buckets)).cast("int")
-
-
-def land(df: DataFrame, path: str, buckets: int = BUCKETS, mode: str = "append") -> None:
+def land(df: DataFrame, path: str, mode: str = "append") -> None:
     """Write a table with ``repo_id`` in folders by :func:`repo_bucket`.
 
     The rebalancing exchange gathers a folder's rows into few files; adaptive execution cuts the folder of
     a hot repository into as many files as its size asks for.
     """
-    placed = df.withColumn(BUCKET, repo_bucket(F.col("repo_id"), buckets))
+    placed = df.withColumn(BUCKET, repo_bucket(F.col("repo_id")))
     placed.hint("rebalance", BUCKET).write.mode(mode).partitionBy(BUCKET).parquet(path)
 
 

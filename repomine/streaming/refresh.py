@@ -11,6 +11,7 @@ from pyspark.sql.types import StructType
 from repomine.functions.text import contains_any
 from repomine.operators.history import new_commits
 from repomine.schemas import COMMIT_KEY, COMMITS
+from repomine.sources.tables import land
 
 
 def landed_stream(
@@ -50,16 +51,15 @@ def append_unseen(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Append to a commits table what it does not hold yet, batch by batch, and stop.
 
     The table itself is the memory, so there is no state to grow, and a batch that is repeated after a
-    failure adds nothing twice.
+    failure adds nothing twice. A batch reads the keys of the folders it touches.
     """
 
     def append(batch: DataFrame, _: int) -> None:
         held = batch.sparkSession.read.schema(batch.schema).parquet(table)
-        new_commits(held, batch).write.mode("append").parquet(table)
+        land(new_commits(held, batch), table)
 
     # The first run starts from an empty table; an existing one is left as it is.
-    spark = stream.sparkSession
-    spark.createDataFrame([], stream.schema).write.mode("ignore").parquet(table)
+    land(stream.sparkSession.createDataFrame([], stream.schema), table, mode="ignore")
     query = (
         stream.writeStream.foreachBatch(append)
         .option("checkpointLocation", checkpoint)

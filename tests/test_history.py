@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from repomine.operators import diffs, health, history, joins, keywords, ordering
 from repomine.schemas import COMMIT_KEY, COMMITS, FILE_CHANGES, TREE_ENTRIES
+from repomine.sources.tables import land, scan_commits
 
 START = datetime(2024, 1, 1)
 
@@ -132,6 +133,16 @@ def test_new_commits(spark):
     assert rows(history.new_commits(held, incoming), *COMMIT_KEY) == [("r", "b"), ("s", "a")]
 
 
+def test_new_commits_of_a_landed_table(spark, tmp_path):
+    path = str(tmp_path / "commits")
+    land(commit_table(spark, *[commit(f"r{i}", "a") for i in range(30)]), path)
+    incoming = commit_table(spark, commit("r1", "a"), commit("r1", "b"), commit("new", "a"))
+    found = history.new_commits(scan_commits(spark, path), incoming)
+    assert rows(found, *COMMIT_KEY) == [("new", "a"), ("r1", "b")]
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [repo_bucket" in plan or "PartitionFilters: [isnotnull(repo_bucket" in plan
+
+
 def test_log_position_with_a_hot_repository(spark):
     rng = random.Random(5)
     data = [commit("hot", f"h{i:04}", minutes=rng.randrange(40)) for i in range(900)]

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from repomine import MiningQuery, MiningTables, mine, mine_from_list
 from repomine.__main__ import main as command_line
+from repomine.functions.buckets import BUCKET, repo_bucket
 from repomine.operators import report
+from repomine.operators.diffs import tree_diff
 from repomine.operators.repos import repos_from_lines
 from repomine.plans import mining
 from repomine.schemas import (
-    COMMIT_KEY, COMMITS, COUNT_RESPONSES, FILE_CHANGES, REPORT, REPOS, RUN_SUMMARY, SEARCH_RESPONSES, TREE_ENTRIES,
+    COMMITS, COUNT_RESPONSES, FILE_CHANGES, REPORT, REPOS, RUN_SUMMARY, SEARCH_RESPONSES, TREE_ENTRIES,
 )
 from repomine.session import shared_dir
 from repomine.sources import tables as landed_tables
@@ -189,7 +191,7 @@ def test_run_writes_an_ordered_report(spark, tables, tmp_path, fmt):
 def test_command_line(spark, tables, tmp_path):
     paths = {n: str(tmp_path / n) for n in ("repos", "commits", "changes", "out", "out2", "list.txt", "none.txt")}
     tables.repos.write.parquet(paths["repos"])
-    landed_tables.land(tables.commits, paths["commits"], buckets=4)
+    landed_tables.land(tables.commits, paths["commits"])
     tables.file_changes.write.parquet(paths["changes"])
     inputs = ["--commits", paths["commits"], "--file-changes", paths["changes"], "--max-modified-files", "2"]
     search = ["--repos", paths["repos"], "--domains", "VR", "--keywords", "fix", "--min-stars", "10"]
@@ -267,13 +269,34 @@ def test_append_unseen(spark, tables, tmp_path):
 
 
 def test_landed_layout(spark, tables, tmp_path):
-    path = str(tmp_path / "commits")
-    landed_tables.land(tables.commits, path, buckets=16)
-    back = spark.read.parquet(path)
-    assert hashes(back, "hash") == hashes(tables.commits, "hash")
-    assert back.where(F.col("repo_bucket") != landed_tables.repo_bucket(F.col("repo_id"), 16)).count() == 0
-    assert hashes(landed_tables.scan_commits(spark, path), "hash") == hashes(tables.commits, "hash")
-    assert landed_tables.scan_commits(spark, path).select(*COMMIT_KEY).count() == len(COMMIT_ROWS)
+    paths = [str(tmp_path / name) for name in ("commits", "changes")]
+    landed_tables.land(tables.commits, paths[0])
+    landed_tables.land(tables.file_changes, paths[1])
+    commits = landed_tables.scan_commits(spark, paths[0])
+    assert commits.columns == [*COMMITS.names, BUCKET]
+    assert hashes(commits, "hash") == hashes(tables.commits, "hash")
+    assert commits.where(F.col(BUCKET) != repo_bucket(F.col("repo_id"))).isEmpty()
+
+    landed = MiningTables(commits, tables.repos, landed_tables.scan_file_changes(spark, paths[1]))
+    counted = MiningQuery(["vr"], ["fix"], "greater", 1, 10, 2)
+    for query in (QUERY, counted):
+        found = mine(query, landed)
+        assert hashes(found) == hashes(mine(query, tables))
+        # folders of other repositories are skipped: messages, changes and, if asked for, counts
+        assert plan_of(found).count("PartitionFilters: [isnotnull(repo_bucket") >= 2
+        assert plan_of(found).count("dynamicpruning") >= 2
+    assert hashes(mine(QUERY, landed, staged=True)) == hashes(mine(QUERY, tables))
+
+
+def test_landed_trees(spark, tables, tmp_path):
+    trees = spark.createDataFrame([("o/a", "a1", "p", "1", "x"), ("o/a", "a2", "p", "1", "y")], TREE_ENTRIES)
+    path = str(tmp_path / "trees")
+    landed_tables.land(trees, path)
+    for entries in (trees, landed_tables.scan_tree_entries(spark, path)):
+        compared = MiningTables(tables.commits, tables.repos, tree_entries=entries)
+        assert hashes(mine(MiningQuery(["VR"], ["fix"], None, 0, 10, 0), compared)) == ["a1", "b1"]
+        changed = tree_diff(tables.commits, entries).select("hash", "path", "change_type").collect()
+        assert sorted(tuple(r) for r in changed) == [("a2", "p", "MODIFY"), ("a3", "p", "DELETE")]
 
 
 def test_shared_dir_is_the_cluster_setting(spark):
