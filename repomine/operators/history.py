@@ -27,7 +27,9 @@ def first_parent(commits: DataFrame, all_commits: DataFrame | None = None) -> Da
 
     Give ``all_commits`` where ``commits`` is only a part of the table.
     """
-    known = (commits if all_commits is None else all_commits).select("repo_id", F.col("hash").alias("_key"), F.lit(True).alias("_found"))
+    known = (commits if all_commits is None else all_commits).select(
+        "repo_id", F.col("hash").alias("_key"), F.lit(True).alias("_found")
+    )
     # A root gets a key of its own that no commit has: null keys would all meet in one task.
     key = F.coalesce("parent", F.concat(F.lit("\0"), F.col("hash")))
     joined = parent_columns(commits).withColumn("_key", key).join(known, ["repo_id", "_key"], "left")

@@ -14,6 +14,7 @@ ROW_OVERHEAD = 64
 # Tasks a hot key is spread over. The salted exchanges are plain join exchanges, so adaptive execution
 # splits whatever is still too large in one of them.
 SALTS = 8
+SALTABLE = ("inner", "left", "left_semi", "left_anti")
 
 
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
@@ -32,8 +33,11 @@ def salted_join(
     """Equi-join in which the rows of one key of ``big`` go to ``salts`` places.
 
     ``spread_by`` must differ between the rows that share a key. The small side is repeated for every salt;
-    each row of ``big`` has one salt, so the result is that of the plain join.
+    each row of ``big`` has one salt, so the result is that of the plain join. That holds for joins that
+    give rows of ``big`` only with or without partners, not for those that keep rows of ``small``.
     """
+    if how not in SALTABLE:
+        raise ValueError(f"cannot salt a {how} join")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
     joined = big.withColumn("_salt", salt).join(small.withColumn("_salt", every_salt), [*on, "_salt"], how)

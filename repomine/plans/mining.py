@@ -120,13 +120,14 @@ def change_counts(
     return files_changed(changes, tables.unique_paths)
 
 
-def with_readable_diff(hits: DataFrame, tables: MiningTables) -> DataFrame:
+def with_readable_diff(hits: DataFrame, tables: MiningTables, repos: DataFrame | None = None) -> DataFrame:
     """Drop commits whose trees cannot be compared because the parent is not there; others go on.
 
-    Landed changes were compared before; there a ``diff_ok`` column of the commits is respected.
+    Landed changes were compared before; there a ``diff_ok`` column of the commits is respected. ``repos``,
+    measured to fit a broadcast, limits the commits among which the parents are looked up.
     """
     if tables.file_changes is None:
-        hits = first_parent(hits, tables.commits)
+        hits = first_parent(hits, tables.commits if repos is None else keep_repos(tables.commits, repos))
     return hits.where(F.col("diff_ok")) if "diff_ok" in hits.columns else hits
 
 
@@ -151,7 +152,7 @@ def filter_commits(
     hits = keyword_commits(repos, keywords, tables, broadcast)
     if staged:
         hits = cut_lineage(hits)
-    hits = with_readable_diff(hits, tables)
+    hits = with_readable_diff(hits, tables, only)
     prune = staged and tables.file_changes is not None and fits_broadcast(hits.select(*commit_key(hits)))
     counts = change_counts(hits, tables, only, prune)
     if with_count:
@@ -192,7 +193,12 @@ def mine_from_list(
 
 
 def write_mined(
-    repos: DataFrame, keywords: Sequence[str], max_modified_files: int, tables: MiningTables, base: str, fmt: str = "csv"
+    repos: DataFrame,
+    keywords: Sequence[str],
+    max_modified_files: int,
+    tables: MiningTables,
+    base: str,
+    fmt: str = "csv",
 ) -> str:
     """Write the ordered report of the given repositories and answer with the message of the run.
 
@@ -223,7 +229,12 @@ def run_search(query: MiningQuery, tables: MiningTables, base: str, fmt: str = "
 
 
 def run_list(
-    repos: DataFrame, keywords: Sequence[str], max_modified_files: int, tables: MiningTables, base: str, fmt: str = "csv"
+    repos: DataFrame,
+    keywords: Sequence[str],
+    max_modified_files: int,
+    tables: MiningTables,
+    base: str,
+    fmt: str = "csv",
 ) -> str:
     """The list form from start to report."""
     return write_mined(repos, keywords, max_modified_files, tables, base, fmt)

@@ -52,7 +52,10 @@ def pages_until_end(responses: DataFrame) -> DataFrame:
 
 
 def commit_count_from_responses(responses: DataFrame) -> DataFrame:
-    """``full_name, commit_count``, where the full name is the ``repo_id``: 0 for a request that failed or cannot be read."""
+    """``full_name, commit_count``: 0 for a request that failed or cannot be read.
+
+    The full name, ``owner/name``, is the ``repo_id`` of the other tables.
+    """
     count = F.when(succeeded(F.col("status")), commit_count(F.col("link"), F.col("body"))).otherwise(0)
     return responses.select("full_name", F.coalesce(count, F.lit(0)).cast("bigint").alias("commit_count"))
 
