@@ -66,7 +66,7 @@ def split_words_col(text: Column) -> Column:
 
 
 class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
+    def __missing__(self, word: bytes | str) -> int:
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
 
@@ -74,8 +74,8 @@ class _WordHashes(dict):
 _hashes = _WordHashes()
 
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    """A 64-bit hash of every word."""
+def word_hashes(words: list[bytes] | list[str]) -> np.ndarray:
+    """A 64-bit hash of every word, that of its UTF-8 bytes."""
     if len(_hashes) > WORD_CACHE:
         _hashes.clear()
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
