@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from repomine.llm.decontaminate import benchmark_matches
+from repomine.llm.packing import pack_documents, with_checksums
+from repomine.llm.quality import fit_quality, score_quality
 from repomine.llm.simhash import near_duplicates
 from repomine.llm.substring import remove_repeats
 from repomine.llm.text import read_table
@@ -15,6 +18,12 @@ from repomine.session import cut_lineage
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
+def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go."""
+    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    return score_quality(docs.select(*COLUMNS), model).where("predicted = 1").select(*COLUMNS)
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, whose id names the group.
 
@@ -40,9 +49,23 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return left.withColumn("n_chars", changed).select(*COLUMNS)
 
 
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go. A document without id cannot be named and stays."""
+    held = benchmark_matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.join(held, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the training sequences, with the checksum of their ids."""
+    return with_checksums(pack_documents(docs))
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("near_duplicates", drop_near_duplicates),
+    ("quality_classifier", drop_low_quality),
+    ("simhash_near_dedup", drop_near_duplicates),
     ("substring_dedup", cut_repeats),
+    ("benchmark_decontamination", drop_contaminated),
+    ("packing", pack),
 ]
 
 # The stages train a model, hash with XXH64 and run a tokenizer, which SQL cannot express.

@@ -6,14 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from repomine.llm import simhash, substring
+from repomine.llm import (
+    chat_format, decontaminate, packing, quality, simhash, spotsigs, substring, token_counts, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_token_counts": token_counts.op3_token_counts,
+    "op4_toxicity": toxicity.op4_toxicity,
+    "op5_chat_format": chat_format.op5_chat_format,
+    "op6_packing": packing.op6_packing,
     "op7_simhash": simhash.op7_simhash,
+    "op8_spotsigs": spotsigs.op8_spotsigs,
+    "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
 }
 
 # The other queries hash with XXH64, tokenize, train a model or read HTML; tests compare them with brute force.
 ORACLE: dict[str, str] = {
+    "op2_decontaminate": decontaminate.ORACLE,
+    "op5_chat_format": chat_format.ORACLE,
     "op10_substring": substring.ORACLE,
 }
