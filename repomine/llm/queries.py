@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repomine.llm import (
-    chat_format, decontaminate, packing, quality, simhash, spotsigs, substring, token_counts, toxicity,
+    chat_format, decontaminate, html_extract, packing, quality, simhash, spotsigs, substring, token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": html_extract.op1_html_extract,
     "op2_decontaminate": decontaminate.op2_decontaminate,
     "op3_token_counts": token_counts.op3_token_counts,
     "op4_toxicity": toxicity.op4_toxicity,
