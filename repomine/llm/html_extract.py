@@ -134,8 +134,9 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
     def close(kinds: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
         for at in range(len(open_nodes) - 1, 0, -1):
             if open_nodes[at].tag in kinds:
+                if any(n.tag in _BLOCKS for n in open_nodes[at:]):
+                    flush()
                 del open_nodes[at:]
-                flush()
                 return
             if open_nodes[at].tag in limits:
                 return

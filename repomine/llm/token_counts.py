@@ -132,9 +132,11 @@ def count_tokens(
         )
         docs = docs.join(lists, "doc_id", "left")
 
+    section_of = None if given else sections
+
     def of(text: str, listed: list[dict] | None) -> Sections:
-        if not given:
-            return sections(text)
+        if section_of:
+            return section_of(text)
         cut = [(x["n"], *(min(max(x[k], 0), len(text)) for k in "se")) for x in listed or []]
         return [c[0] for c in cut], [c[1] for c in cut], [max(c[1], c[2]) for c in cut]
 
