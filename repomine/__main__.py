@@ -34,9 +34,12 @@ def parser() -> argparse.ArgumentParser:
         form.add_argument("--max-modified-files", type=int, default=DEFAULT_MAX_FILES)
         form.add_argument("--out", default="reports")
         form.add_argument("--format", choices=["csv", "parquet"], default="csv")
+        form.add_argument("--with-files", action="store_true", help="add repository and number of changed files")
+        form.add_argument("--history", help="folder of the table of past searches, to add this run to")
     source = search.add_mutually_exclusive_group(required=True)
     source.add_argument("--repos", help="folder of the repositories table")
     source.add_argument("--search-responses", help="folder of landed search answers (Parquet)")
+    search.add_argument("--search-id", help="which of the landed searches to take; all of them by default")
     search.add_argument("--count-responses", help="folder of landed commit-count answers (Parquet)")
     search.add_argument("--domains", default="")
     search.add_argument("--commit-filter", default="", help="greater or less")
@@ -59,12 +62,15 @@ def main(arguments: Sequence[str] | None = None) -> str:
         if repos.isEmpty():
             return NO_LIST
         keywords = split_terms(args.keywords)
-        return run_list(repos, keywords, args.max_modified_files, landed, args.out, args.format)
+        return run_list(
+            repos, keywords, args.max_modified_files, landed, args.out, args.format, args.with_files, args.history
+        )
 
     if args.repos:
         repos = tables.scan_repos(spark, args.repos)
     else:
-        repos = repos_from_responses(spark.read.schema(SEARCH_RESPONSES).parquet(args.search_responses))
+        answers = spark.read.schema(SEARCH_RESPONSES).parquet(args.search_responses)
+        repos = repos_from_responses(answers, args.search_id)
     counts = None
     if args.count_responses:
         answers = spark.read.schema(COUNT_RESPONSES).parquet(args.count_responses)
@@ -73,8 +79,10 @@ def main(arguments: Sequence[str] | None = None) -> str:
         args.domains, args.keywords, commit_filter=args.commit_filter, commit_threshold=args.commit_threshold,
         min_stars=args.min_stars, max_modified_files=args.max_modified_files,
     )
-    inputs = MiningTables(landed.commits, repos, landed.file_changes, landed.tree_entries, counts)
-    return run_search(query, inputs, args.out, args.format)
+    inputs = MiningTables(
+        landed.commits, repos, landed.file_changes, landed.tree_entries, counts, answered=not args.repos
+    )
+    return run_search(query, inputs, args.out, args.format, args.with_files, args.history)
 
 
 if __name__ == "__main__":

@@ -23,6 +23,8 @@ BLANKS = "".join(map(chr, range(0x21)))
 MAX_SEPARATE_TERMS = 24
 # Characters of a term that are searched at once, at least.
 MIN_TAIL = 4
+# Groups of a pattern within each other, at most.
+MAX_NESTING = 64
 
 
 def split_terms(text: str, trim: bool = False) -> list[str]:
@@ -77,9 +79,15 @@ def _rare_starts(terms: Sequence[str]) -> dict[str, int]:
     return starts
 
 
-def _alternation(tails: Sequence[tuple[str, str]]) -> str:
-    """Pattern for any of the sorted (rest of the tail, whole term) pairs, with common prefixes shared."""
+def _alternation(tails: Sequence[tuple[str, str]], depth: int = 0) -> str:
+    """Pattern for any of the sorted (rest of the tail, whole term) pairs, with common prefixes shared.
+
+    Groups nest up to ``MAX_NESTING``; what lies deeper is listed, since both this function and the pattern
+    engine go one step down the stack per group.
+    """
     branches = []
+    if depth == MAX_NESTING:
+        return "|".join(f"{_escaped(tail)}(?<={_escaped(term)})" for tail, term in tails)
     for _, group in itertools.groupby(tails, key=lambda t: t[0][:1]):
         members = list(group)
         prefix = os.path.commonprefix([tail for tail, _ in members])
@@ -87,7 +95,7 @@ def _alternation(tails: Sequence[tuple[str, str]]) -> str:
             branches += [f"(?<={_escaped(term)})" for _, term in members]
         else:
             rest = [(tail[len(prefix):], term) for tail, term in members]
-            branches.append(f"{_escaped(prefix)}(?:{_alternation(rest)})")
+            branches.append(f"{_escaped(prefix)}(?:{_alternation(rest, depth + 1)})")
     return "|".join(branches)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repomine.functions.buckets import BUCKET, bucketed, repo_bucket
-from repomine.operators.joins import salted_join, small_side_join
+from repomine.operators.joins import small_side_join
 from repomine.schemas import COMMIT_KEY
 
 
@@ -48,7 +48,8 @@ def match_tally(repos: DataFrame, commits: DataFrame, kept: Column) -> DataFrame
         F.count("*").alias("scanned"), F.count_if(kept).alias("matched")
     )
     spread = F.col("repo_ord") if "repo_ord" in repos.columns else F.col("clone_url")
-    joined = salted_join(repos, tally, ["repo_id"], spread, "left")
+    # One row per repository with a commit: broadcast if measured to fit.
+    joined = small_side_join(repos, tally, ["repo_id"], spread, "left")
     return joined.na.fill(0, ["scanned", "matched"])
 
 

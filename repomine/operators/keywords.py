@@ -2,52 +2,76 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repomine.functions.text import contains_any
-from repomine.operators.joins import salted_join
+from repomine.operators.joins import small_side_join
 from repomine.schemas import COMMIT_KEY
+from repomine.session import cut_lineage
 
 # A list up to this size becomes one pattern, evaluated in the scan of the commits.
 MAX_PATTERN_TERMS = 20_000
 MAX_PATTERN_CHARS = 1_000_000
 
-# Lengths of the first piece of a term by which terms and texts meet in the shuffled form.
-ANCHOR_LENGTHS = (0, 1, 2, 4, 8, 16)
-
+# Lengths of the piece of a term by which terms and texts meet in the shuffled form.
+ANCHOR_LENGTHS = (1, 2, 4, 8, 16)
 
-def _anchor(term: Column) -> Column:
-    sized = [F.when(F.length(term) >= n, F.substring(term, 1, n)) for n in reversed(ANCHOR_LENGTHS)]
-    return F.coalesce(*sized)
 
+def _pieces(text: Column, lengths: Sequence[int]) -> Column:
+    """Distinct substrings of the given lengths.
 
-def _pieces(text: Column) -> Column:
-    """Distinct substrings of the anchor lengths. Splitting once keeps this linear in the text."""
-    chars = F.split(text, "")
-    size = F.size(chars)
+    The one-element array binds the characters to a variable: they are split once, so this is linear in the
+    text, and so is the work for each of them.
+    """
 
-    def grams(n: int) -> Column:
-        starts = F.sequence(F.lit(1), F.greatest(size - (n - 1), F.lit(1)))
+    def grams(chars: Column, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(chars) - (n - 1), F.lit(1)))
         joined = F.transform(starts, lambda i: F.array_join(F.slice(chars, i, n), ""))
         return F.array_distinct(F.filter(joined, lambda g: F.length(g) == n))
 
-    return F.concat(F.array(F.lit("")), *[grams(n) for n in ANCHOR_LENGTHS if n])
+    bound = F.array(F.split(text, ""))
+    return F.flatten(F.transform(bound, lambda chars: F.concat(*[grams(chars, n) for n in lengths])))
+
+
+def _anchors(terms: DataFrame) -> DataFrame:
+    """``term, piece``: of the pieces of a term, of the longest length it has, the one fewest terms share.
+
+    Terms that begin alike (addresses, say) thus meet only texts that hold what tells them apart.
+    """
+    sized = [F.when(F.length("term") >= n, F.lit(n)) for n in reversed(ANCHOR_LENGTHS)]
+    cut = [F.when(F.col("n") == n, _pieces(F.col("term"), [n])) for n in ANCHOR_LENGTHS]
+    pieces = terms.withColumn("n", F.coalesce(*sized)).select("term", F.explode(F.coalesce(*cut)).alias("piece"))
+    shared = pieces.groupBy("piece").agg(F.count("*").alias("terms"))
+    best = pieces.join(shared, "piece").groupBy("term").agg(F.min(F.struct("terms", "piece")).alias("best"))
+    return best.select("term", "best.piece")
 
 
 def _match_by_pieces(commits: DataFrame, terms: DataFrame) -> DataFrame:
+    """Commits that hold a term, by a shuffle of the pieces of their text.
+
+    Pieces that no term is anchored on are dropped against the distinct anchors before terms are joined, and
+    a text meets all its candidate terms in one row.
+    """
+    if not terms.where("term = ''").isEmpty():
+        return commits.where("message is not null")
+    anchored = cut_lineage(_anchors(terms))
+    pieces_used = anchored.select("piece").distinct()
+    lengths = [r["n"] for r in pieces_used.select(F.length("piece").alias("n")).distinct().collect()]  # at most 5
+    if not lengths:
+        return commits.where(F.lit(False))
     low = F.lower("message")
-    pieces = commits.select(*COMMIT_KEY, F.explode(_pieces(low)).alias("piece"))
-    anchored = terms.select("term", _anchor(F.col("term")).alias("piece"))
-    candidates = salted_join(pieces, anchored, ["piece"], F.col("hash")).select(*COMMIT_KEY, "term").distinct()
-    hits = (
-        commits.select(*COMMIT_KEY, low.alias("low"))
-        .join(candidates, COMMIT_KEY)
-        .where(F.contains("low", "term"))
-        .select(*COMMIT_KEY)
-        .distinct()
+    keyed = commits.where("message is not null")
+    pieces = keyed.select(*COMMIT_KEY, F.explode(_pieces(low, sorted(lengths))).alias("piece"))
+    met = small_side_join(pieces, pieces_used, ["piece"], F.col("hash"), "left_semi")
+    candidates = small_side_join(met, anchored, ["piece"], F.col("hash")).groupBy(*COMMIT_KEY).agg(
+        F.collect_set("term").alias("_terms")
     )
-    return commits.join(hits, COMMIT_KEY, "left_semi")
+    held = keyed.select(*COMMIT_KEY, F.array(low).alias("_low")).join(candidates, COMMIT_KEY)
+    hits = held.where(F.exists("_low", lambda text: F.exists("_terms", lambda term: F.contains(text, term))))
+    return commits.join(hits.select(*COMMIT_KEY), COMMIT_KEY, "left_semi")
 
 
 def match_keyword_table(

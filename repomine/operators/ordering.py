@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 from repomine.session import cut_lineage
 
 PAGE_SIZE = 100
+# Rows of a slice, about, and rows up to which one task may sort out a page.
+SLICE_ROWS = 1_000_000
+TOP_ROWS = 100_000
 
 
 def number_rows(
@@ -22,7 +25,7 @@ def number_rows(
     most one such offset per range, and that bounds the broadcast. The ranges are written out first: they
     come from a sample and must not be drawn anew when a lost task is repeated.
     """
-    n = slices or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = slices or max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // SLICE_ROWS + 1)
     ranged = df.repartitionByRange(n, *keys, *order).withColumn("_slice", F.spark_partition_id())
     placed = cut_lineage(ranged)
 
@@ -44,7 +47,10 @@ def log_position(commits: DataFrame) -> DataFrame:
 
 
 def result_page(df: DataFrame, page: int, order: Sequence[Column], size: int = PAGE_SIZE) -> DataFrame:
-    """Page ``page`` (from 1) of the ordered rows. For a deep page, filter :func:`all_pages` instead."""
+    """Page ``page`` (from 1) of the ordered rows. A deep page is cut out of all pages, not sorted in one task."""
+    if size * page > TOP_ROWS:
+        numbered = number_rows(df, order, name="_page_row")
+        return numbered.where(F.col("_page_row").between(size * (page - 1) + 1, size * page)).drop("_page_row")
     return df.orderBy(*order).offset(size * (page - 1)).limit(size)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repomine.functions.dates import java_date_text
@@ -16,6 +16,8 @@ REPORT_HEADERS = {
     "author": "Author",
     "date": "Date",
     "message": "Message",
+    "repository": "Repository",
+    "files_changed": "Files Changed",
 }
 NO_REPOSITORIES = "No repositories found."
 NO_COMMITS = "No relevant commits found."
@@ -48,6 +50,14 @@ def status_text(repos: Column, commits: Column) -> Column:
     return F.when(repos == 0, NO_REPOSITORIES).when(commits == 0, NO_COMMITS).otherwise(done)
 
 
+def run_totals(spark: SparkSession, repos: int, commits: int) -> DataFrame:
+    """The row of :func:`run_summary` where both numbers are known."""
+    totals = spark.range(1).select(
+        F.lit(repos).cast("bigint").alias("repos_scanned"), F.lit(commits).cast("bigint").alias("commits_matched")
+    )
+    return totals.withColumn("status", status_text(F.col("repos_scanned"), F.col("commits_matched")))
+
+
 def run_summary(repos: DataFrame, report: DataFrame) -> DataFrame:
     """One row: length of the repository list, rows of the report, and the message of the run."""
     rows = repos.select(F.lit(1).alias("r"), F.lit(0).alias("c")).unionAll(

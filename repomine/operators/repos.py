@@ -81,11 +81,11 @@ def commit_count_filter(
 def with_commit_count(repos: DataFrame, counts: DataFrame, broadcast: bool = False) -> DataFrame:
     """Repositories with their commit count; 0 where none is known.
 
-    ``counts`` has one row per repository; ``broadcast`` says that it was measured to fit. Otherwise the
-    repositories are salted by their position, since one may be listed many times.
+    ``broadcast`` says that ``counts`` was measured to fit. Otherwise the repositories are salted by their
+    position, since one may be listed many times. Of several counts of a repository the greatest is taken.
     """
     spread = F.col("repo_ord") if "repo_ord" in repos.columns else F.col("clone_url")
-    counts = counts.select("repo_id", "commit_count")
+    counts = counts.groupBy("repo_id").agg(F.max("commit_count").alias("commit_count"))
     joined = small_side_join(repos, counts, ["repo_id"], spread, "left", broadcast)
     return joined.withColumn("commit_count", F.coalesce("commit_count", F.lit(0)).cast("bigint"))
 

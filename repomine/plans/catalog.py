@@ -6,7 +6,8 @@ checks the roles.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import dataclasses
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,10 +16,16 @@ from repomine.functions import responses, text, urls
 from repomine.functions.dates import java_date_text, stamp_text
 from repomine.operators import diffs, health, history, keywords, ordering, report
 from repomine.operators import repos as repo_ops
+from repomine.operators.joins import fits_broadcast
 from repomine.plans import mining, roles
-from repomine.session import configure, scratch_path
+from repomine.session import configure, cut_lineage, scratch_path
+from repomine.sources import tables
+from repomine.sources.lists import scan_repo_list as read_repo_list
 from repomine.sources.reports import read_report, write_report
-from repomine.sources.search import commit_count_from_responses, pages_until_end, search_pages
+from repomine.sources.search import (
+    commit_count_from_responses, pages_until_end, repos_from_responses, search_pages,
+)
+from repomine.sources.search import scan_search_pages as read_search_pages
 from repomine.streaming.refresh import landed_stream, matching_stream, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -69,6 +76,12 @@ _REPORT_COLUMNS = f"""{_COMMIT_URL} AS commit_url, CAST(o_orderkey AS VARCHAR) A
     o_orderstatus AS author, {_ORDER_DATE} AS date, o_orderpriority AS message"""
 _MINED = f"""FROM orders JOIN chosen ON o_custkey = c_custkey LEFT JOIN files ON l_orderkey = o_orderkey
     WHERE {_ANY_PRIORITY} AND (o_orderstatus = 'P' OR coalesce(n, 0) <= 4)"""
+_PAGE_ITEMS = """SELECT 'org/r' || c_custkey AS repo_id, c_name AS full_name,
+    'https://github.com/org/r' || c_custkey || '.git' AS clone_url, 'nation ' || c_nationkey AS description,
+    c_mktsegment || '|topic' AS topics, CAST(floor(c_acctbal) AS INTEGER) AS stars FROM customer
+    UNION ALL SELECT '', c_mktsegment, '', '', '', 0 FROM customer"""
+_ENDS = """ends AS (SELECT c_nationkey AS nation, min(CASE WHEN c_acctbal < 0 THEN c_custkey - 1
+        WHEN c_acctbal > 9000 THEN c_custkey END) AS last FROM customer GROUP BY c_nationkey)"""
 _LISTED = "listed AS (SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'HOUSEHOLD'))"
 _TREES = """trees AS (
     SELECT l_orderkey AS h, 'file' || l_linenumber AS path, max(l_returnflag) AS mode,
@@ -113,6 +126,24 @@ def mine_search_staged(spark, sf_dir):
     return mining.mine(FLAGSHIP, _mining_tables(spark, sf_dir), staged=True)
 
 
+@query(
+    f"""WITH {_FILES}, {_ENDS}, chosen AS (
+        SELECT c_custkey FROM customer JOIN ends ON c_nationkey = nation
+        WHERE (last IS NULL OR c_custkey <= last) AND floor(c_acctbal) >= 1000
+        AND CASE c_mktsegment WHEN 'MACHINERY' THEN 0 WHEN 'BUILDING' THEN 1 ELSE c_custkey END > 8)
+    SELECT {_REPORT_COLUMNS} {_MINED}"""
+)
+def mine_search_landed(spark, sf_dir):
+    """The search form over landed answers: of the searches, and of the requests for commit counts."""
+    counts = commit_count_from_responses(roles.count_responses(spark, sf_dir, "concat('org/r', c_custkey)"))
+    found = mining.MiningTables(
+        commits=roles.commits(spark, sf_dir), repos=repos_from_responses(roles.search_responses(spark, sf_dir)),
+        file_changes=roles.file_changes(spark, sf_dir), unique_paths=False, answered=True,
+        commit_counts=counts.withColumnRenamed("full_name", "repo_id"),
+    )
+    return mining.mine(FLAGSHIP, found)
+
+
 @query(
     f"""WITH {_FILES}, {_LISTED} SELECT
     CASE WHEN c_mktsegment = 'FURNITURE' THEN 'http' ELSE 'https' END
@@ -141,8 +172,8 @@ def mine_trees(spark, sf_dir):
     repos = commits.groupBy("repo_id").agg(
         F.lit("https://github.com/org/orders.git").alias("clone_url"), F.lit(0).cast("bigint").alias("repo_ord")
     )
-    tables = mining.MiningTables(commits=commits, tree_entries=roles.tree_entries(spark, sf_dir))
-    return mining.mine_from_list(repos, PRIORITIES, 4, tables)
+    found = mining.MiningTables(commits=commits, tree_entries=roles.tree_entries(spark, sf_dir))
+    return mining.mine_from_list(repos, PRIORITIES, 4, found)
 
 
 # ---- sources and sinks
@@ -158,18 +189,74 @@ def repo_list(spark, sf_dir):
 
 
 @query(
-    """SELECT 'org/r' || c_custkey AS repo_id, c_name AS full_name, CAST(floor(c_acctbal) AS INTEGER) AS stars
-    FROM customer UNION ALL SELECT '', c_mktsegment, 0 FROM customer""",
+    f"""{_PAGE_ITEMS}""",
     key="search_pages",
 )
 def flattened_pages(spark, sf_dir):
-    pages = search_pages(roles.search_responses(spark, sf_dir))
-    return pages.select(F.coalesce("repo_id", F.lit("")).alias("repo_id"), "full_name", "stars")
+    return _plain_repos(search_pages(roles.search_responses(spark, sf_dir)))
+
+
+def _plain_repos(repos: DataFrame) -> DataFrame:
+    text_columns = [F.coalesce(c, F.lit("")).alias(c) for c in ("repo_id", "full_name", "clone_url", "description")]
+    topics = F.array_join(F.coalesce("topics", F.array().cast("array<string>")), "|").alias("topics")
+    return repos.select(*text_columns, topics, "stars")
+
+
+@query(_PAGE_ITEMS)
+def scan_search_pages(spark, sf_dir):
+    """Pages written as one file each and read back."""
+    path = scratch_path(spark, "pages")
+    roles.page_bodies(spark, sf_dir).repartition("nation").write.partitionBy("nation").text(path)
+    return _plain_repos(read_search_pages(spark, path))
+
+
+@query(
+    """SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'http' ELSE 'https' END
+        || '://github.com/org/r' || c_custkey || '.git' AS clone_url, 'org/r' || c_custkey AS repo_id
+    FROM customer WHERE c_mktsegment NOT IN ('MACHINERY', 'HOUSEHOLD')"""
+)
+def scan_repo_list(spark, sf_dir):
+    """A list written as text and read back."""
+    path = scratch_path(spark, "list")
+    roles.list_lines(spark, sf_dir).select("value").write.text(path)
+    return read_repo_list(spark, path).select("clone_url", "repo_id")
+
+
+def _landed(spark, df, scan):
+    path = scratch_path(spark, "landed")
+    tables.land(df, path)
+    return scan(spark, path)
 
 
 @query(
-    """WITH ends AS (SELECT c_nationkey AS nation, min(CASE WHEN c_acctbal < 0 THEN c_custkey - 1
-        WHEN c_acctbal > 9000 THEN c_custkey END) AS last FROM customer GROUP BY c_nationkey)
+    f"""SELECT 'org/r' || o_custkey AS repo_id, CAST(o_orderkey AS VARCHAR) AS hash,
+    CASE WHEN o_orderstatus = 'P' THEN '' ELSE CAST(o_orderkey - 1 AS VARCHAR) END AS parents,
+    o_orderstatus AS author, {_ORDER_DATE} AS authored_at, {_ORDER_DATE} AS committed_at,
+    o_orderpriority AS message FROM orders"""
+)
+def scan_commits(spark, sf_dir):
+    rows = _landed(spark, roles.commits(spark, sf_dir), tables.scan_commits)
+    times = [java_date_text(F.col(c)).alias(c) for c in ("authored_at", "committed_at")]
+    return rows.select("repo_id", "hash", F.array_join("parents", "|").alias("parents"), "author", *times, "message")
+
+
+@query(f"WITH {_TREES} SELECT 'orders' AS repo_id, CAST(h AS VARCHAR) AS hash, path, mode, CAST(blob AS VARCHAR) AS blob_id FROM trees")
+def scan_tree_entries(spark, sf_dir):
+    rows = _landed(spark, roles.tree_entries(spark, sf_dir), tables.scan_tree_entries)
+    return rows.select("repo_id", "hash", "path", "mode", "blob_id")
+
+
+@query(
+    """SELECT 'org/s' || l_suppkey AS repo_id, CAST(l_orderkey AS VARCHAR) AS hash,
+    l_partkey || '/' || l_linenumber AS path, l_returnflag AS change_type FROM lineitem"""
+)
+def scan_file_changes(spark, sf_dir):
+    rows = _landed(spark, roles.landed_changes(spark, sf_dir), tables.scan_file_changes)
+    return rows.select("repo_id", "hash", "path", "change_type")
+
+
+@query(
+    f"""WITH {_ENDS}
     SELECT c_name AS full_name FROM customer JOIN ends ON c_nationkey = nation
     WHERE last IS NULL OR c_custkey <= last"""
 )
@@ -189,19 +276,32 @@ def link_commit_count(spark, sf_dir):
 
 @query(
     f"""SELECT 'https://github.com/' || source || '/commit/' || doc_id AS commit_url,
-    CAST(doc_id AS VARCHAR) AS commit_hash, lang AS author, {_CUT.format('text')} AS message
+    CAST(doc_id AS VARCHAR) AS commit_hash, lang AS author,
+    {_DATE.format("TIMESTAMP '2024-01-01' + to_minutes(doc_id)")} AS date, {_CUT.format('text')} AS message
     FROM documents"""
 )
 def report_rows(spark, sf_dir):
     """Rows of a report written as CSV and read back, with line ends and quotes in the messages."""
-    commits = roles.text_commits(spark, sf_dir).withColumns(
-        {
-            "clone_url": F.concat(F.lit("https://github.com/"), "repo_id", F.lit(".git")),
-            "authored_at": F.lit(None).cast("timestamp"),
-        }
-    )
+    url = F.concat(F.lit("https://github.com/"), "repo_id", F.lit(".git"))
+    commits = roles.text_commits(spark, sf_dir).withColumn("clone_url", url)
     path = write_report(report.to_report(commits), scratch_path(spark, "reports"))
-    return read_report(spark, path).drop("date")
+    return read_report(spark, path)
+
+
+@query(
+    f"""WITH {_FILES}, {_CHOSEN} SELECT {_REPORT_COLUMNS},
+    'https://github.com/org/r' || o_custkey || '.git' AS repository, CAST(coalesce(n, 0) AS VARCHAR) AS files_changed {_MINED}"""
+)
+def report_rows_files(spark, sf_dir):
+    """The report with repository and changed files, as a run writes it."""
+    return read_report(spark, _run(spark, sf_dir)[0])
+
+
+def _run(spark, sf_dir) -> tuple[str, str]:
+    """One run of the search form: the folder of its report, and that of the table of searches."""
+    base, past = scratch_path(spark, "reports"), scratch_path(spark, "history")
+    done = mining.run_search(FLAGSHIP, _mining_tables(spark, sf_dir), base, with_files=True, history=past)
+    return done.split("generated report: ")[-1].split(" with ")[0], past
 
 
 @query(
@@ -213,8 +313,14 @@ def report_rows(spark, sf_dir):
     FROM n"""
 )
 def run_summary(spark, sf_dir):
-    tables = _mining_tables(spark, sf_dir)
-    return report.run_summary(mining.choose_repos(FLAGSHIP, tables), mining.mine(FLAGSHIP, tables))
+    found = _mining_tables(spark, sf_dir)
+    # Chosen once: the number of them and the search both start from what was written.
+    chosen = cut_lineage(mining.choose_repos(FLAGSHIP, found))
+    small = fits_broadcast(chosen)
+    kept = mining.filter_commits(
+        chosen, FLAGSHIP.keywords, FLAGSHIP.max_modified_files, found, small, chosen if small else None
+    )
+    return report.run_summary(chosen, kept)
 
 
 # ---- filters
@@ -295,12 +401,11 @@ def keyword_any(spark, sf_dir):
     return hits.select(F.col("hash").cast("bigint").alias("doc_id"))
 
 
-@query("SELECT doc_id FROM documents WHERE 1 = 0")
+@query("SELECT doc_id, false AS hit FROM documents")
 def keyword_empty_list(spark, sf_dir):
     """Only commas in the field: no term, no commit."""
-    commits = roles.text_commits(spark, sf_dir)
-    hits = commits.where(text.contains_any(F.col("message"), text.split_terms(",,")))
-    return hits.select(F.col("hash").cast("bigint").alias("doc_id"))
+    hit = text.contains_any(F.col("message"), text.split_terms(",,"))
+    return roles.text_commits(spark, sf_dir).select(F.col("hash").cast("bigint").alias("doc_id"), hit.alias("hit"))
 
 
 @query("SELECT doc_id FROM documents WHERE text IS NOT NULL")
@@ -326,8 +431,42 @@ def max_files_changed(spark, sf_dir):
     WHERE {_ANY_PRIORITY} AND (o_orderstatus = 'P' OR coalesce(n, 0) <= 4)"""
 )
 def commit_filter(spark, sf_dir):
-    tables = _mining_tables(spark, sf_dir)
-    kept = mining.filter_commits(tables.repos, PRIORITIES, 4, tables)
+    found = _mining_tables(spark, sf_dir)
+    kept = mining.filter_commits(found.repos, PRIORITIES, 4, found)
+    return kept.select(F.col("hash").cast("bigint").alias("o_orderkey"))
+
+
+@query(
+    f"""WITH {_FILES} SELECT o_orderkey FROM orders JOIN customer ON c_custkey = o_custkey
+    LEFT JOIN files ON l_orderkey = o_orderkey
+    WHERE {_ANY_PRIORITY} AND (o_orderstatus = 'P' OR coalesce(n, 0) <= 4)
+    AND (o_custkey % 3 = 0 OR (o_custkey % 3 = 1 AND o_orderkey % 5 <> 0))"""
+)
+def commit_filter_unreadable(spark, sf_dir):
+    """Landed changes with a mark for commits that could not be compared; null marks nothing."""
+    found = _mining_tables(spark, sf_dir)
+    number, commit = F.substring("repo_id", 6, 20).cast("bigint"), F.col("hash").cast("bigint")
+    mark = F.when(number % 3 == 1, commit % 5 != 0).when(number % 3 == 2, F.lit(False))
+    marked = dataclasses.replace(found, commits=found.commits.withColumn("diff_ok", mark))
+    kept = mining.filter_commits(found.repos, PRIORITIES, 4, marked)
+    return kept.select(F.col("hash").cast("bigint").alias("o_orderkey"))
+
+
+@query(
+    f"""WITH {_TREE_DIFF}, sizes AS (SELECT h, count(*) AS n FROM diff GROUP BY h)
+    SELECT o_orderkey FROM orders LEFT JOIN sizes ON h = o_orderkey
+    WHERE {_ANY_PRIORITY} AND (o_orderkey = 0 OR (o_orderkey % 7 <> 0 AND coalesce(n, 0) <= 4))"""
+)
+def mine_trees_unreadable(spark, sf_dir):
+    """Trees compared here; some commits name a parent that is not in the table and are dropped."""
+    commits = roles.linear_commits(spark, sf_dir)
+    lost = (F.col("hash").cast("bigint") % 7 == 0) & (F.col("hash") != "0")
+    commits = commits.withColumn("parents", F.when(lost, F.array(F.lit("gone"))).otherwise(F.col("parents")))
+    repos = commits.groupBy("repo_id").agg(
+        F.lit("https://github.com/org/orders.git").alias("clone_url"), F.lit(0).cast("bigint").alias("repo_ord")
+    )
+    found = mining.MiningTables(commits=commits, tree_entries=roles.tree_entries(spark, sf_dir))
+    kept = mining.filter_commits(repos, PRIORITIES, 4, found)
     return kept.select(F.col("hash").cast("bigint").alias("o_orderkey"))
 
 
@@ -450,6 +589,17 @@ def keyword_semi_join(spark, sf_dir):
     return hits.select(F.col("hash").cast("bigint").alias("doc_id"))
 
 
+@query(
+    """SELECT doc_id FROM documents WHERE EXISTS
+    (SELECT 1 FROM benchmark WHERE contains(lower(documents.text), lower(benchmark.text)))"""
+)
+def keyword_semi_join_shuffled(spark, sf_dir):
+    """The form for lists of any length."""
+    terms = roles.table(spark, sf_dir, "benchmark").select(F.col("text").alias("keyword"))
+    hits = keywords.match_keyword_table(roles.text_commits(spark, sf_dir), terms, max_terms=-1)
+    return hits.select(F.col("hash").cast("bigint").alias("doc_id"))
+
+
 @query(_COUNTED)
 def repo_with_commit_count(spark, sf_dir):
     return _counted(spark, sf_dir)
@@ -539,13 +689,12 @@ def union_all_pages(spark, sf_dir):
 
 
 @query(
-    """SELECT doc_id, replace(url_encode(regexp_replace(text, '[*~]', '', 'g')), '%20', '+') AS encoded
+    """SELECT doc_id, replace(replace(replace(url_encode(text), '%20', '+'), '%2A', '*'), '~', '%7E') AS encoded
     FROM documents"""
 )
 def url_encode(spark, sf_dir):
-    """DuckDB encodes the star and the tilde in another way, so both sides leave them out."""
     documents = roles.table(spark, sf_dir, "documents")
-    return documents.select("doc_id", F.url_encode(F.regexp_replace("text", "[*~]", "")).alias("encoded"))
+    return documents.select("doc_id", F.url_encode("text").alias("encoded"))
 
 
 @query("SELECT p_partkey, replace(p_name, ' ', ' OR ') AS domain_query FROM part")
@@ -663,6 +812,20 @@ def refactoring_tags(spark, sf_dir):
     return documents.select("doc_id", F.array_join(tags, "|").alias("tags"))
 
 
+def _tags_sql(terms: Mapping[str, Sequence[str]], column: str) -> str:
+    kinds = [
+        f"CASE WHEN {' OR '.join(f"contains(lower({column}), '{t}')" for t in terms[kind])} THEN '{kind}' END"
+        for kind in sorted(terms)
+    ]
+    return f"array_to_string(list_filter([{', '.join(kinds)}], lambda x: x IS NOT NULL), '|')"
+
+
+@query(f"SELECT doc_id, {_tags_sql(text.REFACTORING_TERMS, 'text')} AS tags FROM documents")
+def refactoring_tags_default(spark, sf_dir):
+    documents = roles.table(spark, sf_dir, "documents")
+    return documents.select("doc_id", F.array_join(text.refactoring_tags(F.col("text")), "|").alias("tags"))
+
+
 @query(
     f"""WITH {_FILES}, {_CHOSEN}, found AS (SELECT o_orderkey {_MINED}),
     n AS (SELECT (SELECT count(*) FROM chosen) AS r, (SELECT count(*) FROM found) AS c)
@@ -673,4 +836,4 @@ def refactoring_tags(spark, sf_dir):
     FROM n"""
 )
 def search_history(spark, sf_dir):
-    return mining.history_entry(FLAGSHIP, run_summary(spark, sf_dir))
+    return spark.read.parquet(_run(spark, sf_dir)[1])

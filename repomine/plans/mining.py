@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from repomine.functions.text import contains_any, split_terms, truncate_text
@@ -17,10 +17,10 @@ from repomine.operators.joins import fits_broadcast, keep_repos
 from repomine.operators.repos import (
     commit_count_filter, complete_repos, count_filter_active, match_domains, min_stars, with_commit_count,
 )
-from repomine.operators.report import NO_COMMITS, NO_REPOSITORIES, in_report_order, to_report
+from repomine.operators.report import NO_COMMITS, NO_REPOSITORIES, in_report_order, run_totals, to_report
 from repomine.schemas import commit_key
 from repomine.session import cut_lineage
-from repomine.sources.reports import write_report
+from repomine.sources.reports import append_history, write_report
 
 # Fixed value: the file limit a search starts with.
 DEFAULT_MAX_FILES = 10
@@ -50,7 +50,8 @@ class MiningTables:
     """Inputs. Changed files come from ``file_changes`` if given, else from ``tree_entries``.
 
     ``unique_paths=False`` is for landed changes that may repeat a path of a commit. ``commit_counts`` saves
-    the counting where counts have landed.
+    the counting where counts have landed. ``answered`` says that the repositories are a service's answer
+    to the domain terms: it found them by means of its own, so they are not compared with the terms again.
     """
 
     commits: DataFrame
@@ -59,12 +60,13 @@ class MiningTables:
     tree_entries: DataFrame | None = None
     commit_counts: DataFrame | None = None
     unique_paths: bool = True
+    answered: bool = False
 
 
 def candidate_repos(query: MiningQuery, tables: MiningTables) -> DataFrame:
     """Repositories that pass everything but the commit count."""
-    complete = complete_repos(tables.repos)
-    return match_domains(min_stars(complete, query.min_stars), query.domains).select(*REPO_COLUMNS)
+    kept = min_stars(complete_repos(tables.repos), query.min_stars)
+    return (kept if tables.answered else match_domains(kept, query.domains)).select(*REPO_COLUMNS)
 
 
 def choose_repos(query: MiningQuery, tables: MiningTables, small: bool | None = None) -> DataFrame:
@@ -105,30 +107,35 @@ def change_counts(
 ) -> DataFrame:
     """Changed files per commit: of all landed changes, or from the trees of ``hits`` and their parents.
 
-    Landed changes are counted without a join before it: the counts are combined ahead of the shuffle, while
-    a join with the hits would shuffle every change. Where a side was measured to fit a broadcast it prunes
-    the changes in the scan: ``repos`` by repository, with ``prune`` the hits themselves by commit.
+    Unique changes are counted without a join before it: the counts are combined ahead of the shuffle, while
+    a join with the hits would shuffle every change. Changes that may repeat a path are first cut down to the
+    hits, by their commit; that shuffle also places them for the distinct count, so they cross the wire once.
+    Where a side was measured to fit a broadcast it prunes the changes in the scan: ``repos`` by repository,
+    with ``prune`` the hits themselves by commit.
     """
     if tables.file_changes is None:
-        return files_changed(tree_diff(hits, tables.tree_entries))
+        trees = tables.tree_entries if repos is None else keep_repos(tables.tree_entries, repos)
+        return files_changed(tree_diff(hits, trees))
     changes = tables.file_changes
     if repos is not None and "repo_id" in changes.columns:
         changes = keep_repos(changes, repos)
-    if prune:
+    if prune or not tables.unique_paths:
         key = commit_key(changes)
-        changes = changes.join(F.broadcast(hits.select(*key)), key, "left_semi")
+        wanted = hits.select(*key)
+        changes = changes.join(F.broadcast(wanted) if prune else wanted, key, "left_semi")
     return files_changed(changes, tables.unique_paths)
 
 
 def with_readable_diff(hits: DataFrame, tables: MiningTables, repos: DataFrame | None = None) -> DataFrame:
     """Drop commits whose trees cannot be compared because the parent is not there; others go on.
 
-    Landed changes were compared before; there a ``diff_ok`` column of the commits is respected. ``repos``,
+    Landed changes were compared before; there a ``diff_ok`` column of the commits is respected, where null
+    says nothing against a commit. ``repos``,
     measured to fit a broadcast, limits the commits among which the parents are looked up.
     """
     if tables.file_changes is None:
         hits = first_parent(hits, tables.commits if repos is None else keep_repos(tables.commits, repos))
-    return hits.where(F.col("diff_ok")) if "diff_ok" in hits.columns else hits
+    return hits.where(F.coalesce("diff_ok", F.lit(True))) if "diff_ok" in hits.columns else hits
 
 
 def filter_commits(
@@ -177,7 +184,7 @@ def mined_commits(
 
 
 def mine(query: MiningQuery, tables: MiningTables, staged: bool = False) -> DataFrame:
-    """Report rows of the search form."""
+    """Report rows of the search form. The repositories are measured here; the rest is lazy unless staged."""
     return to_report(mined_commits(query, tables, staged=staged))
 
 
@@ -194,38 +201,46 @@ def mine_from_list(
 
 def write_mined(
     repos: DataFrame,
-    keywords: Sequence[str],
-    max_modified_files: int,
+    query: MiningQuery,
     tables: MiningTables,
     base: str,
     fmt: str = "csv",
+    with_files: bool = False,
+    history: str | None = None,
 ) -> str:
     """Write the ordered report of the given repositories and answer with the message of the run.
 
-    A run without a matching commit leaves a report that has only its header.
+    ``with_files`` adds the repository and the number of changed files to the report. ``history`` is the
+    table of past searches, to which the run is added. A run without a matching commit writes no report.
     """
     chosen = cut_lineage(repos.select(*REPO_COLUMNS))
     listed = chosen.count()
-    if listed == 0:
+    path, rows = "", 0
+    if listed:
+        small = fits_broadcast(chosen)
+        only = chosen if small else None
+        # The sort into report order reads its input twice, so it must not start from the messages.
+        kept = cut_lineage(filter_commits(
+            chosen, query.keywords, query.max_modified_files, tables, small, only, with_files, staged=True
+        ))
+        rows = kept.count()
+        if rows:
+            path = write_report(to_report(in_report_order(kept), files=with_files), base, fmt)
+    if history:
+        append_history(history_entry(query, run_totals(chosen.sparkSession, listed, rows)), history)
+    if not listed:
         return NO_REPOSITORIES
-    small = fits_broadcast(chosen)
-    only = chosen if small else None
-    # The sort into report order reads its input twice, so it must not start from the messages.
-    kept = filter_commits(chosen, keywords, max_modified_files, tables, small, only, staged=True)
-    written = Observation()
-    report = to_report(in_report_order(kept)).observe(written, F.count("*").alias("rows"))
-    path = write_report(report, base, fmt)
-    rows = written.get["rows"]
-    if rows == 0:
+    if not rows:
         return NO_COMMITS
     return f"Successfully generated report: {path} with {rows} commits from {listed} repositories"
 
 
-def run_search(query: MiningQuery, tables: MiningTables, base: str, fmt: str = "csv") -> str:
+def run_search(
+    query: MiningQuery, tables: MiningTables, base: str, fmt: str = "csv", with_files: bool = False,
+    history: str | None = None,
+) -> str:
     """The search form from start to report."""
-    return write_mined(
-        choose_repos(query, tables), query.keywords, query.max_modified_files, tables, base, fmt
-    )
+    return write_mined(choose_repos(query, tables), query, tables, base, fmt, with_files, history)
 
 
 def run_list(
@@ -235,9 +250,12 @@ def run_list(
     tables: MiningTables,
     base: str,
     fmt: str = "csv",
+    with_files: bool = False,
+    history: str | None = None,
 ) -> str:
     """The list form from start to report."""
-    return write_mined(repos, keywords, max_modified_files, tables, base, fmt)
+    query = MiningQuery(keywords=keywords, max_modified_files=max_modified_files)
+    return write_mined(repos, query, tables, base, fmt, with_files, history)
 
 
 def history_entry(query: MiningQuery, summary: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # The pages table has no address on the usual host, so its queries name this one.
 PAGES_HOST_PATTERN = r"[a-z.-]+\.example\.(com|org)"
@@ -95,9 +96,18 @@ def tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as commits with long messages."""
+    """Documents as commits with long messages, one a minute."""
     return table(spark, sf_dir, "documents").selectExpr(
-        "source AS repo_id", "CAST(doc_id AS STRING) AS hash", "lang AS author", "text AS message"
+        "source AS repo_id", "CAST(doc_id AS STRING) AS hash", "lang AS author",
+        "timestamp_seconds(1704067200 + 60 * doc_id) AS authored_at", "text AS message",
+    )
+
+
+def landed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as changed files of their supplier's repository."""
+    return table(spark, sf_dir, "lineitem").selectExpr(
+        "concat('org/s', l_suppkey) AS repo_id", "CAST(l_orderkey AS STRING) AS hash",
+        "concat(l_partkey, '/', l_linenumber) AS path", "l_returnflag AS change_type",
     )
 
 
@@ -141,26 +151,52 @@ def search_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as landed search pages, one search per nation.
 
     A page holds the customer and a second, incomplete repository. A negative balance is a failed request,
-    a balance above 9000 a page without a next one.
+    a balance above 9000 a page without a next one. Pages of one segment were asked for twice, and the first
+    attempt failed.
     """
-    return table(spark, sf_dir, "customer").selectExpr(
+    attempts = table(spark, sf_dir, "customer").selectExpr(
+        "*", "CASE WHEN c_acctbal < 0 THEN 500 ELSE 200 END AS done",
+        "c_mktsegment = 'BUILDING' AS retried",
+    ).selectExpr("*", "explode(CASE WHEN retried THEN array(502, done) ELSE array(done) END) AS status")
+    return attempts.selectExpr(
         "CAST(c_nationkey AS STRING) AS search_id",
         "CAST(c_custkey AS INT) AS page",
-        "CASE WHEN c_acctbal < 0 THEN 500 ELSE 200 END AS status",
+        "status",
         "CASE WHEN c_acctbal <= 9000 THEN concat('<https://x/s?page=', c_custkey + 1, '>; rel=\"next\"') END AS link",
-        "to_json(struct(array("
-        "  struct(concat('https://github.com/org/r', c_custkey, '.git') AS clone_url, c_name AS full_name,"
-        "    CAST(floor(c_acctbal) AS STRING) AS stargazers_count),"
-        "  struct(CAST(NULL AS STRING) AS clone_url, c_mktsegment AS full_name, 'many' AS stargazers_count)"
-        ") AS items)) AS body",
+        f"CASE WHEN status <> 502 THEN {_PAGE_BODY} END AS body",
     )
 
 
-def count_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers as landed commit-count responses: with a last-page link, with a body only, or failed."""
-    return table(spark, sf_dir, "customer").selectExpr(
-        "c_name AS full_name",
-        "CASE WHEN c_mktsegment = 'MACHINERY' THEN 404 ELSE 200 END AS status",
+_PAGE_BODY = (
+    "to_json(struct(array("
+    "  struct(concat('https://github.com/org/r', c_custkey, '.git') AS clone_url, c_name AS full_name,"
+    "    concat('nation ', c_nationkey) AS description, array(c_mktsegment, 'topic') AS topics,"
+    "    CAST(floor(c_acctbal) AS STRING) AS stargazers_count),"
+    "  struct(CAST(NULL AS STRING) AS clone_url, c_mktsegment AS full_name, CAST(NULL AS STRING) AS description,"
+    "    CAST(NULL AS ARRAY<STRING>) AS topics, 'many' AS stargazers_count)"
+    ") AS items))"
+)
+
+
+def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation, value``: search pages as text, one per nation."""
+    items = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", f"{_PAGE_BODY} AS page")
+    inner = F.array_join(F.collect_list(F.expr("substring(page, 11, length(page) - 12)")), ",")
+    return items.groupBy("nation").agg(F.concat(F.lit('{"items":['), inner, F.lit("]}")).alias("value"))
+
+
+def count_responses(spark: SparkSession, sf_dir: str, name: str = "c_name") -> DataFrame:
+    """Customers as landed commit-count responses: with a last-page link, with a body only, or failed.
+
+    Those of one segment failed at first and were asked for again; the failed attempt has a link too.
+    """
+    attempts = table(spark, sf_dir, "customer").selectExpr(
+        "*", "explode(CASE c_mktsegment WHEN 'MACHINERY' THEN array(404) WHEN 'AUTOMOBILE' THEN array(502, 200)"
+        " ELSE array(200) END) AS status",
+    )
+    return attempts.selectExpr(
+        f"{name} AS full_name",
+        "status",
         "CASE WHEN c_mktsegment <> 'BUILDING' THEN concat('<https://x/c?per_page=1&page=2>; rel=\"next\", "
         "<https://x/c?per_page=1&page=', c_custkey, '>; rel=\"last\"') END AS link",
         "'[{}]' AS body",

@@ -24,8 +24,10 @@ COMMITS = _struct(
     repo_id=_TEXT, hash=_TEXT, parents=T.ArrayType(_TEXT), author=_TEXT,
     authored_at=_TIME, committed_at=_TIME, message=_TEXT,
 )
-# Unique on (repo_id, hash, path). repo_id may be left out: a hash names the same commit, with the same
-# first parent, in every repository that holds it.
+# What a commits table may have besides: whether the commit could be compared with its parent.
+DIFF_OK = T.StructField("diff_ok", T.BooleanType(), True)
+# Unique on (repo_id, hash, path). FILE_CHANGES may leave repo_id out: a hash names the same commit, with
+# the same first parent, in every repository that holds it.
 TREE_ENTRIES = _struct(repo_id=_TEXT, hash=_TEXT, path=_TEXT, mode=_TEXT, blob_id=_TEXT)
 FILE_CHANGES = _struct(repo_id=_TEXT, hash=_TEXT, path=_TEXT, change_type=_TEXT)
 

@@ -18,6 +18,7 @@ SQL_SETTINGS = {
     # Keys seen by a stream are kept on local disk with a change log in the checkpoint, not on the heap.
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
 }
 
 

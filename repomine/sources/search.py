@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from repomine.functions.responses import commit_count, has_next, int_or_default, json_text, succeeded
 from repomine.functions.urls import repo_key
 from repomine.operators.joins import salted_join
-from repomine.operators.ordering import PAGE_SIZE
+from repomine.operators.ordering import number_rows
 from repomine.schemas import REPOS, SEARCH_PAGE
 
 
@@ -40,28 +40,48 @@ def search_pages(responses: DataFrame, keep: list[str] | None = None) -> DataFra
 def pages_until_end(responses: DataFrame) -> DataFrame:
     """Pages a search uses: up to the first that failed or is empty, or has no next page (that one included).
 
-    Columns ``search_id, page, status, link, body``; the pages of a search rise in the order they were asked.
+    Columns ``search_id, page, status, link, body``, one row per request. A page may have been asked for
+    several times: it failed only if no attempt succeeded, and one successful attempt of it is kept. The
+    pages of a search rise in the order they were asked.
     """
     # Looking for a first item costs less than reading the page, which is done for the pages kept only.
     usable = F.coalesce(succeeded(F.col("status")), F.lit(False)) & json_text(F.col("body"), "items[0]").isNotNull()
-    last = F.when(~usable, F.col("page") - 1).when(~has_next(F.col("link")), F.col("page"))
-    ends = responses.groupBy("search_id").agg(F.min(last).alias("_last"))
+    attempts = responses.withColumn("_usable", usable)
+    pages = attempts.groupBy("search_id", "page").agg(
+        F.bool_or("_usable").alias("usable"), F.bool_or(F.col("_usable") & has_next(F.col("link"))).alias("more")
+    )
+    last = F.when(~F.col("usable"), F.col("page") - 1).when(~F.col("more"), F.col("page"))
+    ends = pages.groupBy("search_id").agg(F.min(last).alias("_last"))
     # One search may have most of the pages, and bodies are long.
-    joined = salted_join(responses, ends, ["search_id"], F.col("page"))
-    return joined.where(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_last")
+    joined = salted_join(attempts.where("_usable").drop("_usable"), ends, ["search_id"], F.col("page"))
+    kept = joined.where(F.col("_last").isNull() | (F.col("page") <= F.col("_last"))).drop("_last")
+    # Of several successful attempts the one with a next page, whatever their order in the table.
+    best = F.max(F.struct(has_next(F.col("link")).alias("_more"), "status", "link", "body")).alias("_best")
+    return kept.groupBy("search_id", "page").agg(best).select(
+        "search_id", "page", "_best.status", "_best.link", "_best.body"
+    )
 
 
 def commit_count_from_responses(responses: DataFrame) -> DataFrame:
-    """``full_name, commit_count``: 0 for a request that failed or cannot be read.
+    """``full_name, commit_count``: one row per repository, 0 if no request succeeded or none can be read.
 
-    The full name, ``owner/name``, is the ``repo_id`` of the other tables.
+    A successful attempt counts before a failed one, and the greatest count of several. The full name,
+    ``owner/name``, is the ``repo_id`` of the other tables.
     """
-    count = F.when(succeeded(F.col("status")), commit_count(F.col("link"), F.col("body"))).otherwise(0)
-    return responses.select("full_name", F.coalesce(count, F.lit(0)).cast("bigint").alias("commit_count"))
+    good = F.coalesce(succeeded(F.col("status")), F.lit(False))
+    count = F.when(good, commit_count(F.col("link"), F.col("body")))
+    counts = responses.select("full_name", count.alias("count")).groupBy("full_name").agg(F.max("count").alias("count"))
+    return counts.select("full_name", F.coalesce("count", F.lit(0)).cast("bigint").alias("commit_count"))
 
 
-def repos_from_responses(responses: DataFrame) -> DataFrame:
-    """Repositories of landed searches in the order they were found, pages after the end left out."""
-    found = search_pages(pages_until_end(responses), ["page"])
-    order = F.col("page").cast("bigint") * PAGE_SIZE + F.col("item_no")
-    return found.withColumn("repo_ord", order).select(*REPOS.names)
+def repos_from_responses(responses: DataFrame, search_id: str | None = None) -> DataFrame:
+    """Repositories of landed searches (or of one of them) in the order search, page, place on the page.
+
+    Pages after the end of a search are left out. The positions are numbered in ranges, so neither the
+    number of items on a page nor that of the searches is bounded.
+    """
+    if search_id is not None:
+        responses = responses.where(F.col("search_id") == search_id)
+    found = search_pages(pages_until_end(responses), ["search_id", "page"])
+    numbered = number_rows(found, [F.col("search_id"), F.col("page"), F.col("item_no")], name="repo_ord")
+    return numbered.select(*REPOS.names)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from repomine.functions.buckets import BUCKET, repo_bucket
-from repomine.schemas import COMMITS, FILE_CHANGES, REPOS, TREE_ENTRIES
+from repomine.schemas import COMMITS, DIFF_OK, FILE_CHANGES, REPOS, TREE_ENTRIES
 
 
 def land(df: DataFrame, path: str, mode: str = "append") -> None:
@@ -29,7 +29,8 @@ def scan_repos(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFram
 
 
 def scan_commits(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:
-    return _scan(spark, path, COMMITS, fmt)
+    """Commits, with ``diff_ok`` where the table has it and null where not."""
+    return _scan(spark, path, T.StructType([*COMMITS.fields, DIFF_OK]), fmt)
 
 
 def scan_tree_entries(spark: SparkSession, path: str, fmt: str = "parquet") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -56,7 +57,12 @@ def append_unseen(stream: DataFrame, table: str, checkpoint: str) -> None:
 
     def append(batch: DataFrame, _: int) -> None:
         held = batch.sparkSession.read.schema(batch.schema).parquet(table)
-        land(new_commits(held, batch), table)
+        # Used twice: for the folders it touches and for its rows.
+        batch.persist(StorageLevel.DISK_ONLY)
+        try:
+            land(new_commits(held, batch), table)
+        finally:
+            batch.unpersist()
 
     # The first run starts from an empty table; an existing one is left as it is.
     land(stream.sparkSession.createDataFrame([], stream.schema), table, mode="ignore")

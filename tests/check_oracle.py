@@ -56,7 +56,7 @@ def main() -> int:
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf_dir)
     bad = 0
-    for name in sys.argv[2:] or spark_entry.queries():
+    for name in sys.argv[2:] or spark_entry.oracle_sql():
         start = time.time()
         try:
             rows, found = compare(spark, connection, sf_dir, name)

@@ -273,7 +273,7 @@ def test_landed_layout(spark, tables, tmp_path):
     landed_tables.land(tables.commits, paths[0])
     landed_tables.land(tables.file_changes, paths[1])
     commits = landed_tables.scan_commits(spark, paths[0])
-    assert commits.columns == [*COMMITS.names, BUCKET]
+    assert commits.columns == [*COMMITS.names, "diff_ok", BUCKET]
     assert hashes(commits, "hash") == hashes(tables.commits, "hash")
     assert commits.where(F.col(BUCKET) != repo_bucket(F.col("repo_id"))).isEmpty()
 

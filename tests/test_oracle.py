@@ -8,6 +8,7 @@ import check_oracle
 import pytest
 
 import __spark_entry__ as spark_entry
+from repomine.plans import catalog
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -20,10 +21,10 @@ def connection():
 
 
 def test_every_query_has_sql():
-    assert set(spark_entry.queries()) == set(spark_entry.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.ORACLE)
 
 
-@pytest.mark.parametrize("name", list(spark_entry.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query_equals_sql(spark, connection, name):
     _, difference = check_oracle.compare(spark, connection, SF_DIR, name)
     assert difference == ""
