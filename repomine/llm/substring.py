@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repomine.llm.text import (
-    as_bytes, map_batches, read_table, signed, split_words, split_words_col, window_hashes, word_hashes,
-)
+from repomine.llm.text import as_bytes, drop_shuffles, hash_batch, map_batches, read_table, signed, split_words_col, window_hashes
+from repomine.session import cut_lineage
 
 # Fixed value of the contract.
 WINDOW_WORDS = 50
@@ -23,21 +24,31 @@ COVER = (0, 1, 3, 8, 12, 18)
 ADDED = "n_words bigint, n_removed bigint, removed array<struct<start: bigint, end: bigint>>"
 
 
-def anchor_hashes(hashes: np.ndarray, window: int, period: int, cover: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the anchors of a document and the hash of the words from each place on.
+def anchor_places(
+    hashes: np.ndarray, firsts: np.ndarray, window: int, period: int, cover: tuple[int, ...]
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Anchors of many documents, whose words follow each other from ``firsts`` on: the number of the document,
+    the place of the anchor among all words, and the hash of the words from there on.
 
-    An anchor is ``window - period + 1`` words long. Where two documents share ``window`` words, some place
-    within the first ``period`` of them is in the cover in both, whatever their distance.
+    An anchor is ``window - period + 1`` words long and stands at a cover place modulo the period, counted
+    from the document's first word. Where two documents share ``window`` words, some place within the first
+    ``period`` of them is in the cover in both, whatever their distance. Documents shorter than a window have
+    no anchors.
     """
-    grams = window_hashes(hashes, window - period + 1)
-    places = np.arange(len(grams))
-    places = places[np.isin(places % period, cover)]
-    return places, grams[places]
+    size = window - period + 1
+    grams = window_hashes(hashes, size)
+    lengths = np.diff(firsts)
+    doc = np.repeat(np.arange(len(lengths)), lengths)[: len(grams)]
+    within = np.arange(len(grams)) - firsts[doc]
+    in_cover = np.zeros(period, bool)
+    in_cover[list(cover)] = True
+    places = np.flatnonzero(in_cover[within % period] & (within + size <= lengths[doc]) & (lengths[doc] >= window))
+    return doc[places], places, grams[places]
 
 
 def _whole_hash(hashes: np.ndarray) -> tuple[int, int]:
     """128-bit key of all words."""
-    return tuple(int(signed(window_hashes(hashes, len(hashes), v))[0]) for v in (0, 1))
+    return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
 def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
@@ -49,22 +60,27 @@ def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...])
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            keys, checks, counts = [], [], []
-            for text in as_bytes(batch["text"]):
-                hashes = word_hashes(split_words(text))
-                if len(hashes) < window:
-                    counts.append(0)
-                    continue
-                found = np.unique(anchor_hashes(hashes, window, period, cover)[1])
-                whole, check = _whole_hash(hashes)
-                keys.append(np.append(signed(found), whole))
-                checks.append(np.append(np.zeros(len(found), np.int64), check))
-                counts.append(len(found) + 1)
-            columns = [np.concatenate(x or [np.empty(0, np.int64)]) for x in (keys, checks)] + [np.repeat(ids, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "check", "doc_id"])
+            _, hashes, _, _, firsts = hash_batch(as_bytes(batch["text"]))
+            doc, _, grams = anchor_places(hashes, firsts, window, period, cover)
+            order = np.lexsort((grams, doc))
+            doc, grams = doc[order], grams[order]
+            new = np.ones(len(doc), bool)
+            new[1:] = (doc[1:] != doc[:-1]) | (grams[1:] != grams[:-1])
+            long = np.flatnonzero(np.diff(firsts) >= window)
+            whole = np.array([_whole_hash(hashes[firsts[d] : firsts[d + 1]]) for d in long], np.int64).reshape(-1, 2)
+            keys = np.concatenate([signed(grams[new]), whole[:, 0]])
+            checks = np.concatenate([np.zeros(int(new.sum()), np.int64), whole[:, 1]])
+            yield _rows(keys, checks, ids[np.concatenate([doc[new], long])])
 
     # A document without id is never the earlier one and is left as it is.
-    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), run, "key bigint, check bigint, doc_id bigint")
+    return map_batches(docs.where("doc_id is not null").select("doc_id", "text"), run, _KEYED)
+
+
+_KEYED = "key bigint, check bigint, doc_id bigint"
+
+
+def _rows(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, checks, ids)], names=["key", "check", "doc_id"])
 
 
 def _met_anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
@@ -82,12 +98,17 @@ def _met_anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ..
     )
 
 
+def _of_doc(hashes: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hashes told apart by the document, to look up those of many documents at once."""
+    return hashes ^ (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
 def _window_keys(hashes: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return window_hashes(hashes, window, 0), window_hashes(hashes, window, 1)
 
 
 def _candidate_windows(
-    placed: DataFrame, met: DataFrame, window: int, period: int, cover: tuple[int, ...]
+    docs: DataFrame, met: DataFrame, window: int, period: int, cover: tuple[int, ...]
 ) -> DataFrame:
     """``key, check, doc_id``: the 128-bit keys of the windows that hold a shared anchor.
 
@@ -97,33 +118,24 @@ def _candidate_windows(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch["doc_id"].to_numpy(zero_copy_only=False)
-            anchors = batch["anchors"]
-            parts: list[list[np.ndarray]] = [[], []]
-            counts = []
-            for row, text in enumerate(as_bytes(batch["text"])):
-                hashes = word_hashes(split_words(text))
-                places, grams = anchor_hashes(hashes, window, period, cover)
-                shared = anchors[row].values.to_numpy(zero_copy_only=False).view(np.uint64)
-                places = places[np.isin(grams, shared)]
-                # A window from `start` on holds the anchors at start to start + period - 1.
-                count = max(len(hashes) - window + 1, 0)
-                change = np.zeros(count + period + 1, np.int64)
-                np.add.at(change, np.maximum(places - period + 1, 0), 1)
-                np.add.at(change, np.minimum(places + 1, count), -1)
-                starts = np.flatnonzero(np.cumsum(change)[:count] > 0)
-                if not len(starts):
-                    counts.append(0)
-                    continue
-                keys, checks = _window_keys(hashes, window)
-                keys, first = np.unique(keys[starts], return_index=True)
-                parts[0].append(signed(keys))
-                parts[1].append(signed(checks[starts][first]))
-                counts.append(len(keys))
-            columns = [np.concatenate(x or [np.empty(0, np.int64)]) for x in parts] + [np.repeat(ids, counts)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["key", "check", "doc_id"])
-
-    near = placed.select("doc_id", "text").join(met.where("not is_copy").select("doc_id", "anchors"), "doc_id")
-    return map_batches(near, run, "key bigint, check bigint, doc_id bigint")
+            _, hashes, _, _, firsts = hash_batch(as_bytes(batch["text"]))
+            doc, places, grams = anchor_places(hashes, firsts, window, period, cover)
+            lists = batch["anchors"]
+            counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+            shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+            met = np.isin(_of_doc(grams, doc), _of_doc(shared, np.repeat(np.arange(len(ids)), counts)))
+            doc, places = doc[met], places[met]
+            # The windows that hold the anchor begin up to period - 1 words before it, within the document.
+            change = np.zeros(len(hashes) + 1, np.int64)
+            np.add.at(change, np.maximum(places - period + 1, firsts[doc]), 1)
+            np.add.at(change, np.minimum(places, firsts[doc + 1] - window) + 1, -1)
+            begins = np.flatnonzero(np.cumsum(change)[:-1] > 0)
+            keys, checks = _window_keys(hashes, window)
+            owner = np.searchsorted(firsts, begins, "right") - 1
+            yield _rows(signed(keys[begins]), signed(checks[begins]), ids[owner])
+
+    near = docs.select("doc_id", "text").join(met.where("not is_copy").select("doc_id", "anchors"), "doc_id")
+    return map_batches(near, run, _KEYED)
 
 
 def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -131,20 +143,13 @@ def _spans(flags: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[::2].tolist(), edges[1::2].tolist()))
 
 
-def _cut(text: bytes, words: list[bytes], gone: np.ndarray) -> bytes:
-    """The text without the words marked; what stands between kept neighbours stays, a cut leaves one line end."""
-    kept, at, start = [], 0, None
-    for word, drop in zip(words, gone.tolist()):
-        begin = text.index(word, at)
-        if drop:
-            if start is not None:
-                kept.append(text[start:at])
-                start = None
-        elif start is None:
-            start = begin
-        at = begin + len(word)
-    if start is not None:
-        kept.append(text[start:at])
+def _cut(text: bytes, starts: np.ndarray, ends: np.ndarray, removed: list[tuple[int, int]]) -> bytes:
+    """The text without some ranges of words; what stands between kept neighbours stays, a cut leaves one line end."""
+    kept, at = [], 0
+    for first, last in [*removed, (len(starts), len(starts))]:
+        if at < first:
+            kept.append(text[starts[at] : ends[first - 1]])
+        at = last
     return b"\n".join(kept)
 
 
@@ -164,39 +169,45 @@ def remove_repeats(
         raise ValueError("the cover must have every difference modulo the period, and the period fit the window")
     added = [x.split()[0] for x in ("n_words", "n_removed", "removed")]
     docs = docs.drop(*added).withColumn("text", F.coalesce("text", F.lit("")))
-    placed = docs
-    met = _met_anchors(docs, window, period, cover)
-    windows = _candidate_windows(placed, met, window, period, cover)
+    # Each step is written and its shuffles dropped before the next one fills the disks.
+    met = cut_lineage(_met_anchors(docs, window, period, cover))
+    drop_shuffles(docs.sparkSession)
+    windows = _candidate_windows(docs, met, window, period, cover)
     earliest = windows.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
     found = windows.join(earliest.where("low < high").drop("high"), ["key", "check"]).where("low < doc_id")
     repeated = found.groupBy("doc_id").agg(F.collect_list("key").alias("_keys"), F.collect_list("check").alias("_checks"))
+    repeated = cut_lineage(repeated)
+    drop_shuffles(docs.sparkSession)
     copies = met.where("is_copy").select("doc_id", F.lit(True).alias("_copy"))
-    marked = placed.join(repeated, "doc_id", "left").join(copies, "doc_id", "left")
+    marked = docs.join(repeated, "doc_id", "left").join(copies, "doc_id", "left")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, checks, copy = batch["_keys"], batch["_checks"], batch["_copy"].to_pylist()
             texts, n_words, n_removed, removed = [], [], [], []
-            for row, text in enumerate(as_bytes(batch["text"])):
-                words = split_words(text)
-                gone = np.zeros(len(words), bool)
+            raw = as_bytes(batch["text"])
+            joined, hashes, starts, ends, firsts = hash_batch(raw)
+            for row, text in enumerate(raw):
+                own = slice(firsts[row], firsts[row + 1])
+                size = own.stop - own.start
+                gone = np.zeros(size, bool)
                 if copy[row]:
                     gone[:] = True
                 elif keys[row].is_valid:
-                    own, own_checks = _window_keys(word_hashes(words), window)
                     pairs = np.unique(np.stack([x[row].values.to_numpy(zero_copy_only=False) for x in (keys, checks)]), axis=1)
-                    place = np.minimum(np.searchsorted(pairs[0], signed(own)), pairs.shape[1] - 1)
-                    hit = (pairs[0][place] == signed(own)) & (pairs[1][place] == signed(own_checks))
-                    change = np.zeros(len(words) + 1, np.int64)
-                    starts = np.flatnonzero(hit)
-                    change[starts] += 1
-                    change[starts + window] -= 1
+                    own_keys, own_checks = map(signed, _window_keys(hashes[own], window))
+                    place = np.minimum(np.searchsorted(pairs[0], own_keys), pairs.shape[1] - 1)
+                    begins = np.flatnonzero((pairs[0][place] == own_keys) & (pairs[1][place] == own_checks))
+                    change = np.zeros(size + 1, np.int64)
+                    change[begins] += 1
+                    change[begins + window] -= 1
                     gone = np.cumsum(change)[:-1] > 0
-                texts.append(_cut(text, words, gone) if gone.any() else text)
-                n_words.append(len(words))
+                spans = _spans(gone)
+                texts.append(_cut(joined, starts[own], ends[own], spans) if spans else text)
+                n_words.append(int(size))
                 n_removed.append(int(gone.sum()))
-                removed.append([{"start": a, "end": b} for a, b in _spans(gone)])
+                removed.append([{"start": a, "end": b} for a, b in spans])
             kinds = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
             own_columns = [
                 pa.array(texts, pa.binary()).cast(pa.string()) if name == "text" else batch[name] for name in columns

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import time
 from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
@@ -49,6 +51,19 @@ def map_batches(
     return df.mapInArrow(fn, schema)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose result was written.
+
+    They are deleted when the driver's collector finds that nothing refers to them, which a driver with much
+    memory would put off until the disks are full. The first round lets go of the plans, the second finds
+    the files.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The UTF-8 bytes of a string column, null as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -59,6 +74,70 @@ def split_words(text: bytes) -> list[bytes]:
     return text.split()
 
 
+# Hashes of all words of a text at once: a word's bytes, each as a random number, are weighted by powers of
+# an odd number, so the sum over a word is a difference of running sums, divided by the power it begins at.
+_LETTERS = np.random.default_rng(42).integers(1, 2**64, 256, np.uint64)
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
+_BLANK = np.zeros(256, bool)
+_BLANK[[9, 10, 11, 12, 13, 32]] = True
+# Text hashed at once, and the longest word hashed that way; longer words get an ordinary hash.
+_BLOCK_BYTES = 1 << 18
+_LONGEST = 255
+_powers: dict[str, np.ndarray] = {}
+
+
+def _power_table(size: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_powers.get("up", ())) < size:
+        for name, base in (("up", _BASE), ("down", _UNBASE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[name] = np.cumprod(steps, dtype=np.uint64)
+    return _powers["up"], _powers["down"]
+
+
+def word_bounds(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of :func:`split_words` begin and end."""
+    blank = np.ones(len(text) + 2, bool)
+    blank[1:-1] = _BLANK[np.frombuffer(text, np.uint8)]
+    edges = np.flatnonzero(blank[1:] != blank[:-1])
+    return edges[::2], edges[1::2]
+
+
+def hash_words(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A 64-bit hash of every word of a text, and where the words begin and end. No step per word."""
+    starts, ends = word_bounds(text)
+    hashes = np.empty(len(starts), np.uint64)
+    codes = np.frombuffer(text, np.uint8)
+    first = 0
+    while first < len(starts):
+        # Whole words, as many as fit a block, at least one.
+        last = max(first + 1, int(np.searchsorted(ends, starts[first] + _BLOCK_BYTES, "right")))
+        at, stop = int(starts[first]), int(ends[last - 1])
+        if stop - at <= _BLOCK_BYTES:
+            up, down = _power_table(_BLOCK_BYTES)
+            sums = np.zeros(stop - at + 1, np.uint64)
+            np.cumsum(_LETTERS[codes[at:stop]] * up[: stop - at], out=sums[1:])
+            own = starts[first:last] - at
+            mixed = (sums[ends[first:last] - at] - sums[own]) * down[own]
+            mixed ^= mixed >> np.uint64(32)
+            mixed *= np.uint64(0xD6E8FEB86659FD93)
+            hashes[first:last] = mixed ^ (mixed >> np.uint64(29))
+        first = last
+    for i in np.flatnonzero(ends - starts > _LONGEST).tolist():
+        hashes[i] = xxhash.xxh64_intdigest(text[starts[i] : ends[i]])
+    return hashes, starts, ends
+
+
+def hash_batch(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """:func:`hash_words` of many texts in one go: the texts with a line end after each, the hashes, begins and
+    ends of the words in that, and for each text its first word, with the number of words at the end."""
+    joined = b"\n".join([*texts, b""])
+    hashes, starts, ends = hash_words(joined)
+    offsets = np.cumsum([0, *(len(t) + 1 for t in texts)])
+    return joined, hashes, starts, ends, np.searchsorted(starts, offsets)
+
+
 def split_words_col(text: Column) -> Column:
     """:func:`split_words` as a column; null has no words."""
     parts = F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+")
