@@ -180,16 +180,17 @@ def fit_toxicity(
     chosen, negative, positive = _sample(labels, categories, sample_rows)
     names = [*categories, *kinds]
     text_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    # At most 2 x sample_rows ids; the texts that meet them are written, for they are used several times.
-    sample = (text_rows.join(F.broadcast(chosen), "doc_id").withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(INNER_FOLDS)).cast("int")))
+    # At most 2 x sample_rows ids, each with one text however often it occurs.
+    sample = text_rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(INNER_FOLDS)).cast("int")
 
     marks = [f"y{i}" for i in range(len(names))]
-    rows = sample.withColumnsRenamed(dict(zip(categories, marks)))
+    rows = sample.withColumn("fold", fold).withColumnsRenamed(dict(zip(categories, marks)))
     words_of = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
     for mark, terms in zip(marks[len(categories):], kinds.values()):
         holds = F.arrays_overlap(words_of, F.array(*[F.lit(t) for t in terms]))
         rows = rows.withColumn(mark, (holds & (F.col(marks[0]) == 1)).cast("int"))
-    rows = cut_lineage(rows)
+    rows = cut_lineage(rows)  # used several times
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
