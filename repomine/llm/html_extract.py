@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from repomine.llm.text import map_batches, read_table
 from repomine.operators.joins import small_side_join
+from repomine.session import cut_lineage
 
 # A branch of the style tree below this importance is noise, if so many pages of the site have it.
 LEAST_IMPORTANCE = 0.3
@@ -328,6 +329,7 @@ def extract_text(
         # The paths of a site's template; what differs from page to page is not in here.
         .groupBy("site").agg(F.array_join(F.array_sort(F.collect_list("path")), "\n").alias("_low"))
     )
+    low = cut_lineage(low)  # measured and joined, and the pages are parsed once for it
     marked = small_side_join(sited, low, ["site"], F.xxhash64("page_id", "url"), "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
