@@ -26,8 +26,8 @@ CHAIN = 3
 
 LEAST_LIKENESS = 0.8
 
-# Documents whose texts are compared with their neighbours in one task, in characters.
-SLICE_CHARS = 16 * 1024 * 1024
+# Characters of a slice of documents, about. Slices are many, so that their places even out.
+SLICE_CHARS = 4 * 1024 * 1024
 # Bounds are looked up in two steps of at most so many each.
 MAX_BOUNDS = 256
 
