@@ -61,7 +61,9 @@ _TAG = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements of an article that have no style of their own are its text: a site may hold copies of one article.
-_ARTICLE_TEXT = r">article[^>]*(>[a-z0-9]+)*$"
+_ARTICLE_TEXT = r">article[^>]*+(?:>[a-z0-9]+)*+$"
+# Elements nested deeper are part of the one at this depth, as in browsers.
+_DEPTH = 256
 _NUMBER = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
 
@@ -187,7 +189,8 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        open_nodes.append(node)
+        if len(open_nodes) < _DEPTH:
+            open_nodes.append(node)
     flush()
     return nodes, blocks
 
