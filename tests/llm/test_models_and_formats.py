@@ -339,6 +339,10 @@ def test_any_markup_is_read(html):
     assert text_of(html) == text_of(html)
 
 
+def test_deep_nesting_is_read():
+    assert text_of("<b>" * 20000 + "x" + "<div>" * 20000 + "y") == "x\ny"
+
+
 def test_style_tree_removes_what_all_pages_of_a_site_have(spark):
     rows = [(i, f"http://Site.example.org:80/{i}", f"<body><div id=m{i}><i>Home</i><i>News</i></div><div class=t><p>Story {i} tells {i * i}.</p><p>All say this.</p></div><div class=z>Call us</div>") for i in range(12)]
     rows += [(50, "http://other.example.org/a", "<div class=z>Call us</div>"), (51, None, "<div class=z>Call us</div>"), (52, "no address", None)]

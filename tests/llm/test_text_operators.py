@@ -87,7 +87,7 @@ def test_substring_equals_brute_force(spark, window, period, cover):
     for i in range(60):
         parts = [rng.choice(passages) if rng.random() < 0.5 else " ".join(rng.choice("klmnop") for _ in range(rng.randrange(12))) for _ in range(rng.randrange(5))]
         rows.append((i, rng.choice([" ", "\n", "\t "]).join(parts)))
-    rows += [(100, rows[5][1]), (101, rows[5][1]), (102, ""), (103, None), (None, passages[0]), (104, passages[0] * 1 + " " + passages[0])]
+    rows += [(100, rows[5][1]), (101, rows[5][1]), (101, passages[1] + " tail of its own"), (101, " ".join(f"own{i}" for i in range(70))), (102, ""), (103, None), (None, passages[0]), (104, passages[0] * 1 + " " + passages[0])]
     assert cut(frame(spark, rows), window=window, period=period, cover=cover) == cut_by_force(rows, window)
 
 
@@ -188,7 +188,7 @@ def spot_rows(seed, count):
 
 
 def test_spots_and_likeness_equal_brute_force(spark):
-    rows = spot_rows(1, 60) + [(900, None), (901, ""), (902, "the of"), (903, "..."), (904, "cat")]
+    rows = spot_rows(1, 60) + [(905, "to " * 40000), (906, "cat " + "to the " * 30000 + "dog"), (907, "x" * 100000), (900, None), (901, ""), (902, "the of"), (903, "..."), (904, "cat")]
     signed = {r[0]: r for r in spotsigs.fingerprints(frame(spark, rows)).collect()}
     sets = {i: spots_by_force(t) for i, t in rows}
     assert {i: len(r["signatures"]) for i, r in signed.items()} == {i: len(s) for i, s in sets.items()}
