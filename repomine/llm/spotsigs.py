@@ -47,7 +47,10 @@ def spots(text: Column, common: Sequence[str] = COMMON_WORDS, chain: int = CHAIN
     signature, of those words; a text without words has none.
     """
     anchor = "|".join(sorted(set(common)))
-    pieces = F.regexp_extract_all(normal_text(text), F.lit(rf"((?:(?:{anchor}) )*)((?!(?:{anchor}) )[^ ]+) |((?:(?:{anchor}) )+)$"), 0)
+    # The quantifiers of groups are possessive: the engine walks a long run of common words in a loop then, and
+    # would otherwise go one step down its stack for each.
+    run = rf"(?:(?:{anchor}) )"
+    pieces = F.regexp_extract_all(normal_text(text), F.lit(rf"{run}*+[^ ]+ |{run}++$"), 0)
     # The one-element array binds the pieces to a variable: they are cut once, not once per word.
     bound = F.array(pieces)
     return F.array_sort(F.array_distinct(F.transform(bound, lambda p: _chains(p, chain))[0]))
