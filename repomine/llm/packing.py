@@ -28,8 +28,8 @@ POOL_SEQUENCES = 16
 # A step group holds this many tokens.
 GROUP_TOKENS = 16 * CONTEXT
 
-# Pieces of text between blanks, and words in lower case, that a task remembers.
-CHUNK_CACHE = 1 << 19
+# Pieces of text between blanks, and words in lower case, that a task remembers, so many of each at most.
+CACHED_CHUNKS, CACHED_WORDS = 1 << 19, 1 << 18
 
 # A word that no normalizer changes but for its case, and marks after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -64,11 +64,11 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self._forget()
+        self.words: dict[str, list[int]] = {}
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -77,7 +77,8 @@ class Encoder:
     def _word(self, word: str) -> list[int]:
         ids = self.words.get(word)
         if ids is None:
-            mapped = "".join(map(self.letters.__getitem__, word.encode()))
+            # Letters of ASCII stand for themselves.
+            mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
             ids = self.words[word] = [t.id for t in self.model.tokenize(mapped)]
         return ids
 
@@ -109,8 +110,10 @@ class Encoder:
         chunks = split_words(text)
         if not chunks:
             return np.empty(0, np.uint32)
-        if len(self.known) > CHUNK_CACHE:
-            self._forget()
+        if len(self.known) > CACHED_CHUNKS:
+            self.forget()
+        if len(self.words) > CACHED_WORDS:
+            self.words.clear()
         new = set(chunks).difference(self.known)
         if new:
             self._learn(new)
@@ -331,6 +334,9 @@ def pack_documents(
             rows(groups.add(sequence))
         rows(groups.finish())
         yield batch_of()
+        # The worker goes on with other tasks, which should not carry the tables along.
+        encoder(path).forget()
+        encoder(path).words.clear()
 
     NAMES = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
     schema = ", ".join(f"{n} {'binary' if n == 'token_ids' else 'bigint'}" for n in NAMES)
