@@ -51,6 +51,15 @@ def _whole_hash(hashes: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", xxhash.xxh3_128_digest(hashes.tobytes()))
 
 
+def _copies(hashes: np.ndarray, firsts: np.ndarray, keys: pa.Array) -> np.ndarray:
+    """Which of the texts have all the words of an earlier document, by its key among those of the ``doc_id``."""
+    found = np.zeros(len(keys), bool)
+    for row, own in enumerate(keys.to_pylist()):
+        if own:
+            found[row] = _whole_hash(hashes[firsts[row] : firsts[row + 1]])[0] in own
+    return found
+
+
 def _anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
     """``key, check, doc_id``: one row per document and different anchor, and one for the whole document.
 
@@ -83,18 +92,28 @@ def _rows(keys: np.ndarray, checks: np.ndarray, ids: np.ndarray) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (keys, checks, ids)], names=["key", "check", "doc_id"])
 
 
+def _join_shared(keyed: DataFrame) -> DataFrame:
+    """``keyed`` rows whose key more than one document holds, with ``low``, the least of these.
+
+    The least and the greatest document of a key are combined before the shuffle, so a key that a third of
+    all documents hold is a row per task. The shared keys are written before they are joined back: the first
+    shuffle is dropped then, and the join is a plain one that adaptive execution splits at a hot key.
+    """
+    ends = keyed.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+    shared = cut_lineage(ends.where("low < high").drop("high"))
+    drop_shuffles(keyed.sparkSession)
+    return keyed.join(shared, ["key", "check"])
+
+
 def _met_anchors(docs: DataFrame, window: int, period: int, cover: tuple[int, ...]) -> DataFrame:
-    """``doc_id, anchors, is_copy`` of documents that share an anchor with another one.
+    """``doc_id, anchors, copies`` of documents that share an anchor with another one: the shared anchors, and
+    the keys of whole texts that an earlier document has too.
 
-    The least and the greatest document of a key are combined before the shuffle, so an anchor that a third
-    of all documents hold is a row per task. The join back is splittable.
     """
-    anchors = _anchors(docs, window, period, cover)
-    shared = anchors.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    met = anchors.join(shared.where("low < high").select("key", "check", "low"), ["key", "check"])
+    met = _join_shared(_anchors(docs, window, period, cover))
     return met.groupBy("doc_id").agg(
         F.collect_list(F.when(F.col("check") == 0, F.col("key"))).alias("anchors"),
-        F.max((F.col("check") != 0) & (F.col("low") < F.col("doc_id"))).alias("is_copy"),
+        F.collect_set(F.when((F.col("check") != 0) & (F.col("low") < F.col("doc_id")), F.col("key"))).alias("copies"),
     )
 
 
@@ -112,7 +131,7 @@ def _candidate_windows(
 ) -> DataFrame:
     """``key, check, doc_id``: the 128-bit keys of the windows that hold a shared anchor.
 
-    Documents with all the words of an earlier one are left out: the earlier one has all their windows.
+    Texts with all the words of an earlier one are left out: the earlier one has all their windows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,6 +143,7 @@ def _candidate_windows(
             counts = lists.value_lengths().to_numpy(zero_copy_only=False)
             shared = lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
             met = np.isin(_of_doc(grams, doc), _of_doc(shared, np.repeat(np.arange(len(ids)), counts)))
+            met &= ~_copies(hashes, firsts, batch["copies"])[doc]
             doc, places = doc[met], places[met]
             # The windows that hold the anchor begin up to period - 1 words before it, within the document.
             change = np.zeros(len(hashes) + 1, np.int64)
@@ -134,7 +154,7 @@ def _candidate_windows(
             owner = np.searchsorted(firsts, begins, "right") - 1
             yield _rows(signed(keys[begins]), signed(checks[begins]), ids[owner])
 
-    near = docs.select("doc_id", "text").join(met.where("not is_copy").select("doc_id", "anchors"), "doc_id")
+    near = docs.select("doc_id", "text").join(met, "doc_id")
     return map_batches(near, run, _KEYED)
 
 
@@ -161,8 +181,8 @@ def remove_repeats(
 
     ``text`` is the text without those words (unchanged, and never null, if none is removed); ``n_words``,
     ``n_removed`` and ``removed`` (word ranges, end excluded) are added and replace columns of these names.
-    A null text has no words. Several rows with one ``doc_id`` are one document and remove nothing from each
-    other. Rows without ``doc_id`` are kept as they are. Other columns pass through. An empty table gives an
+    A null text has no words. Several rows with one ``doc_id``, equal or not, are one document and remove nothing
+    from each other. Rows without ``doc_id`` are kept as they are. Other columns pass through. An empty table gives an
     empty result.
     """
     if period > window or {(a - b) % period for a in cover for b in cover} != set(range(period)):
@@ -173,21 +193,21 @@ def remove_repeats(
     met = cut_lineage(_met_anchors(docs, window, period, cover))
     drop_shuffles(docs.sparkSession)
     windows = _candidate_windows(docs, met, window, period, cover)
-    earliest = windows.groupBy("key", "check").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
-    found = windows.join(earliest.where("low < high").drop("high"), ["key", "check"]).where("low < doc_id")
+    found = _join_shared(windows).where("low < doc_id")
     repeated = found.groupBy("doc_id").agg(F.collect_list("key").alias("_keys"), F.collect_list("check").alias("_checks"))
     repeated = cut_lineage(repeated)
     drop_shuffles(docs.sparkSession)
-    copies = met.where("is_copy").select("doc_id", F.lit(True).alias("_copy"))
+    copies = met.where("size(copies) > 0").select("doc_id", F.col("copies").alias("_copies"))
     marked = docs.join(repeated, "doc_id", "left").join(copies, "doc_id", "left")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, checks, copy = batch["_keys"], batch["_checks"], batch["_copy"].to_pylist()
+            keys, checks = batch["_keys"], batch["_checks"]
             texts, n_words, n_removed, removed = [], [], [], []
             raw = as_bytes(batch["text"])
             joined, hashes, starts, ends, firsts = hash_batch(raw)
+            copy = _copies(hashes, firsts, batch["_copies"])
             for row, text in enumerate(raw):
                 own = slice(firsts[row], firsts[row + 1])
                 size = own.stop - own.start
