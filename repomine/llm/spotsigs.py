@@ -1,8 +1,11 @@
-"""SpotSigs fingerprints: chains of content words that follow common words, compared by pruned Jaccard."""
+"""SpotSigs fingerprints: chains of content words that follow common words, compared by pruned Jaccard.
+
+Where common words are rare, all content words begin chains."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -23,6 +26,9 @@ COMMON_WORDS = (
 
 # Content words in a chain.
 CHAIN = 3
+# From so many content words after the last one behind an anchor, all begin chains, up to the next anchor: where
+# fewer than one in so many has an anchor, the text is covered nevertheless.
+SPARSE = 12
 
 LEAST_LIKENESS = 0.8
 
@@ -42,7 +48,9 @@ def spots(text: Column, common: Sequence[str] = COMMON_WORDS, chain: int = CHAIN
     """Sorted different signatures (bigint) of a text.
 
     The text is cut into content words, each with the common words before it. A content word that has some,
-    and the first one of the text, begin a chain of ``chain`` content words, fewer at the end of the text.
+    and the first one of the text, begin a chain of ``chain`` content words, fewer at the end of the text;
+    so does one that has none of these among the ``SPARSE - 1`` content words before it. That looks at the
+    nearest words only, so an edit changes the chains around it, however few common words a text has.
     The signature is the hash of the common words and the chain. A text of common words only has one
     signature, of those words; a text without words has none.
     """
@@ -73,7 +81,16 @@ def _chains(pieces: Column, chain: int) -> Column:
             rest(step),
             lambda c, w: F.struct(F.concat(c["words"], F.coalesce(w, F.lit("")), F.lit(" ")).alias("words"), c["begins"].alias("begins")),
         )
-    return F.transform(F.filter(chained, lambda c: c["begins"]), lambda c: F.xxhash64(c["words"]))
+
+    def begun(all_chains: Column) -> Column:
+        def begins(c: Column, i: Column) -> Column:
+            # The first chain of a text begins, so the search ends there at the latest.
+            near = [F.get(all_chains, i - step)["begins"] for step in range(1, SPARSE)]
+            return c["begins"] | ~reduce(Column.__or__, near)
+
+        return F.transform(F.filter(all_chains, begins), lambda c: F.xxhash64(c["words"]))
+
+    return F.transform(F.array(chained), begun)[0]
 
 
 def fingerprint_text(signatures: Column) -> Column:

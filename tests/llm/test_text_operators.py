@@ -198,6 +198,39 @@ def test_spots_and_likeness_equal_brute_force(spark):
         assert (signed[a]["fingerprint"] == signed[b]["fingerprint"]) == (sets[a] == sets[b])
 
 
+def sparse_spots_by_force(raw):
+    pieces, run = [], ()
+    for word in re.findall(r"[^\W_]+", raw.lower()):
+        if word in COMMON:
+            run += (word,)
+        else:
+            pieces.append((run, word))
+            run = ()
+    if run:
+        pieces.append((run[:-1], run[-1]))
+    anchored = [i for i, (a, _) in enumerate(pieces) if a or i == 0]
+    begin = [i for i in range(len(pieces)) if i in anchored or i - max(k for k in anchored if k <= i) >= 12]
+    return {(pieces[i][0], *(w for _, w in pieces[i : i + 3])) for i in begin}
+
+
+def test_texts_with_few_common_words_are_covered(spark):
+    rng = random.Random(12)
+    plain = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    other = plain[:3] + [f"v{rng.randrange(10**6)}" for _ in range(397)]
+    texts = [plain, other, ["opening"] + plain, plain[:300] + ["the"] + other[300:], plain[:20] + ["of", "the"] + plain[20:200], plain[:12], plain[:13]]
+    texts += [[rng.choice(["the", *plain[:30]]) for _ in range(rng.randrange(90))] for _ in range(30)]
+    texts = [" ".join(t) for t in texts]
+    signed = dict(spotsigs.fingerprints(frame(spark, list(enumerate(texts)))).select("doc_id", "signatures").collect())
+    sets = [sparse_spots_by_force(t) if t else set() for t in texts]
+    assert [len(signed[i]) for i in range(len(texts))] == [len(s) for s in sets]
+    alike = lambda a, b: jaccard(set(signed[a]), set(signed[b]))
+    assert all(alike(a, b) == jaccard(sets[a], sets[b]) for a in range(8) for b in range(len(texts)))
+    # Only the first words are equal; only the first word is new; the last quarter is new.
+    assert alike(0, 1) < 0.01 and alike(0, 2) > 0.98 and 0.5 < alike(0, 3) < 0.7
+    pairs, members = spotsigs.near_duplicates(frame(spark, [(i, texts[i]) for i in range(3)]))
+    assert {(r["a"], r["b"]) for r in pairs.collect()} == {(0, 2)} and len(set(members.select("class_id").collect())) == 3
+
+
 @pytest.mark.parametrize("slice_chars", [1 << 24, 50, 400])
 def test_next_text_goes_round_whatever_the_slices(spark, slice_chars):
     rows = spot_rows(2, 50) + [(30, "again"), (30, "again"), (None, "no id"), (7, None)]
