@@ -327,6 +327,12 @@ def text_of(html):
     ("x < y & z <3 &lt;i&gt; &#8364;&nbsp;5", "x < y & z <3 <i> € 5"), ("", ""), ("plain", "plain"),
     ("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>", "a\nb\nc\nd"), ("<div hidden>a</div><div style='display: none'>b</div>c", "c"),
     ("<div id=cookieNotice>a</div><p title='<x>'>b</p></div></span>", "b"), ("<svg><p>a</p></svg><p>b", "b"),
+    ("<html class='nav-open'><body class='no-sidebar'><div class=menu>m</div><p>all of it</p></body></html>", "all of it"),
+    ("<div class='layout has-sidebar'><div class=sidebar>s</div><article><p>text</p><div class=share>on x</div></article></div>", "text"),
+    ("<body id=search><div class='nav-wrapper'><main class='with-sidebar'><p>text</p><div class=related>r</div></main></div>", "text"),
+    ("<article class='post comments-open'><p>text</p><article class=comment>c</article></article>", "text"),
+    ("<div id='search-results-page'><div class=ads>ad</div><p>the whole text</p></div>", "the whole text"),
+    ("<div class='ad'><aside><article>no</article></aside>ad</div><p>text</p>", "text"),
 ])
 def test_page_text(html, text):
     assert text_of(html) == text
@@ -352,6 +358,18 @@ def test_style_tree_removes_what_all_pages_of_a_site_have(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
 
 
+def test_the_text_of_a_site_overrules_names(spark):
+    page = "<body class=has-menu><div class=nav>Home</div><div class='results search'><div class=t>Call us</div><p>Story {0} tells {1}.</p><div class=share>Tell all {1}</div></div>"
+    rows = [(i, f"http://a.example/{i}", page.format(i, "much " * (3 + i))) for i in range(12)]
+    # One page of the site has less text in the branch than in another; the site decides.
+    rows += [(20, "http://a.example/20", "<body class=has-menu><div class='results search'>few</div><div class=nav>" + "Home " * 9 + "</div>")]
+    rows += [(30, "http://b.example/", "<div class='results search'>x</div><p>Main text.</p>"), (31, None, rows[0][2])]
+    got = dict(html_extract.extract_text(frame(spark, rows, PAGE)).select("page_id", "text").collect())
+    much = lambda i: ("much " * (3 + i)).strip()
+    assert [got[i] for i in range(12)] == [f"Story {i} tells {much(i)} ." for i in range(12)]
+    assert (got[20], got[30], got[31]) == ("few", "Main text.", f"Call us\nStory 0 tells {much(0)} .")
+
+
 def test_copies_of_an_article_are_not_a_template(spark):
     rows = [(i, f"http://a.example/{i}", "<article><h1>Same</h1><p>Same text.</p></article>") for i in range(9)]
     assert {r["text"] for r in html_extract.extract_text(frame(spark, rows, PAGE)).collect()} == {"Same\nSame text."}
