@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from repomine.llm.quality import fold_of
@@ -35,7 +36,16 @@ ROUNDS = 10
 
 _WORD = re.compile(r"[^\W_]+")
 
-# Kinds of toxic words for the second and third category of the query; the labels only say toxic or not.
+# Toxic rows without a listed word are split by features of the sample itself, so many per language at most. Such
+# a feature is held by this share of these rows at least, and so many times more often than by clean ones.
+OWN_TERMS = 64
+OWN_SHARE = 0.1
+OWN_RATIO = 5.0
+# Languages, those with the most toxic rows without a listed word.
+OWN_LANGUAGES = 64
+
+# Kinds of toxic words for the second and third category of the query; the labels only say toxic or not. The words
+# are English; for rows without any of them see ``own_terms``.
 KINDS: dict[str, tuple[str, ...]] = {
     "insult": ("idiot", "moron", "loser", "clown", "scum"),
     "contempt": ("pathetic", "worthless", "disgusting", "stupid", "trash"),
@@ -115,6 +125,8 @@ class ToxicityChain:
     categories: list[str]
     words: list[str]
     models: list[Linear]
+    # Features that split toxic rows without a listed word, by language and category; see ``own_terms``.
+    terms: dict[str, dict[str, set[str]]] = field(default_factory=dict)
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
         done = np.zeros((len(x), 0))
@@ -157,6 +169,72 @@ def _sample(labels: DataFrame, categories: Sequence[str], rows: int) -> tuple[Da
     return parts[0].union(parts[1]), weights[0], weights[1]
 
 
+def split_terms(found: Sequence[tuple[str, int]], kinds: Sequence[str]) -> dict[str, set[str]]:
+    """Deal features, each with the number of rows that hold it, to kinds.
+
+    The best come first. Features of which one begins the other are forms of a word and go together; a new
+    word goes to the kind whose words were held by the fewest rows so far.
+    """
+    terms: dict[str, set[str]] = {k: set() for k in kinds}
+    held = dict.fromkeys(kinds, 0)
+    for feature, rows in found:
+        stem = feature.rstrip("*")
+        own = next((k for k in kinds for t in terms[k] if stem.startswith(t.rstrip("*")) or t.startswith(stem)), None)
+        if own is None:
+            own = min(kinds, key=held.__getitem__)
+            held[own] += rows
+        terms[own].add(feature)
+    return terms
+
+
+def own_terms(rows: DataFrame, toxic: str, listed: Sequence[str], kinds: Sequence[str]) -> dict[str, dict[str, set[str]]]:
+    """Features by language and kind for the toxic rows of a sample that no listed word gives a kind.
+
+    ``rows`` have ``text``, ``lang``, the column ``toxic`` and one per kind (``listed``). The features are those
+    that tell these rows best from the clean ones of their language.
+    """
+    none = reduce(Column.__and__, [F.col(m) == 0 for m in listed])
+    group = F.when(F.col(toxic) == 0, 0).when(none, 1)
+    known = rows.select("text", "lang", group.alias("own")).where("own is not null")
+    sizes = known.groupBy("lang").agg(F.sum("own").alias("all_own"), F.sum(1 - F.col("own")).alias("all_clean"))
+    sizes = sizes.where(F.col("all_own") >= LEAST_DOCUMENTS).orderBy(F.desc("all_own"), "lang").limit(OWN_LANGUAGES).collect()
+    if not sizes:
+        return {}
+
+    known = known.where(F.col("lang").isin([r["lang"] for r in sizes]))
+
+    def counted(part: DataFrame, wanted: dict[str, set[str]] | None) -> DataFrame:
+        def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                langs = batch["lang"].to_pylist()
+                held = [distinct_features(t) for t in as_bytes(batch["text"])]
+                if wanted is not None:
+                    held = [h & wanted.get(lang, set()) for h, lang in zip(held, langs)]
+                yield pa.RecordBatch.from_arrays([batch["lang"], pa.array([sorted(h) for h in held], pa.list_(pa.string()))], names=["lang", "words"])
+
+        found = map_batches(part.select("lang", "text"), features_of, "lang string, words array<string>")
+        return found.select("lang", F.explode("words").alias("word")).groupBy("lang", "word").agg(F.count("*").alias("k"))
+
+    # First the rows to split, which are few; of the clean ones only the features that these often hold. A row has
+    # a bounded share of them, so they are at most 1 / OWN_SHARE times the features of a mean row.
+    least = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(max(LEAST_DOCUMENTS, OWN_SHARE * r["all_own"]))) for r in sizes])
+    often = counted(known.where("own = 1"), None).where(F.col("k") >= least)
+    often = cut_lineage(often)
+    wanted: dict[str, set[str]] = {}
+    for r in often.select("lang", "word").collect():
+        wanted.setdefault(r["lang"], set()).add(r["word"])
+    clean_rows = counted(known.where("own = 0"), wanted).withColumnRenamed("k", "clean")
+    counts = cut_lineage(often.join(clean_rows, ["lang", "word"], "left").fillna(0, ["clean"]))
+    terms = {}
+    for r in sizes:
+        share, clean = F.col("k") / r["all_own"], (F.col("clean") + 1) / (r["all_clean"] + 1)
+        best = counts.where((F.col("lang") == r["lang"]) & (share >= OWN_SHARE) & (share >= OWN_RATIO * clean))
+        best = best.orderBy((share - clean).desc(), "word").limit(OWN_TERMS).collect()
+        if best:
+            terms[r["lang"]] = split_terms([(b["word"], b["k"]) for b in best], kinds)
+    return terms
+
+
 def fit_toxicity(
     docs: DataFrame,
     labels: DataFrame,
@@ -168,7 +246,9 @@ def fit_toxicity(
     """Chain for ``categories`` (columns 0/1 of ``labels`` with ``doc_id``) from the texts of ``docs``.
 
     ``kinds`` adds categories that the labels do not split: a row has one if it has the first category and its
-    text holds one of the given words. Only rows outside fold 0 (see ``fold_of``) are learned from, at most
+    text holds one of the given words. Rows with the first category and no given word have one if they hold one
+    of the features that ``own_terms`` finds for it in their language (column ``lang`` of ``docs``, if there is
+    one); those are in ``terms`` of the chain. Only rows outside fold 0 (see ``fold_of``) are learned from, at most
     ``sample_rows`` of either kind of the first category; their texts are broadcast-joined, so the documents
     are not shuffled. Several labels of a document count as the greatest; nulls count as 0, but a row without
     id or first category is left out. Without any label all probabilities are one half.
@@ -179,7 +259,8 @@ def fit_toxicity(
     ).where(fold_of(F.col("doc_id")) != 0)
     chosen, negative, positive = _sample(labels, categories, sample_rows)
     names = [*categories, *kinds]
-    text_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
+    text_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
     # At most 2 x sample_rows ids, each with one text however often it occurs.
     sample = text_rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
     fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(INNER_FOLDS)).cast("int")
@@ -191,6 +272,24 @@ def fit_toxicity(
         holds = F.arrays_overlap(words_of, F.array(*[F.lit(t) for t in terms]))
         rows = rows.withColumn(mark, (holds & (F.col(marks[0]) == 1)).cast("int"))
     rows = cut_lineage(rows)  # used several times
+    listed = marks[len(categories):]
+    terms = own_terms(rows, marks[0], listed, list(kinds)) if kinds else {}
+
+    def mark_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            given = {m: batch[m].to_pylist() for m in marks}
+            for row, (text, lang) in enumerate(zip(as_bytes(batch["text"]), batch["lang"].to_pylist())):
+                if lang in terms:
+                    held = distinct_features(text)
+                    for m, kind in zip(listed, kinds):
+                        given[m][row] = int(not held.isdisjoint(terms[lang][kind]))
+            yield pa.RecordBatch.from_arrays([batch["text"], batch["fold"], *(pa.array(given[m], pa.int32()) for m in marks)], names=["text", "fold", *marks])
+
+    if terms:
+        kept = rows.select("text", "lang", "fold", *marks)
+        split = reduce(Column.__and__, [F.col(m) == 0 for m in listed]) & (F.col(marks[0]) == 1)
+        found = map_batches(kept.where(split), mark_rows, "text string, fold int, " + ", ".join(f"{m} int" for m in marks))
+        rows = cut_lineage(kept.where(~split).drop("lang").unionByName(found))
 
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -233,7 +332,9 @@ def fit_toxicity(
     weight = np.where(y[:, 0] > 0, positive, negative)
     order = np.lexsort([*x.T, *y.T, [r["fold"] for r in short]]) if len(short) else []  # whatever order Spark gave
     folds = np.array([r["fold"] for r in short], int)
-    return fit_chain(x[order], y[order], folds[order], weight[order], names, vocabulary)
+    chain = fit_chain(x[order], y[order], folds[order], weight[order], names, vocabulary)
+    chain.terms = terms
+    return chain
 
 
 def score_toxicity(docs: DataFrame, chain: ToxicityChain, threshold: float = THRESHOLD) -> DataFrame:
@@ -260,7 +361,8 @@ def score_toxicity(docs: DataFrame, chain: ToxicityChain, threshold: float = THR
 
 
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     chain = fit_toxicity(docs, read_table(spark, sf_dir, "labels"), ["toxic"], KINDS)
+    docs = docs.drop("lang")
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
     return score_toxicity(docs, chain).drop("text").withColumn("held_out", held_out)

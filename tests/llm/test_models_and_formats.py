@@ -119,6 +119,33 @@ def test_chain_feeds_earlier_probabilities_to_later_models():
     assert np.abs(changed - p[:, 1]).max() > 0.05
 
 
+def test_later_toxic_categories_are_learned_in_every_language(spark):
+    rng = random.Random(8)
+    rows, labels, stems = [], [], {"en": ("idiot", "stupid"), "fr": ("réeux", "carot"), "de": ("achli", "keitz"), "": ("bomen", "zutta")}
+    for i in range(480):
+        lang = [*stems][i % 4]
+        words = [f"{lang}{rng.randrange(60)}" for _ in range(40)]
+        toxic = int(i % 3 == 0)
+        if toxic:
+            ending = "" if lang == "en" else "qwe"[rng.randrange(3)]
+            words[rng.randrange(40)] = rng.choice(stems[lang]) + ending
+        rows.append((i, " ".join(words), lang or None))
+        labels.append((i, toxic))
+    docs = frame(spark, rows, "doc_id bigint, text string, lang string")
+    chain = toxicity.fit_toxicity(docs, frame(spark, labels, "doc_id bigint, toxic int"), ["toxic"], toxicity.KINDS)
+    assert set(chain.terms) == {"fr", "de", ""}
+    got = toxicity.score_toxicity(docs, chain).toPandas()
+    for i, lang in enumerate(stems):
+        held = got[(got.doc_id % 4 == i) & (got.doc_id % 3 == 0)]
+        assert (held.toxic == 1).mean() > 0.9 and ((held.insult == 1) ^ (held.contempt == 1)).mean() > 0.9
+        assert held.insult.sum() > 5 and held.contempt.sum() > 5
+        if lang in chain.terms:  # Forms of a word are one kind.
+            for kind, other in (("insult", "contempt"), ("contempt", "insult")):
+                ours, theirs = chain.terms[lang][kind], {t.rstrip("*") for t in chain.terms[lang][other]}
+                assert ours and not any(t.startswith(x) for t in ours for x in theirs)
+    assert got[got.doc_id % 3 != 0][["toxic", "insult", "contempt"]].to_numpy().mean() < 0.03
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark):
     labels = "doc_id bigint, toxic int"
     docs = frame(spark, [(i, t, "k") for i, t in ODD], "doc_id bigint, text string, p_toxic string")
