@@ -204,10 +204,10 @@ def _plain_repos(repos: DataFrame) -> DataFrame:
 
 @query(_PAGE_ITEMS)
 def scan_search_pages(spark, sf_dir):
-    """Pages written as one file each and read back."""
+    """Pages written as one line each and read back."""
     path = scratch_path(spark, "pages")
-    roles.page_bodies(spark, sf_dir).repartition("nation").write.partitionBy("nation").text(path)
-    return _plain_repos(read_search_pages(spark, path))
+    roles.page_bodies(spark, sf_dir).select("value").write.text(path)
+    return _plain_repos(read_search_pages(spark, path, lines=True))
 
 
 @query(

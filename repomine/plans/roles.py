@@ -178,11 +178,21 @@ _PAGE_BODY = (
 )
 
 
+# Items of a search page, as the service gives them.
+PAGE_ITEMS = 100
+
+
 def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nation, value``: search pages as text, one per nation."""
-    items = table(spark, sf_dir, "customer").selectExpr("c_nationkey AS nation", f"{_PAGE_BODY} AS page")
-    inner = F.array_join(F.collect_list(F.expr("substring(page, 11, length(page) - 12)")), ",")
-    return items.groupBy("nation").agg(F.concat(F.lit('{"items":['), inner, F.lit("]}")).alias("value"))
+    """``nation, page, value``: search pages as text, with the items of up to 100 customer keys of a nation each.
+
+    Page 0 has the keys 0 to 99, page 1 those up to 199; a key has two items. A row grows with the customers
+    of one key only, not with the table.
+    """
+    items = table(spark, sf_dir, "customer").selectExpr(
+        "c_nationkey AS nation", f"CAST(floor(c_custkey / {PAGE_ITEMS}) AS BIGINT) AS page", f"{_PAGE_BODY} AS body"
+    )
+    inner = F.array_join(F.collect_list(F.expr("substring(body, 11, length(body) - 12)")), ",")
+    return items.groupBy("nation", "page").agg(F.concat(F.lit('{"items":['), inner, F.lit("]}")).alias("value"))
 
 
 def count_responses(spark: SparkSession, sf_dir: str, name: str = "c_name") -> DataFrame:

@@ -26,9 +26,12 @@ def _flatten(pages: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def scan_search_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Repositories out of response files, one page per file; a file holds at most one page of items."""
-    return _flatten(spark.read.schema(SEARCH_PAGE).json(path, multiLine=True), [])
+def scan_search_pages(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Repositories out of response files, one page per file; a file holds at most one page of items.
+
+    With ``lines`` a page is a line, and files of many lines are split over tasks.
+    """
+    return _flatten(spark.read.schema(SEARCH_PAGE).json(path, multiLine=not lines), [])
 
 
 def search_pages(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 
 from repomine.operators import repos as ops
+from repomine.plans import catalog, roles
 from repomine.schemas import COUNT_RESPONSES, SEARCH_RESPONSES
 from repomine.sources.lists import scan_repo_list
 from repomine.sources.search import (
@@ -106,6 +107,17 @@ def test_search_pages(spark, tmp_path):
     assert ops.complete_repos(landed).count() == 2
 
 
+def test_landed_pages_do_not_grow_with_the_table(spark, tmp_path):
+    customers = spark.range(1, 1001).selectExpr(
+        "id AS c_custkey", "concat('c', id) AS c_name", "7 AS c_nationkey", "'BUILDING' AS c_mktsegment", "1.5D AS c_acctbal"
+    )
+    customers.write.parquet(f"{tmp_path}/customer.parquet")
+    pages = [json.loads(r["value"])["items"] for r in roles.page_bodies(spark, str(tmp_path)).collect()]
+    assert len(pages) == 11 and max(map(len, pages)) == 200
+    found = catalog.QUERIES["scan_search_pages"](spark, str(tmp_path)).collect()
+    assert sorted(r["repo_id"] for r in found) == sorted([""] * 1000 + [f"org/r{i}" for i in range(1, 1001)])
+
+
 def test_pages_until_end(spark):
     more = '<https://x?page=2>; rel="next"'
     data = [
