@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from repomine.llm import (
-    chat_format, decontaminate, html_extract, packing, quality, simhash, spotsigs, substring, token_counts, toxicity,
+    alignment, chat_format, decontaminate, html_extract, mixing, packing, quality, runs, simhash, spotsigs, substring,
+    token_counts, toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -21,9 +22,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_spotsigs": spotsigs.op8_spotsigs,
     "op9_quality": quality.op9_quality,
     "op10_substring": substring.op10_substring,
+    "op11_mixing": mixing.op11_mixing,
+    "op12_runs": runs.op12_runs,
+    "op13_alignment": alignment.op13_alignment,
 }
 
-# The other queries hash with XXH64, tokenize, train a model or read HTML; tests compare them with brute force.
+# The other queries hash with XXH64, draw, tokenize, train a model, read HTML or compare all periods; tests compare them with brute force.
 ORACLE: dict[str, str] = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op5_chat_format": chat_format.ORACLE,

@@ -1,0 +1,294 @@
+"""Mixing, periodic runs and tokenizer alignment against brute force, and their odd rows."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from repomine.llm import alignment, mixing, runs
+
+DOCS = "doc_id bigint, text string, source string"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def frame(spark, rows, schema=DOCS):
+    return spark.createDataFrame(rows, schema)
+
+
+def sf001(spark):
+    return spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+
+
+# Mixing
+
+
+def targets_by_force(sizes):
+    """Targets by giving all words out again and again."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    capped, total = {}, sum(sizes.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        share = (total - sum(capped.values())) / max(sum(weight[s] for s in free), 1)
+        over = [s for s in free if share * weight[s] > 3 * sizes[s]]
+        if not over:
+            return {s: float(capped.get(s, share * weight[s])) for s in names}
+        capped |= {s: 3 * sizes[s] for s in over}
+
+
+def mix_rows(rng, many):
+    rows = []
+    for i in range(many):
+        source = rng.choice(["a", "a", "a", "é", "B", None, "c,d", ""])
+        rows.append((i if rng.random() < 0.9 else None, "w " * int(rng.paretovariate(0.7) * 3 % 4000), source))
+    return rows + [(7, None, "a"), (7, "", "nothing"), (8, "x\x0by\x1cz q", "c,d"), *[(9, "same text here", "a")] * 5]
+
+
+@pytest.mark.parametrize("many", [0, 3, 60, 1500])
+def test_mixing_meets_the_targets_with_whole_copies(spark, many):
+    rows = mix_rows(random.Random(many), many)
+    got = mixing.mix_sources(frame(spark, rows)).collect()
+    size = lambda t: len(WORD.findall(t or ""))
+    assert Counter((r["doc_id"], r["source"], r["size"]) for r in got) == Counter((i, s, size(t)) for i, t, s in rows)
+    sizes = defaultdict(int)
+    for _, text, source in rows:
+        sizes[source] += size(text)
+    want, taken, own = targets_by_force(sizes), defaultdict(int), defaultdict(list)
+    for r in got:
+        assert r["source_size"] == sizes[r["source"]]
+        assert r["target"] == pytest.approx(want[r["source"]])
+        ratio = r["target"] / r["source_size"] if r["source_size"] else 0
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+        assert int(ratio) <= r["copies"] <= int(ratio) + 1
+        taken[r["source"]] += r["taken"]
+        own[r["source"]].append(r["size"])
+    for source, target in want.items():
+        assert abs(taken[source] - target) <= max(own[source])
+        if many == 1500 and len(own[source]) > 100:
+            assert abs(taken[source] - target) <= max(10, target * 0.05)
+
+
+def test_mixing_is_the_same_again_and_fair(spark):
+    rows = [(i, "w " * (1 + i % 40), "ab"[i % 2]) for i in range(600)]
+    draw = lambda df, seed: sorted(tuple(r) for r in mixing.mix_sources(df, seed=seed).select("doc_id", "copies").collect())
+    docs = frame(spark, rows)
+    assert draw(docs, 3) == draw(docs.repartition(7).orderBy(F.desc("text")), 3) != draw(docs, 4)
+    # Over many draws a document is taken as often as its source's target says.
+    found = Counter()
+    for seed in range(6):
+        found.update(dict(draw(docs, seed)))
+    target = targets_by_force({s: sum(1 + i % 40 for i in range(600) if "ab"[i % 2] == s) for s in "ab"})
+    for k, s in enumerate("ab"):
+        expected = target[s] / sum(1 + i % 40 for i in range(600) if i % 2 == k)
+        for half in (range(k, 300, 2), range(300 + k, 600, 2)):
+            assert sum(found[i] for i in half) / 6 / 150 == pytest.approx(expected, abs=0.06)
+
+
+def test_mixing_unfolds_very_many_equal_rows(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "UNFOLD_ROWS", 10)
+    docs = frame(spark, [(1, "a b", "s")] * 95 + [(2, "c", "t")] * 11)
+    got = mixing.mix_sources(docs)
+    assert got.groupBy("doc_id").count().sort("doc_id").collect() == [(1, 95), (2, 11)]
+    assert {r["source"]: r["n"] for r in got.groupBy("source").agg(F.sum("taken").alias("n")).collect()} == {"s": 168, "t": 33}
+
+
+def test_mixing_other_columns_and_plain_join(spark, monkeypatch):
+    docs = frame(spark, mix_rows(random.Random(1), 80))
+    odd = docs.select("*", *[F.lit("x").alias(c) for c in ("size", "p", "n", "source_no", "source_key", "h", "unit", "taken")])
+    want = sorted(map(str, mixing.mix_sources(docs).collect()))
+    assert sorted(map(str, mixing.mix_sources(odd).collect())) == want
+    monkeypatch.setattr(mixing, "small_side_join", lambda *a: __import__("repomine.operators.joins", fromlist=["x"]).small_side_join(*a, broadcast=False))
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == want
+
+
+def test_mixing_has_no_python_in_its_plan(spark):
+    plan = mixing.op11_mixing(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+# Runs
+
+
+def runs_by_force(words, least):
+    found = {}
+    for q in range(1, len(words) // 2 + 1):
+        i = 0
+        while i + q < len(words):
+            j = i
+            while j + q < len(words) and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(least, 2 * q):
+                found.setdefault((i, j + q), q)
+            i = max(j, i + 1)
+    return sorted((a, q, b) for (a, b), q in found.items())
+
+
+def test_runs_are_those_of_brute_force(monkeypatch):
+    rng = random.Random(5)
+    for _ in range(250):
+        monkeypatch.setattr(runs, "PAIRS", rng.choice([1, 50, 1 << 18]))
+        texts = []
+        for _ in range(rng.randrange(1, 8)):
+            words = [rng.randrange(rng.choice([1, 2, 3, 10])) for _ in range(rng.choice([0, 1, 5, 12, 30, 100, 300]))]
+            if len(words) > 20 and rng.random() < 0.5:
+                a = rng.randrange(len(words))
+                p = rng.randrange(1, max(2, (len(words) - a) // 2 + 1))
+                words = [words[i] if i < a else words[a + (i - a) % p] for i in range(len(words))]
+            texts.append(words)
+        least = rng.choice([12, 12, 4])
+        found = runs.find_runs([np.array(t, np.int64) for t in texts], least)
+        got = [[] for _ in texts]
+        for x, a, b, q in zip(*(c.tolist() for c in (found.text, found.start, found.end, found.period))):
+            got[x].append((a, q, b))
+        assert got == [runs_by_force(t, least) for t in texts]
+
+
+@pytest.mark.parametrize("period, cover", [(21, (0, 1, 4, 14, 16)), (7, (0, 1, 3)), (1, (0,))])
+def test_common_extensions(period, cover):
+    rng = random.Random(2)
+    for size in (1, 2, 6, 40, 400):
+        words = [rng.randrange(2) for _ in range(size - 1)] + [9]
+        words = words[: size // 2] * 2 + [9] if size > 6 else words
+        extend = runs.CommonExtensions(np.array(words), period, cover)
+        for i in range(0, len(words), 3):
+            others = [j for j in range(i + 1, len(words))]
+            want = [next(k for k in range(len(words)) if words[i + k] != words[j + k]) if j + 1 <= len(words) - 1 or words[i] != words[j] else 0 for j in others if words.index(9) == len(words) - 1]
+            if want:
+                assert extend(np.full(len(others), i), np.array(others)).tolist() == want
+    with pytest.raises(ValueError):
+        runs.CommonExtensions(np.array([0, 1]), 21, (0, 1, 2))
+
+
+def run_digests(rows):
+    """The rows of the query by plain loops."""
+    out = []
+    for doc_id, text in rows:
+        words = WORD.findall(text or "")
+        n, h = len(words), zlib.crc32(str(doc_id).encode())
+        g = h // 10
+        if doc_id is not None and h % 10 == 0 and n:
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = [words[i] if i < a else words[a + (i - a) % p] for i in range(n)]
+        found = [(a, b - a, q) for a, q, b in runs_by_force(words, 12)]
+        best = min(found, key=lambda r: (-r[1], r[0], r[2]), default=(None, None, None))
+        gone = {i for a, size, q in found for i in range(a + q, a + size)}
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        out.append((
+            doc_id, len(found), *best, best[1] and 1000 * best[1] // best[2],
+            sha("".join("%d,%d,%d\n" % r for r in found)), sha(" ".join(w for i, w in enumerate(words) if i not in gone)),
+        ))
+    return sorted(out, key=str)
+
+
+def test_runs_query_on_odd_rows(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(None, "a b " * 9), (1, None), (2, ""), (3, " \t\x0b"), (4, "é " * 12), (4, "é " * 11), (4, "é " * 12), (-7, "x y z " * 30)]
+    rows += [(i, " ".join(rng.choice("abc") for _ in range(rng.randrange(120)))) for i in range(10, 150)]
+    rows.append((5, " ".join(f"w{i % 4000}" for i in range(9500))))
+    folder = str(tmp_path / "sf")
+    frame(spark, [(i, t, "x") for i, t in rows]).withColumn("runs", F.lit(1)).write.parquet(folder + "/documents.parquet")
+    got = sorted((tuple(r) for r in runs.op12_runs(spark, folder).collect()), key=str)
+    assert got == run_digests(rows)
+    assert any(zlib.crc32(str(i).encode()) % 10 == 0 and t for i, t in rows)
+
+
+def test_runs_query_on_the_table(spark):
+    short = sf001(spark).where("length(text) < 4000")
+    rows = [(r["doc_id"], r["text"]) for r in short.collect()]
+    want = {r[0]: r for r in run_digests(rows)}
+    got = {r["doc_id"]: tuple(r) for r in runs.op12_runs(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == sf001(spark).count() and want and all(got[i] == row for i, row in want.items())
+
+
+def test_runs_of_an_empty_table(spark):
+    assert runs.periodic_runs(frame(spark, [])).collect() == []
+
+
+# Alignment
+
+
+@pytest.fixture(scope="module")
+def tokenizers():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def spans(ids, sizes):
+    out, at = [], 0
+    for i in ids:
+        out.append((i, at, at + sizes(i)))
+        at += sizes(i)
+    return out
+
+
+def aligned_by_force(rows, tokenizers):
+    a, b = tokenizers
+    letters = {c: x for x, c in alignment._byte_letters().items()}
+    bytes_a = lambda i: bytes(letters[c] for c in a.id_to_token(i))
+    bytes_b = lambda i: bytes([int(b.id_to_piece(i)[3:5], 16)]) if b.is_byte(i) else b.id_to_piece(i).replace("▁", " ").encode()
+    found, counts = [], Counter()
+    for doc_id, text in rows:
+        ids_a, ids_b = (a.encode(" " + text, add_special_tokens=False).ids, b.encode(text)) if text else ([], [])
+        whole = (" " + (text or "")).encode()
+        if b"".join(map(bytes_a, ids_a)) != whole or b"".join(map(bytes_b, ids_b)) != whole:
+            ids_a = ids_b = []
+        at_a, at_b = spans(ids_a, lambda i: len(bytes_a(i))), spans(ids_b, lambda i: len(bytes_b(i)))
+        links = [(i, j) for i, s, e in at_a for j, t, f in at_b if s < f and t < e]
+        ends, groups, low = sorted({x[2] for x in at_a} & {x[2] for x in at_b}), [], 0
+        for high in ends:
+            groups.append("|".join(",".join(str(i) for i, s, e in side if low <= s and e <= high) for side in (at_a, at_b)))
+            low = high
+        counts.update(set(links))
+        found.append((doc_id, ids_a, ids_b, groups, links))
+    most = defaultdict(int)
+    for (i, _), n in counts.items():
+        most[i] = max(most[i], n)
+    return sorted(((
+        doc_id, len(x), len(y), len(g), len(k), sum(counts[p] == most[p[0]] for p in k), sum(counts[p] for p in k),
+        hashlib.sha256(";".join(g).encode()).hexdigest() if g else "",
+    ) for doc_id, x, y, g, k in found), key=str)
+
+
+ODD_TEXTS = [
+    None, "", "hello  world", "hello  world", "x<|endoftext|>y </s><s> <unk>", "▁ odd", "é" * 50, "\x00a", "日本語 テキスト",
+    "a" * 1500, "\t\n \r\n", "🙂👍🏽 ok", " lead", "tail ", "﻿bom", "é ﬁ ①", "hello", "don't we'll  I'm",
+]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 20, 0])
+def test_alignment_is_that_of_brute_force(spark, tokenizers, monkeypatch, limit):
+    monkeypatch.setattr(alignment, "BLOCK_BYTES", 100)
+    texts = [r["text"] for r in sf001(spark).where("length(text) < 1200").orderBy("doc_id").limit(25).collect()]
+    rows = list(enumerate(ODD_TEXTS + texts)) + [(None, "hello  world"), (3, "hello  world"), (3, None)]
+    docs = frame(spark, rows, "doc_id bigint, text string").withColumn("n_docs", F.lit(1)).withColumn("text_key", F.lit("k"))
+    table, pairs = alignment.align_tokenizers(docs, broadcast_pairs=limit)
+    want = aligned_by_force(rows, tokenizers)
+    assert sorted((tuple(r) for r in table.collect()), key=str) == want
+    assert pairs.where("best").count() >= pairs.select("a").distinct().count()
+
+
+def test_alignment_query_covers_the_table(spark, tokenizers):
+    got = {r["doc_id"]: tuple(r) for r in alignment.op13_alignment(spark, "/root/testdata/sf0.001").collect()}
+    assert len(got) == sf001(spark).count()
+    # Numbers of tokens and groups do not depend on the corpus.
+    rows = [(r["doc_id"], r["text"]) for r in sf001(spark).where("length(text) < 1500").collect()]
+    for row in aligned_by_force(rows, tokenizers):
+        assert got[row[0]][:5] == row[:5] and got[row[0]][-1] == row[-1]
+
+
+def test_alignment_of_an_empty_table(spark):
+    table, pairs = alignment.align_tokenizers(frame(spark, []))
+    assert table.collect() == [] and pairs.collect() == []
