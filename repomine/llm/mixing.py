@@ -85,11 +85,11 @@ def _settle_pair(seed: int, held: Column, other: Column) -> Column:
     def moved(ways: Column) -> Column:
         gain, loss = ways["gain"], ways["loss"]
         up = _chance(seed, held["h"], other["h"]) * (gain + loss) < loss
-        words = F.when(up, gain).otherwise(-loss)
-        after = F.struct(
-            _snap(held["p"] + words / held["size"]).alias("held"), _snap(other["p"] - words / other["size"]).alias("other")
-        )
-        return F.when(_open(held["p"]), after).otherwise(F.struct(held["p"].alias("held"), other["p"].alias("other")))
+        # A settled document has nothing to move.
+        return _let(F.when(_open(held["p"]), F.when(up, gain).otherwise(-loss)).otherwise(0.0), lambda words: F.struct(
+            _let(held["p"] + words / held["size"], _snap).alias("held"),
+            _let(other["p"] - words / other["size"], _snap).alias("other"),
+        ))
 
     ways = F.struct(
         F.least((1 - held["p"]) * held["size"], other["p"] * other["size"]).alias("gain"),
@@ -131,33 +131,35 @@ def _settle_rest(seed: int, units: Column) -> Column:
         def sized(now: Column) -> Column:
             p, size, mass, room = now["p"], unit["size"], now["mass"], now["room"]
 
-            def settle(ways: Column) -> Column:
-                gain, loss = ways["gain"], ways["loss"]
-                up = now["chance"] * (gain + loss) < loss
-                words = F.when(up, gain).otherwise(-loss)
-                moved = _snap(p + words / size)
+            def settle(words: Column) -> Column:
                 # Where the smaller ones could not give or take enough, chance decides about the rest.
-                taken = F.when(_open(moved), (now["again"] < moved).cast("double")).otherwise(moved)
+                moved = _let(_let(p + words / size, _snap), lambda q: F.when(_open(q), (now["again"] < q).cast("double")).otherwise(q))
                 shrink = F.when(words > 0, 1 - words / F.greatest(mass, F.lit(EPSILON))).otherwise(
                     1 + words / F.greatest(room - mass, F.lit(EPSILON)))
-                add = F.when(words > 0, state["add"] * shrink).otherwise(1 - (1 - state["add"]) * shrink)
-                return F.struct(
-                    add.alias("add"), (state["times"] * shrink).alias("times"),
-                    (mass - words).alias("mass"), room.alias("room"),
-                    F.concat(state["done"], F.array(_unit(unit, taken))).alias("done"),
-                )
+                return _let(shrink, lambda k: F.struct(
+                    F.when(words > 0, state["add"] * k).otherwise(1 - (1 - state["add"]) * k).alias("add"),
+                    (state["times"] * k).alias("times"), (mass - words).alias("mass"), room.alias("room"),
+                    F.concat(state["done"], F.array(_unit(unit, moved))).alias("done"),
+                ))
+
+            def choose(ways: Column) -> Column:
+                gain, loss = ways["gain"], ways["loss"]
+                return _let(F.when(now["chance"] * (gain + loss) < loss, gain).otherwise(-loss), settle)
 
             gain, loss = F.least((1 - p) * size, mass), F.least(p * size, room - mass)
-            return _let(F.struct(F.greatest(gain, F.lit(0.0)).alias("gain"), F.greatest(loss, F.lit(0.0)).alias("loss")), settle)
-
-        p = _snap(F.least(F.greatest(state["add"] + state["times"] * unit["p"], F.lit(0.0)), F.lit(1.0)))
-        return _let(
-            F.struct(
-                p.alias("p"), (state["mass"] - p * unit["size"]).alias("mass"), (state["room"] - unit["size"]).alias("room"),
-                _chance(seed + 1, unit["h"]).alias("chance"), _chance(seed + 2, unit["h"]).alias("again"),
-            ),
-            sized,
-        )
+            return _let(F.struct(F.greatest(gain, F.lit(0.0)).alias("gain"), F.greatest(loss, F.lit(0.0)).alias("loss")), choose)
+
+        def bound(p: Column) -> Column:
+            return _let(
+                F.struct(
+                    p.alias("p"), (state["mass"] - p * unit["size"]).alias("mass"), (state["room"] - unit["size"]).alias("room"),
+                    _chance(seed + 1, unit["h"]).alias("chance"), _chance(seed + 2, unit["h"]).alias("again"),
+                ),
+                sized,
+            )
+
+        within = F.least(F.greatest(state["add"] + state["times"] * unit["p"], F.lit(0.0)), F.lit(1.0))
+        return _let(_let(within, _snap), bound)
 
     def sums(value: Callable[[Column], Column]) -> Column:
         return F.aggregate(units, F.lit(0.0), lambda s, u: s + value(u))
