@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import random
 import re
 import time
 from datetime import datetime
@@ -140,10 +141,48 @@ def test_long_lists_by_pieces(spark, monkeypatch, broadcast):
         assert sorted(int(r["hash"]) for r in got.collect()) == want
 
 
+def least_by_force(text, winnow):
+    """The pieces that have the least hash of a window, by Spark's hash of each."""
+    at = [i + len(winnow.after) for i in range(len(text)) if text.startswith(winnow.after, i)]
+    return [text[i : i + winnow.length] for i in at if i + winnow.length <= len(text)]
+
+
+@pytest.mark.parametrize("winnow", [*keywords.WINNOWS, keywords.Winnow(3, 5, "a"), keywords.Winnow(2, 7)])
+def test_winnowing_keeps_the_least_of_every_window(spark, winnow):
+    rng = random.Random(4)
+    texts = ["", "a", "𝄞é a", *("".join(rng.choice("ab c𝄞") for _ in range(rng.randrange(80))) for _ in range(60))]
+    frame = spark.createDataFrame([(t, least_by_force(t, winnow)) for t in texts], "t string, p array<string>")
+    kind = F.lit(keywords.WINNOWS.index(winnow) if winnow in keywords.WINNOWS else -1)
+    both = frame.select(keywords.winnowed(F.col("t"), winnow).alias("got"), F.transform("p", lambda x: F.xxhash64(x, kind)).alias("h"))
+    for row in both.collect():
+        h = row["h"]
+        assert set(row["got"]) == {min(h[i : i + winnow.window]) for i in range(len(h) - winnow.window + 1)}
+
+
+def test_terms_of_every_length_are_found_wherever_they_stand(spark):
+    rng = random.Random(6)
+    base = "".join(rng.choice("ab c") for _ in range(4000))
+    terms = [base[i : i + n] for n in [*range(1, 45), 60, 90, 130, 200] for i in rng.sample(range(3000), 2)]
+    absent = [t + "#" for t in terms]
+    texts = [base[i : i + 300] for i in range(0, 4000, 150)]
+    commits = spark.createDataFrame([("r", str(i), t.upper()) for i, t in enumerate(texts)], "repo_id string, hash string, message string")
+    for term in rng.sample(terms, 12) + rng.sample(absent, 2):
+        table = spark.createDataFrame([(term,), ("no such thing", )], "keyword string")
+        got = keywords.match_keyword_table(commits, table, max_terms=-1)
+        assert sorted(int(r["hash"]) for r in got.collect()) == [i for i, t in enumerate(texts) if term in t]
+
+
+def test_winnowing_sends_a_third_of_the_pieces_or_less(spark):
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.lower("text").alias("t"))
+    every = F.size(F.array_distinct(F.regexp_extract_all("t", F.lit("(?s)(?=(.{16}))"), 1)))
+    sums = text.agg(F.sum(every), *[F.sum(F.size(keywords.winnowed(F.col("t"), w))) for w in keywords.WINNOWS[:2]]).first()
+    assert 3 * sums[1] < sums[0] and 3 * sums[2] < sums[0]
+
+
 def test_pieces_are_linear_in_the_text(spark):
     def seconds(size):
         row = spark.range(1).select(F.expr(f"repeat('abcdefgh ', {size // 9})").alias("t")).repartition(1)
-        pieces = row.select(F.size(keywords._pieces(F.col("t"), [4, 8, 16])).alias("n"))
+        pieces = row.select(*[F.size(keywords.winnowed(F.col("t"), w)).alias(f"n{i}") for i, w in enumerate(keywords.WINNOWS)])
         pieces.collect()
         start = time.perf_counter()
         pieces.collect()
