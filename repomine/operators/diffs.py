@@ -10,7 +10,12 @@ from pyspark.sql import functions as F
 
 from repomine.functions.buckets import bucketed
 from repomine.operators.history import parent_columns
+from repomine.operators.joins import small_side_join
 from repomine.schemas import COMMIT_KEY, commit_key
+from repomine.session import cut_lineage
+
+# Directories from the root that a digest of a tree goes down.
+DIGEST_DEPTH = 4
 
 
 def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
@@ -32,19 +37,87 @@ def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
         ).alias("tree"),
     )
     asked = asked.select("repo_id", "tree.hash", "child", "tree.is_new")
-    entry = ["repo_id", "child", "path"]
     asked, on = bucketed(trees, asked, COMMIT_KEY)
-    sides = trees.join(asked, on).select(*entry, "mode", "blob_id", "is_new").repartition(*entry)
+    return _compared(trees.join(asked, on))
+
+
+def _compared(sides: DataFrame, blobs: bool = False) -> DataFrame:
+    """Changed paths from the entries of both sides, shuffled once by path.
+
+    ``blobs`` adds ``blob_id``: of the new entry, or of the old one where it was deleted.
+    """
+    entry = ["repo_id", "child", "path"]
+    sides = sides.select(*entry, "mode", "blob_id", "is_new").repartition(*entry)
     # Boolean aggregates keep both steps hash aggregations; a max over the entry itself would sort.
     states = sides.groupBy(*entry, "mode", "blob_id").agg(
         F.bool_or("is_new").alias("new"), F.bool_or(~F.col("is_new")).alias("old")
     )
+    contents = [F.coalesce(*[F.max(F.when(F.col(side), F.col("blob_id"))) for side in ("new", "old")]).alias("blob_id")]
     changed = states.where(~(F.col("new") & F.col("old"))).groupBy(*entry).agg(
-        F.bool_or("new").alias("new"), F.bool_or("old").alias("old")
+        F.bool_or("new").alias("new"), F.bool_or("old").alias("old"), *(contents if blobs else [])
     )
     return changed.select(
-        "repo_id", F.col("child").alias("hash"), "path", _change_type(F.col("old"), F.col("new"))
+        "repo_id", F.col("child").alias("hash"), "path", _change_type(F.col("old"), F.col("new")),
+        *(["blob_id"] if blobs else []),
+    )
+
+
+def path_directory(path: Column, depth: int = DIGEST_DEPTH) -> Column:
+    """The first ``depth`` directories of a path; files above that have what they have."""
+    return F.array_join(F.slice(F.split(F.regexp_replace(path, r"/?[^/]*$", ""), "/"), 1, depth), "/")
+
+
+def directory_digests(trees: DataFrame, depth: int = DIGEST_DEPTH) -> DataFrame:
+    """``repo_id, hash, directory`` with the number of entries below it and a digest of them.
+
+    The digest is the exclusive or of two hashes of path, mode and blob, 128 bits, so it does not depend on
+    order and is combined before the shuffle: a row per directory is moved, not one per entry. Paths of a
+    tree are unique. A tree table that keeps its digests makes them once, when a commit lands.
+    """
+    entry = [F.coalesce(F.col(c), F.lit("\0")) for c in ("path", "mode", "blob_id")]
+    sums = [F.bit_xor(F.xxhash64(F.lit(seed), *entry)).alias(name) for seed, name in ((1, "one"), (2, "two"))]
+    grouped = trees.groupBy(*COMMIT_KEY, path_directory(F.col("path"), depth).alias("directory"))
+    return grouped.agg(F.count("*").alias("entries"), *sums)
+
+
+def changed_directories(commits: DataFrame, digests: DataFrame) -> DataFrame:
+    """``repo_id, child, parent, directory``: where the digests of a commit and its first parent differ."""
+    edges = parent_columns(commits).where(~F.col("is_root")).select("repo_id", F.col("hash").alias("child"), "parent")
+    asked = edges.select(
+        "repo_id", "child", "parent",
+        F.explode(F.array(F.struct(F.col("child").alias("hash"), F.lit(True).alias("is_new")),
+                          F.struct(F.col("parent").alias("hash"), F.lit(False).alias("is_new")))).alias("tree"),
+    ).select("repo_id", "child", "parent", "tree.hash", "tree.is_new")
+    sides = digests.join(asked, COMMIT_KEY)
+    digest = F.struct("entries", "one", "two")
+    both = sides.groupBy("repo_id", "child", "parent", "directory").agg(
+        F.max(F.when(F.col("is_new"), digest)).alias("new"), F.max(F.when(~F.col("is_new"), digest)).alias("old")
     )
+    return both.where(~F.col("new").eqNullSafe(F.col("old"))).drop("new", "old")
+
+
+def tree_diff_by_directory(
+    commits: DataFrame, trees: DataFrame, digests: DataFrame | None = None, depth: int = DIGEST_DEPTH,
+    blobs: bool = False,
+) -> DataFrame:
+    """The rows of :func:`tree_diff`, for trees of which little changes from commit to commit.
+
+    Digests of directories are compared first. Only entries of directories that differ go on to the shuffle
+    by path; equal directories are never looked into, as a walk of two trees passes over equal subtrees.
+    Give ``digests`` where they are kept beside the trees; they must be of the same ``depth``. ``blobs`` adds
+    the contents, ``blob_id``, of the new entry, or of the old one where it was deleted.
+    """
+    digests = directory_digests(trees, depth) if digests is None else digests
+    # Written: it is used twice, and a join with a written table is one adaptive execution can split.
+    changed = cut_lineage(changed_directories(commits, digests))
+    asked = changed.select(
+        "repo_id", "child", "directory",
+        F.explode(F.array(F.struct(F.col("child").alias("hash"), F.lit(True).alias("is_new")),
+                          F.struct(F.col("parent").alias("hash"), F.lit(False).alias("is_new")))).alias("tree"),
+    ).select("repo_id", "child", "directory", "tree.hash", "tree.is_new")
+    asked, on = bucketed(trees, asked, [*COMMIT_KEY, "directory"])
+    placed = trees.withColumn("directory", path_directory(F.col("path"), depth))
+    return _compared(small_side_join(placed, asked, on, F.col("path")), blobs)
 
 
 def _change_type(old: Column, new: Column) -> Column:

@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from repomine.functions import responses, text, urls
 from repomine.functions.dates import java_date_text, stamp_text
-from repomine.operators import diffs, health, history, keywords, ordering, report
+from repomine.operators import diffs, health, history, keywords, ordering, reachability, renames, report
 from repomine.operators import repos as repo_ops
 from repomine.operators.joins import fits_broadcast
-from repomine.plans import mining, roles
+from repomine.plans import mining, roles, upkeep
 from repomine.session import configure, cut_lineage, scratch_path
 from repomine.sources import tables
 from repomine.sources.lists import scan_repo_list as read_repo_list
@@ -568,6 +568,32 @@ def tree_diff_joined(spark, sf_dir):
     return changed.select("hash", "path", "change_type")
 
 
+@query(f"WITH {_TREE_DIFF} SELECT CAST(h AS VARCHAR) AS hash, path, change_type FROM diff")
+def tree_diff_digests(spark, sf_dir):
+    """Trees without directories, nearly all different: nothing to pass over."""
+    changed = diffs.tree_diff_by_directory(roles.linear_commits(spark, sf_dir), roles.tree_entries(spark, sf_dir))
+    return changed.select("hash", "path", "change_type")
+
+
+_SNAPSHOT_DIFF = f"""WITH trees AS (
+    SELECT k, CASE WHEN (p_partkey + k) % {roles.CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END
+           || p_brand || '/' || replace(p_type, ' ', '/') || '/' || p_partkey AS path,
+           (p_partkey + k) // {roles.CHANGE_EVERY} AS blob
+    FROM part, range({roles.SNAPSHOTS}) r(k)),
+    new AS (SELECT * FROM trees WHERE k > 0), old AS (SELECT k + 1 AS k, path, blob FROM trees WHERE k < {roles.SNAPSHOTS - 1})
+    SELECT CAST(coalesce(new.k, old.k) AS VARCHAR) AS hash, coalesce(new.path, old.path) AS path,
+           CASE WHEN old.k IS NULL THEN 'ADD' WHEN new.k IS NULL THEN 'DELETE' ELSE 'MODIFY' END AS change_type
+    FROM new FULL JOIN old ON new.k = old.k AND new.path = old.path
+    WHERE old.k IS NULL OR new.k IS NULL OR new.blob <> old.blob"""
+
+
+@query(_SNAPSHOT_DIFF)
+def tree_diff_snapshots(spark, sf_dir):
+    """Large trees of which little changes, their equal directories passed over."""
+    changed = diffs.tree_diff_by_directory(roles.snapshot_commits(spark, sf_dir), roles.snapshot_trees(spark, sf_dir))
+    return changed.select("hash", "path", "change_type")
+
+
 @query(
     f"""WITH {_LISTED} SELECT 'org/r' || o_custkey AS repo_id, CAST(o_orderkey AS VARCHAR) AS hash
     FROM orders JOIN (SELECT * FROM listed UNION ALL SELECT * FROM listed) ON c_custkey = o_custkey"""
@@ -741,6 +767,72 @@ def incremental_new_commits(spark, sf_dir):
     return found.select(F.col("hash").cast("bigint").alias("o_orderkey"))
 
 
+@query(f"WITH {_FILES}, {_CHOSEN} SELECT {_REPORT_COLUMNS} {_MINED}")
+def incremental_mine(spark, sf_dir):
+    """Hits of the commits before 1997 are kept; a refresh delivers the whole history. The rows of mine_search."""
+    tables = _mining_tables(spark, sf_dir)
+    held = tables.commits.where("committed_at < TIMESTAMP '1997-01-01'")
+    kept = cut_lineage(upkeep.search_hits(held, FLAGSHIP, tables))
+    hits = cut_lineage(upkeep.refresh_hits(kept, held, tables.commits, FLAGSHIP, tables))
+    return upkeep.mine_kept(FLAGSHIP, tables, hits)
+
+
+_BRANCHED = f"""WITH RECURSIVE placed AS (
+    SELECT o_orderkey AS k, o_orderkey - {roles.BRANCHED_REPOS} * CASE WHEN o_orderkey % 11 = 5 THEN 2 ELSE 1 END AS p
+    FROM orders
+    UNION ALL SELECT o_orderkey, o_orderkey - {3 * roles.BRANCHED_REPOS} FROM orders WHERE o_orderstatus = 'P'),
+    edges AS (SELECT k, p FROM placed WHERE p >= 0),
+    reached AS (
+        SELECT max(o_orderkey) AS k FROM orders GROUP BY o_orderkey % {roles.BRANCHED_REPOS}
+        UNION SELECT p FROM reached JOIN edges USING (k))"""
+
+
+@query(f"{_BRANCHED} SELECT CAST(k % {roles.BRANCHED_REPOS} AS VARCHAR) AS repo_id, CAST(k AS VARCHAR) AS hash FROM reached")
+def reachable_commits(spark, sf_dir):
+    """The history of the newest commit of every repository."""
+    return reachability.reachable_commits(roles.branched_commits(spark, sf_dir)).select("repo_id", "hash")
+
+
+def _snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    commits, trees = roles.snapshot_commits(spark, sf_dir), roles.snapshot_trees(spark, sf_dir)
+    return cut_lineage(diffs.tree_diff_by_directory(commits, trees, blobs=True))
+
+
+# The file name is the key of the part, so a deleted and an added file of one name are the same part.
+_RENAMED = f"""WITH files AS (
+    SELECT p_partkey, k, p_brand || '/' || replace(p_type, ' ', '/') AS home, (p_partkey + k) % {roles.CHANGE_EVERY} = 7 AS away,
+           (p_partkey + k) // {roles.CHANGE_EVERY} AS blob
+    FROM part, range({roles.SNAPSHOTS}) r(k)),
+    changes AS (
+        SELECT n.k, n.p_partkey, n.home, o.away <> n.away AS moved, o.away, o.blob <> n.blob AS edited
+        FROM files n JOIN files o ON o.p_partkey = n.p_partkey AND o.k = n.k - 1
+        WHERE o.away <> n.away OR o.blob <> n.blob),
+    renames AS (
+        SELECT k, CASE WHEN away THEN 'old/' ELSE '' END || home || '/' || p_partkey AS old_path,
+               CASE WHEN away THEN '' ELSE 'old/' END || home || '/' || p_partkey AS new_path, edited, home, away
+        FROM changes WHERE moved)"""
+
+
+@query(f"{_RENAMED} SELECT CAST(k AS VARCHAR) AS hash, old_path, new_path, edited FROM renames")
+def renamed_paths(spark, sf_dir):
+    found = renames.renamed_paths(_snapshot_changes(spark, sf_dir))
+    return found.select("hash", "old_path", "new_path", "edited")
+
+
+@query(
+    f"""{_RENAMED}, pairs AS (SELECT k, home, away, count(*) AS n FROM renames GROUP BY ALL),
+    summed AS (SELECT k, sum(n)::BIGINT AS moved, max(n) AS together FROM pairs GROUP BY k),
+    others AS (SELECT k, count(*) FILTER (NOT moved) AS other FROM changes GROUP BY k)
+    SELECT CAST(k AS VARCHAR) AS hash, moved, other,
+           CASE WHEN together >= 2 THEN 'move_directory|' ELSE '' END || 'move_file'
+           || CASE WHEN other = 0 THEN '|pure_move' ELSE '' END AS tags
+    FROM summed JOIN others USING (k)"""
+)
+def refactoring_moves(spark, sf_dir):
+    found = renames.refactoring_moves(_snapshot_changes(spark, sf_dir))
+    return found.select("hash", "moved", "other", F.array_join("tags", "|").alias("tags"))
+
+
 @query(
     f"""SELECT 'org/r' || o_custkey AS repo_id, CAST(o_orderkey AS VARCHAR) AS hash, o_orderpriority AS message
     FROM orders WHERE {_ANY_PRIORITY}"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from repomine.functions.text import contains_any, split_terms, truncate_text
 from repomine.operators.diffs import (
-    files_changed, max_files, tree_diff, with_files_changed, within_file_limit,
+    files_changed, max_files, tree_diff, tree_diff_by_directory, with_files_changed, within_file_limit,
 )
 from repomine.operators.history import commit_counts, commits_of, first_parent, parent_columns
 from repomine.operators.joins import fits_broadcast, keep_repos
@@ -52,6 +52,7 @@ class MiningTables:
     ``unique_paths=False`` is for landed changes that may repeat a path of a commit. ``commit_counts`` saves
     the counting where counts have landed. ``answered`` says that the repositories are a service's answer
     to the domain terms: it found them by means of its own, so they are not compared with the terms again.
+    ``tree_digests`` are the directory digests kept beside the trees; equal directories are then passed over.
     """
 
     commits: DataFrame
@@ -61,6 +62,7 @@ class MiningTables:
     commit_counts: DataFrame | None = None
     unique_paths: bool = True
     answered: bool = False
+    tree_digests: DataFrame | None = None
 
 
 def candidate_repos(query: MiningQuery, tables: MiningTables) -> DataFrame:
@@ -115,6 +117,8 @@ def change_counts(
     """
     if tables.file_changes is None:
         trees = tables.tree_entries if repos is None else keep_repos(tables.tree_entries, repos)
+        if tables.tree_digests is not None:
+            return files_changed(tree_diff_by_directory(hits, trees, tables.tree_digests))
         return files_changed(tree_diff(hits, trees))
     changes = tables.file_changes
     if repos is not None and "repo_id" in changes.columns:

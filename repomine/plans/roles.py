@@ -95,6 +95,51 @@ def tree_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# Repositories the orders are dealt to as commits of branches.
+BRANCHED_REPOS = 25
+
+
+def branched_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits of 25 repositories. One in eleven leaves out the commit before, a pending order is a merge."""
+    return table(spark, sf_dir, "orders").selectExpr(
+        f"CAST(o_orderkey % {BRANCHED_REPOS} AS STRING) AS repo_id",
+        "CAST(o_orderkey AS STRING) AS hash",
+        f"transform(filter(array(o_orderkey - {BRANCHED_REPOS} * IF(o_orderkey % 11 = 5, 2, 1),"
+        f" IF(o_orderstatus = 'P', o_orderkey - {3 * BRANCHED_REPOS}, -1)), p -> p >= 0), p -> CAST(p AS STRING)) AS parents",
+        "timestamp_seconds(o_orderkey) AS committed_at",
+    )
+
+
+# Commits of the repository of parts, and of how many files one changes from a commit to the next.
+SNAPSHOTS = 20
+CHANGE_EVERY = 100
+
+
+def snapshot_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One line of commits; commit 0 has no parent."""
+    return spark.range(SNAPSHOTS).selectExpr(
+        "'parts' AS repo_id", "CAST(id AS STRING) AS hash",
+        "CASE WHEN id = 0 THEN CAST(array() AS ARRAY<STRING>) ELSE array(CAST(id - 1 AS STRING)) END AS parents",
+    )
+
+
+def snapshot_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as the files of a repository, by brand and type, once for every commit.
+
+    One in a hundred has other contents than in the commit before, and one in a hundred moves away or back.
+    """
+    files = table(spark, sf_dir, "part").select(
+        "*", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOTS - 1))).alias("k")
+    )
+    return files.selectExpr(
+        "'parts' AS repo_id", "CAST(k AS STRING) AS hash",
+        f"concat(CASE WHEN (p_partkey + k) % {CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END,"
+        " p_brand, '/', replace(p_type, ' ', '/'), '/', p_partkey) AS path",
+        "CASE WHEN p_size > 25 THEN '100755' ELSE '100644' END AS mode",
+        f"CAST((p_partkey + k) DIV {CHANGE_EVERY} AS STRING) AS blob_id",
+    )
+
+
 def text_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as commits with long messages, one a minute."""
     return table(spark, sf_dir, "documents").selectExpr(

@@ -66,7 +66,10 @@ TREE_COMMITS = [
 ]
 
 
-@pytest.mark.parametrize("form", [diffs.tree_diff, diffs.tree_diff_joined])
+TREE_FORMS = [diffs.tree_diff, diffs.tree_diff_joined, diffs.tree_diff_by_directory]
+
+
+@pytest.mark.parametrize("form", TREE_FORMS)
 def test_tree_diff(spark, form):
     same = [("r", "same", path, mode, blob) for repo, name, path, mode, blob in TREES if (repo, name) == ("r", "a")]
     trees = spark.createDataFrame(TREES + same, TREE_ENTRIES)
@@ -97,10 +100,35 @@ def test_tree_diff_forms_agree_on_random_trees(spark):
                 if old.get(path) != new.get(path):
                     want.append((name, path, "ADD" if path not in old else "DELETE" if path not in new else "MODIFY"))
     c, t = commit_table(spark, *commits), spark.createDataFrame(trees, TREE_ENTRIES)
-    for form in (diffs.tree_diff, diffs.tree_diff_joined):
+    for form in TREE_FORMS:
         assert rows(form(c, t), "hash", "path", "change_type") == sorted(want)
 
 
+@pytest.mark.parametrize("depth", [1, 2, 9])
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_tree_diff_by_directory_on_nested_trees(spark, monkeypatch, depth, broadcast):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes=0: broadcast)
+    rng = random.Random(depth)
+    paths = ["/".join(rng.choice("ab") for _ in range(rng.randrange(1, 6))) + f"/{i}" for i in range(40)] + ["top", "a", "a/b"]
+    state, commits, trees = {p: 0 for p in paths}, [], []
+    for i in range(12):
+        for p in rng.sample(paths, 2):
+            state[p] = rng.choice([None, 1, 2, 3])
+        commits.append(commit("r", str(i), [str(i - 1)] if i else []))
+        trees += [("r", str(i), p, "m", str(b)) for p, b in state.items() if b is not None]
+    c, t = commit_table(spark, *commits), spark.createDataFrame(trees, TREE_ENTRIES)
+    want = rows(diffs.tree_diff(c, t), "hash", "path", "change_type")
+    kept = diffs.directory_digests(t, depth)
+    assert rows(diffs.tree_diff_by_directory(c, t, kept, depth), "hash", "path", "change_type") == want
+    moved = diffs.changed_directories(c, kept).count()
+    assert 0 < moved < kept.count() / 2
+
+
+def test_path_directory(values):
+    paths = ["f", "a/f", "a/b/f", "a/b/c/f", "/f", "/a/f", ""]
+    assert values(paths, lambda p: diffs.path_directory(p, 2)) == ["", "a", "a/b", "a/b", "", "/a", ""]
+
+
 def test_files_changed_and_limits(spark):
     changes = [("r", "ten", f"p{i}", "ADD") for i in range(10)] + [("r", "eleven", f"p{i}", "ADD") for i in range(11)]
     changes += [("r", "root", f"p{i}", "ADD") for i in range(500)]

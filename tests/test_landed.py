@@ -150,7 +150,7 @@ def least_by_force(text, winnow):
 @pytest.mark.parametrize("winnow", [*keywords.WINNOWS, keywords.Winnow(3, 5, "a"), keywords.Winnow(2, 7)])
 def test_winnowing_keeps_the_least_of_every_window(spark, winnow):
     rng = random.Random(4)
-    texts = ["", "a", "𝄞é a", *("".join(rng.choice("ab c𝄞") for _ in range(rng.randrange(80))) for _ in range(60))]
+    texts = ["", "a", "é a", *("".join(rng.choice("ab cé") for _ in range(rng.randrange(80))) for _ in range(60))]
     frame = spark.createDataFrame([(t, least_by_force(t, winnow)) for t in texts], "t string, p array<string>")
     kind = F.lit(keywords.WINNOWS.index(winnow) if winnow in keywords.WINNOWS else -1)
     both = frame.select(keywords.winnowed(F.col("t"), winnow).alias("got"), F.transform("p", lambda x: F.xxhash64(x, kind)).alias("h"))
@@ -161,7 +161,7 @@ def test_winnowing_keeps_the_least_of_every_window(spark, winnow):
 
 def test_terms_of_every_length_are_found_wherever_they_stand(spark):
     rng = random.Random(6)
-    base = "".join(rng.choice("ab c") for _ in range(4000))
+    base = "".join(rng.choice("ab c𝄞") for _ in range(4000))
     terms = [base[i : i + n] for n in [*range(1, 45), 60, 90, 130, 200] for i in rng.sample(range(3000), 2)]
     absent = [t + "#" for t in terms]
     texts = [base[i : i + 300] for i in range(0, 4000, 150)]
