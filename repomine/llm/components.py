@@ -24,6 +24,8 @@ def _stars(edges: DataFrame, larger_only: bool) -> DataFrame:
             edges.select(F.col("b").alias("node"), F.col("a").alias("other"))
         )
     hubs = around.groupBy("node").agg(F.min("other").alias("hub")).withColumn("hub", F.least("hub", "node"))
+    # Written, so that the join has an exchange of its own that adaptive execution can split at a hot node.
+    hubs = cut_lineage(hubs)
     tied = around.join(hubs, "node")
     if larger_only:
         pairs = tied.select(F.col("other").alias("a"), F.col("hub").alias("b")).union(

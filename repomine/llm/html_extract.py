@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html import unescape
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from repomine.llm.text import map_batches, read_table
+from repomine.llm.text import free_names, map_batches, read_table
 from repomine.operators.joins import small_side_join
 from repomine.session import cut_lineage
 
@@ -63,7 +64,8 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Elements of an article that have no style of their own are its text: a site may hold copies of one article.
 _ARTICLE_TEXT = r">article[^>]*+(?:>[a-z0-9]+)*+$"
-# Elements nested deeper are part of the one at this depth, as in browsers.
+# Elements nested deeper have the path of the one at this depth, so paths stay short. They open and close
+# like any other.
 _DEPTH = 256
 _NUMBER = re.compile(r"\d+")
 _WORDS = re.compile(r"[a-z]+")
@@ -152,6 +154,7 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
     """
     root = Node("", "", "", None, False)
     nodes, blocks, open_nodes = [], [], [root]
+    open_tags: Counter[str] = Counter()
     pieces: list[tuple[Node, str]] = []
 
     def flush() -> None:
@@ -161,10 +164,13 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
             pieces = []
 
     def close(kinds: set[str] | frozenset[str], limits: set[str] | frozenset[str]) -> None:
+        if not any(open_tags[kind] for kind in kinds):
+            return
         for at in range(len(open_nodes) - 1, 0, -1):
             if open_nodes[at].tag in kinds:
                 if any(n.tag in _BLOCKS for n in open_nodes[at:]):
                     flush()
+                open_tags.subtract(n.tag for n in open_nodes[at:])
                 del open_nodes[at:]
                 return
             if open_nodes[at].tag in limits:
@@ -187,9 +193,8 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
         if found["end"]:
             if tag == "br":
                 pieces.append((open_nodes[-1], " "))
-            if any(n.tag == tag for n in open_nodes):
-                # A closing inline tag does not end the blocks around it.
-                close({tag}, frozenset() if tag in _BLOCKS else _BLOCKS)
+            # A closing inline tag does not end the blocks around it.
+            close({tag}, frozenset() if tag in _BLOCKS else _BLOCKS)
             if tag in _BLOCKS:
                 flush()
             continue
@@ -205,13 +210,18 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
         hard = parent.hard or _is_noise(tag, attributes, in_article)
         named = tag not in ("html", "body") and _is_named_noise(attributes, in_article)
         is_main = tag == "main" or attributes.get("role", "").lower() == "main"
-        node = Node(tag, label, f"{parent.path}>{label}", parent, hard, named, False, parent.article or tag == "article", parent.main or is_main)
+        deep = len(open_nodes) > _DEPTH
+        above = open_nodes[_DEPTH] if deep else parent
+        path = above.path if deep else f"{parent.path}>{label}"
+        named = named or deep and parent.named
+        node = Node(tag, label, path, above, hard, named, False, parent.article or tag == "article", parent.main or is_main)
         if not hard and (is_main or tag == "article" and not parent.article):
             holder = node
             while holder is not None and not holder.holder:
                 holder.holder = True
                 holder = holder.parent
-        parent.children.append(label)
+        if not deep:
+            parent.children.append(label)
         if tag == "br":
             pieces.append((parent, " "))
         if tag in _VOID or found["rest"].endswith("/") and tag not in _BLOCKS and tag not in _RAW:
@@ -221,8 +231,8 @@ def parse_page(html: str) -> tuple[list[Node], list[Block]]:
             end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if len(open_nodes) < _DEPTH:
-            open_nodes.append(node)
+        open_nodes.append(node)
+        open_tags[tag] += 1
     flush()
     return nodes, blocks
 
@@ -363,6 +373,8 @@ def _branches(pages: DataFrame) -> DataFrame:
         F.sum(F.when(~name, F.col("chars"))).alias("chars"),
         F.sum(F.when(name, F.col("chars"))).alias("name_chars"),
     )
+    # Joined with its own rows below: written, so that the pages are parsed once for both.
+    sums = cut_lineage(sums)
     whole = sums.where("path = ''").select("site", F.col("chars").alias("all_chars"), F.col("name_chars").alias("all_name_chars"))
     base = F.log("pages")
     presentation = F.when(F.col("pages") > 1, (base - F.col("shown") / F.col("pages")) / base).otherwise(1.0)
@@ -409,6 +421,7 @@ def extract_text(
     """
     pages = pages.drop("text", "n_chars", "site")
     columns = pages.columns
+    sited_name, low_name, kept_name = free_names(columns, "_sited", "_low", "_kept")
     sited = pages.withColumn("site", site_of(F.col("url")))
     spread = F.xxhash64("page_id", "url")
     is_low = (
@@ -424,20 +437,22 @@ def extract_text(
             F.when(F.col("name_share") > MAIN_SHARE, F.col("path")).alias("kept"),
         )
         marks = marked.where("low is not null or kept is not null").groupBy("site").agg(joined("low").alias("_low"), joined("kept").alias("_kept"))
-        return cut_lineage(marks)  # measured and joined, and the pages are parsed once for it
+        return cut_lineage(marks)  # measured and joined
 
-    marks = judged(sited)
+    searched = sited.select("site", "html", spread.alias("spread"))
+    marks = judged(searched)
     overruled = marks.where("_kept <> ''").select("site", "_kept")
     if not overruled.isEmpty():
-        again = judged(small_side_join(sited, overruled, ["site"], spread))
+        again = judged(small_side_join(searched, overruled, ["site"], F.col("spread")))
         marks = marks.where("_kept = ''").unionByName(again)
+    marks = marks.withColumnsRenamed({"_low": low_name, "_kept": kept_name})
     marked = small_side_join(sited, marks, ["site"], spread, "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[tuple, tuple[frozenset[str], frozenset[str]]] = {}
         for batch in batches:
             texts = []
-            for html, sited, *paths in zip(*(batch[c].to_pylist() for c in ("html", "_sited", "_low", "_kept"))):
+            for html, sited, *paths in zip(*(batch[c].to_pylist() for c in ("html", sited_name, low_name, kept_name))):
                 key = tuple(paths)
                 if key not in known:
                     known.clear()
@@ -449,7 +464,7 @@ def extract_text(
             yield pa.RecordBatch.from_arrays([batch[c] for c in columns] + more, names=[*columns, "text", "n_chars"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema.fields)
-    return map_batches(marked.select(*columns, F.col("site").isNotNull().alias("_sited"), "_low", "_kept"), run, schema + ", text string, n_chars bigint")
+    return map_batches(marked.select(*columns, F.col("site").isNotNull().alias(sited_name), low_name, kept_name), run, schema + ", text string, n_chars bigint")
 
 
 def op1_html_extract(spark, sf_dir: str) -> DataFrame:

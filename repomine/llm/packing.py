@@ -5,6 +5,7 @@ from __future__ import annotations
 import bisect
 import os
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -28,8 +29,9 @@ POOL_SEQUENCES = 16
 # A step group holds this many tokens.
 GROUP_TOKENS = 16 * CONTEXT
 
-# Pieces of text between blanks, and words in lower case, that a task remembers, so many of each at most.
-CACHED_CHUNKS, CACHED_WORDS = 1 << 19, 1 << 18
+# What a worker remembers from task to task: bytes of the pieces between blanks, and words in lower case, so
+# many of each at most. Beyond them it starts anew.
+CACHED_BYTES, CACHED_WORDS = 1 << 21, 1 << 17
 
 # A word that no normalizer changes but for its case, and marks after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
@@ -53,7 +55,7 @@ class Encoder:
 
     No token spans white space, so a text's ids are those of its pieces between blanks. Pieces return often
     and are looked up; a new one goes to the tokenizer, or, if it is one plain word, to the tokenizer's model
-    in lower case. Special tokens in a text are ordinary text.
+    in lower case. The string of a special token in a text is that token, as the tokenizer has it by itself.
     """
 
     def __init__(self, path: str):
@@ -61,7 +63,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.words: dict[str, list[int]] = {}
@@ -69,6 +70,7 @@ class Encoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.known_bytes = 0
         self.starts = np.zeros(1 << 12, np.int64)
         self.lengths = np.zeros(1 << 12, np.int64)
         self.flat = np.zeros(1 << 14, np.uint32)
@@ -105,12 +107,13 @@ class Encoder:
         self.flat[at:total] = np.fromiter((i for ids in fresh for i in ids), np.uint32, total - at)
         self.used = total
         self.known.update(zip(chunks, range(size, size + len(fresh))))
+        self.known_bytes += sum(map(len, chunks))
 
     def encode(self, text: bytes) -> np.ndarray:
         chunks = split_words(text)
         if not chunks:
             return np.empty(0, np.uint32)
-        if len(self.known) > CACHED_CHUNKS:
+        if self.known_bytes > CACHED_BYTES:
             self.forget()
         if len(self.words) > CACHED_WORDS:
             self.words.clear()
@@ -280,6 +283,7 @@ def pack_documents(
     end_id: int = END_ID,
     pool_sequences: int = POOL_SEQUENCES,
     group_tokens: int = GROUP_TOKENS,
+    checksums: bool = False,
 ) -> DataFrame:
     """One row per piece: ``doc_id, start, length, token_ids, doc_tokens, sequence_id, offset, sequence_length,
     step_group``.
@@ -289,7 +293,7 @@ def pack_documents(
     filled from shorter tiers and closed by a cut, so every sequence is exactly full. The last ids of a task
     go to sequences of shorter powers of two. ``sequence_length`` is the context (padded length) of a
     sequence, ``step_group`` a set of sequences of about ``group_tokens`` tokens. ``token_ids`` are
-    little-endian unsigned 32-bit.
+    little-endian unsigned 32-bit; with ``checksums`` the column is ``ids_crc32``, their unsigned CRC-32.
 
     Every task packs the documents of its partition, holding a few pools, and numbers sequences and groups
     from its partition number on, so a repeated task gives the same rows and nothing is shuffled.
@@ -313,14 +317,15 @@ def pack_documents(
                 offset = 0
                 for p in sequence.pieces:
                     n = len(p.ids)
-                    out.append((p.row[0], p.start, n, p.ids.tobytes(), p.row[1], number, offset, sequence.size, group))
+                    ids = zlib.crc32(p.ids.astype("<u4")) if checksums else p.ids.astype("<u4").tobytes()
+                    out.append((p.row[0], p.start, n, ids, p.row[1], number, offset, sequence.size, group))
                     offset += n
                 number += 1
 
         def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out)) or [()] * 9
             out.clear()
-            kinds = [pa.int64()] * 3 + [pa.binary()] + [pa.int64()] * 5
+            kinds = [pa.int64()] * 3 + [pa.int64() if checksums else pa.binary()] + [pa.int64()] * 5
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=NAMES)
 
         for batch in batches:
@@ -334,19 +339,11 @@ def pack_documents(
             rows(groups.add(sequence))
         rows(groups.finish())
         yield batch_of()
-        # The worker goes on with other tasks, which should not carry the tables along.
-        encoder(path).forget()
-        encoder(path).words.clear()
 
-    NAMES = ["doc_id", "start", "length", "token_ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
+    NAMES = ["doc_id", "start", "length", "ids_crc32" if checksums else "token_ids", "doc_tokens", "sequence_id", "offset", "sequence_length", "step_group"]
     schema = ", ".join(f"{n} {'binary' if n == 'token_ids' else 'bigint'}" for n in NAMES)
     return map_batches(docs.select(F.col("doc_id").cast("bigint"), "text"), run, schema)
 
 
-def with_checksums(pieces: DataFrame) -> DataFrame:
-    """The pieces with the CRC-32 of their ids in the place of the ids."""
-    return pieces.withColumn("ids_crc32", F.crc32("token_ids")).drop("token_ids")
-
-
 def op6_packing(spark, sf_dir: str) -> DataFrame:
-    return with_checksums(pack_documents(read_table(spark, sf_dir, "documents")))
+    return pack_documents(read_table(spark, sf_dir, "documents"), checksums=True)

@@ -134,7 +134,7 @@ def _links_by_flips(members: DataFrame, masks: list[int], radius: int) -> DataFr
     reached = members.join(flips, "table").select(
         "table", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("word"), "near"
     )
-    hubs = (
+    hubs = cut_lineage(
         reached.groupBy("table", "word")
         .agg(F.min(F.when(F.col("near"), F.col("fp"))).alias("hub"), F.min("fp").alias("low"), F.max("fp").alias("high"))
         .where("hub is not null and low <> high")
@@ -155,7 +155,9 @@ def near_links(distinct: DataFrame, radius: int = MAX_BITS, compared_at_once: in
         F.struct(F.lit(t).alias("table"), F.col("fp").bitwiseAND(F.lit(_as_long(m))).alias("key")) for t, m in enumerate(masks)
     ])
     rows = distinct.select("fp", F.inline(keys))
-    sizes = rows.groupBy("table", "key").agg(F.count("*").alias("members")).where("members > 1")
+    # Sizes and hubs are written before they are joined back: an aggregate right above the join leaves Spark no
+    # exchange to split where a bucket or word is hot.
+    sizes = cut_lineage(rows.groupBy("table", "key").agg(F.count("*").alias("members")).where("members > 1"))
     shared = cut_lineage(rows.join(sizes, ["table", "key"]))
     small = (
         shared.where(F.col("members") <= compared_at_once)
@@ -171,8 +173,9 @@ def near_duplicates(
     shingle: int = SHINGLE_WORDS,
     radius: int = MAX_BITS,
     compared_at_once: int = COMPARED_AT_ONCE,
+    keep: tuple[str, ...] = (),
 ) -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for every row of ``docs`` (``doc_id, text``).
+    """``doc_id, fingerprint, component_id`` and the columns ``keep`` for every row of ``docs`` (``doc_id, text``).
 
     Fingerprints link at ``radius`` or fewer differing bits; ``component_id`` is the smallest ``doc_id`` that
     can be reached. Equal fingerprints are one node, so copies make no links. Other columns of ``docs`` are
@@ -180,16 +183,17 @@ def near_duplicates(
     often as they came in; a row without id has the component of its fingerprint, null if nobody in it has
     an id. An empty table gives an empty result.
     """
-    marked = cut_lineage(fingerprints(docs, shingle))
+    marked = cut_lineage(fingerprints(docs, shingle, ("doc_id", *keep)))
     nodes = marked.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     nodes = cut_lineage(nodes)
     roots = connected_components(near_links(nodes.select("fp"), radius, compared_at_once))
     grouped = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     # A component may hold a third of all fingerprints: its smallest id is a partial minimum, then joined.
-    least = grouped.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    # It is written, so that the join has an exchange of its own that adaptive execution can split.
+    least = cut_lineage(grouped.groupBy("root").agg(F.min("first_id").alias("component_id")))
     component = cut_lineage(grouped.join(least, "root").select("fp", "component_id"))
     return marked.join(component, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", *keep
     )
 
 

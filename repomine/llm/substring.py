@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from repomine.llm.text import as_bytes, drop_shuffles, hash_batch, map_batches, read_table, signed, split_words_col, window_hashes
+from repomine.llm.text import as_bytes, drop_shuffles, free_names, hash_batch, map_batches, read_table, signed, split_words_col, window_hashes
 from repomine.session import cut_lineage
 
 # Fixed value of the contract.
@@ -189,25 +189,26 @@ def remove_repeats(
         raise ValueError("the cover must have every difference modulo the period, and the period fit the window")
     added = [x.split()[0] for x in ("n_words", "n_removed", "removed")]
     docs = docs.drop(*added).withColumn("text", F.coalesce("text", F.lit("")))
+    keys_name, checks_name, copies_name = free_names(docs.columns, "_keys", "_checks", "_copies")
     # Each step is written and its shuffles dropped before the next one fills the disks.
     met = cut_lineage(_met_anchors(docs, window, period, cover))
     drop_shuffles(docs.sparkSession)
     windows = _candidate_windows(docs, met, window, period, cover)
     found = _join_shared(windows).where("low < doc_id")
-    repeated = found.groupBy("doc_id").agg(F.collect_list("key").alias("_keys"), F.collect_list("check").alias("_checks"))
+    repeated = found.groupBy("doc_id").agg(F.collect_list("key").alias(keys_name), F.collect_list("check").alias(checks_name))
     repeated = cut_lineage(repeated)
     drop_shuffles(docs.sparkSession)
-    copies = met.where("size(copies) > 0").select("doc_id", F.col("copies").alias("_copies"))
+    copies = met.where("size(copies) > 0").select("doc_id", F.col("copies").alias(copies_name))
     marked = docs.join(repeated, "doc_id", "left").join(copies, "doc_id", "left")
     columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, checks = batch["_keys"], batch["_checks"]
+            keys, checks = batch[keys_name], batch[checks_name]
             texts, n_words, n_removed, removed = [], [], [], []
             raw = as_bytes(batch["text"])
             joined, hashes, starts, ends, firsts = hash_batch(raw)
-            copy = _copies(hashes, firsts, batch["_copies"])
+            copy = _copies(hashes, firsts, batch[copies_name])
             for row, text in enumerate(raw):
                 own = slice(firsts[row], firsts[row + 1])
                 size = own.stop - own.start

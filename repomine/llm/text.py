@@ -51,6 +51,17 @@ def map_batches(
     return df.mapInArrow(fn, schema)
 
 
+def free_names(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, lengthened until no column has them; case does not count."""
+    taken, names = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        names.append(name)
+    return names
+
+
 def drop_shuffles(spark: SparkSession) -> None:
     """Let Spark delete the shuffle files of steps whose result was written.
 

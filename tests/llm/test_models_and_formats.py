@@ -165,14 +165,13 @@ def whole_ids(texts):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(packing.default_tokenizer())
-    tokenizer.encode_special_tokens = True
     return [np.append(np.array(e.ids, np.uint32), np.uint32(packing.END_ID)) for e in tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
 def test_encoder_equals_the_tokenizer():
     texts = [
         "Hello, WORLD's end... it's we'll 3.14 x2", "naïve ÀÉÎ straße İstanbul Σίσυφος ΟΔΟΣ", "é ẛ̣ ﬁ", "日本語 テスト",
-        "a b c d\x1ce\x85f", "<|endoftext|> <|startoftext|>x", "😀👩‍👩‍👧 ok!?;:", "", "  \n", "×÷ ªº ß", "x" * 3000, "don't.'s",
+        "a b c d\x1ce\x85f", "<|endoftext|> <|startoftext|>x", "x <|endoftext|> y", "a<|startoftext|>b", "A<|ENDOFTEXT|>É<|endoftext|>'s", "😀👩‍👩‍👧 ok!?;:", "", "  \n", "×÷ ªº ß", "x" * 3000, "don't.'s",
     ]
     encoder = packing.Encoder(packing.default_tokenizer())
     for text, want in zip(texts, whole_ids(texts)):
@@ -228,7 +227,7 @@ def test_packing_routes_documents_to_tiers():
 def test_packing_of_nothing_and_repeated_rows(spark):
     assert packing.pack_documents(frame(spark, [])).collect() == []
     clash = frame(spark, [(1, "a b", 1), (1, "a b", 1)], "doc_id bigint, text string, offset int")
-    got = packing.with_checksums(packing.pack_documents(clash)).collect()
+    got = packing.pack_documents(clash, checksums=True).collect()
     want = zlib.crc32(whole_ids(["a b"])[0].astype("<u4").tobytes())
     whole = [r for r in got if r["length"] == r["doc_tokens"]]
     assert sum(r["length"] for r in got) == 2 * got[0]["doc_tokens"] and all(r["ids_crc32"] == want for r in whole)
@@ -372,6 +371,48 @@ def test_any_markup_is_read(html):
     assert text_of(html) == text_of(html)
 
 
+def test_text_after_deep_nesting_keeps_its_place():
+    inner = "<div>" * 300 + "<p>in</p>" + "</div>" * 300
+    html = f"<div><article><p>before</p>{inner}<p>after</p></article></div><p>outside</p>"
+    assert html_extract.page_text(html, frozenset()) == "before\nin\nafter"
+    noise = "<div>" * 300 + "<nav><p>menu</p></nav><div class=sidebar><b>x</b></div><p>text</p>" + "</div>" * 300
+    assert html_extract.page_text(f"<article><p>a</p>{noise}<p>b</p></article>", frozenset()) == "a\ntext\nb"
+
+
+def test_a_million_open_elements_are_read():
+    html = "<article>" + "<div>" * 200_000 + "x" + "<i>" * 100_000 + "y"
+    assert html_extract.page_text(html, frozenset()) == "xy"
+
+
+def test_columns_of_any_name_pass_through_extraction(spark):
+    rows = [(i, f"https://h.example.com/{i}", f"<article><p>text {i}</p></article>", "k") for i in range(4)]
+    pages = frame(spark, rows, "page_id bigint, url string, html string, _low string")
+    odd = pages.select("*", *[F.lit("k").alias(c) for c in ("_kept", "_sited", "_KEPT_", "spread", "path", "site", "text")])
+    got = html_extract.extract_text(odd).collect()
+    assert sorted(r["text"] for r in got) == [f"text {i}" for i in range(4)] and {r["_low"] for r in got} == {"k"}
+
+
+def styled_by_force(pages, least=html_extract.LEAST_IMPORTANCE, least_pages=html_extract.LEAST_PAGES):
+    """Pages whose elements are <div class=X><p>…</p></div>: the branches that say the same on all pages go."""
+    seen = {}
+    for page in pages:
+        for style, text in page:
+            seen.setdefault(style, []).append(text)
+    low = {s for s, texts in seen.items() if len(texts) >= least_pages and len(set(texts)) == 1}
+    return ["\n".join(t for s, t in page if s not in low) for page in pages]
+
+
+def test_the_tree_decides_where_no_page_has_an_article(spark):
+    pages = []
+    for i in range(30):
+        page = [("top", "Welcome to the site"), ("story", " ".join(f"w{i}x{k}" for k in range(40))), ("end", "All rights and words kept")]
+        pages.append(page if i % 3 else [*page, ("extra", f"note {i} of the day")])
+    html = ["<body>" + "".join(f'<div class="{s}"><p>{t}</p></div>' for s, t in page) + "</body>" for page in pages]
+    rows = [(i, f"https://plain.example.com/{i}", h) for i, h in enumerate(html)]
+    got = html_extract.extract_text(frame(spark, rows, "page_id bigint, url string, html string")).collect()
+    assert {r["page_id"]: r["text"] for r in got} == dict(enumerate(styled_by_force(pages)))
+
+
 def test_deep_nesting_is_read():
     assert text_of("<b>" * 20000 + "x" + "<div>" * 20000 + "y") == "x\ny"
 

@@ -320,3 +320,26 @@ def test_decontamination_of_nothing(spark):
     assert decontaminate.benchmark_matches(frame(spark, []), items).collect() == []
     clash = frame(spark, [(1, "x a b c d e f", 5, 6)], "doc_id bigint, text string, item_id int, matched int")
     assert [tuple(r)[:2] for r in decontaminate.benchmark_matches(clash, items).collect()] == [(1, 1)]
+
+
+def test_columns_of_any_name_pass_through_the_cut(spark):
+    same = " ".join(f"w{i}" for i in range(60))
+    odd = frame(spark, [(1, same), (2, same), (3, None)]).select("*", *[F.lit("k").alias(c) for c in ("_keys", "_checks", "_Copies", "key", "low")])
+    got = {r["doc_id"]: r for r in substring.remove_repeats(odd).collect()}
+    assert got[1]["n_removed"] == 0 and got[2]["n_removed"] == 60 and got[3]["_Copies"] == "k"
+
+
+def test_hot_joins_of_links_have_exchanges_of_their_own(spark):
+    """With broadcasts off no side of a join that goes by a hot key is an aggregate right below it."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        from repomine.llm import components
+
+        edges = spark.range(50).selectExpr("id AS a", "id + 1 AS b")
+        for larger_only in (True, False):
+            plan = components._stars(edges, larger_only)._jdf.queryExecution().executedPlan().toString()
+            join = plan.index("SortMergeJoin")
+            assert "HashAggregate" not in plan[join:]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
