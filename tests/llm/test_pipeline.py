@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 import sys
 import zlib
@@ -15,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 import check_oracle  # noqa: E402
 import corpus_pipeline  # noqa: E402
 from repomine.llm import packing, quality, queries  # noqa: E402
-from test_text_operators import cut_by_force, held_by_force, simhash_by_force  # noqa: E402
+from test_text_operators import cut_by_force, held_by_force, simhash_of_rows  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -29,12 +30,15 @@ def run_by_force(spark, docs, labels, benchmark):
     model = quality.fit_quality(docs, labels)
     scored = quality.score_quality(docs, model).collect()
     rows = [(r["doc_id"], r["text"]) for r in scored if r["predicted"] == 1]
-    leaders = {i for i, _, c in simhash_by_force(rows) if i == c}
-    rows = list({i: (i, t) for i, t in rows if i in leaders}.values()) + [r for r in rows if r[0] is None]
+    groups = {}
+    for (i, t), (_, _, component) in zip(rows, simhash_of_rows(rows)):
+        if i is not None:
+            groups.setdefault(component, []).append((i, hashlib.sha256((t or "").encode()).hexdigest(), t))
+    rows = [(min(g)[0], min(g, key=lambda r: r[:2])[2]) for g in groups.values()] + [r for r in rows if r[0] is None]
     cut = [(i, kept) for i, n, gone, kept in cut_by_force(rows, 50) if not n or gone < n]
     items = [tuple(r) for r in benchmark.select("item_id", "text").collect()]
-    bad = {h[0] for h in held_by_force(cut, items)}
-    return [(i, t) for i, t in cut if i is None or i not in bad]
+    bad = {h[0] for h in held_by_force(list(enumerate(t for _, t in cut)), items)}
+    return [row for n, row in enumerate(cut) if n not in bad]
 
 
 def check_run(spark, sf_dir):
@@ -95,6 +99,23 @@ def test_odd_rows_go_through_all_stages(spark, tmp_path):
     assert corpus_pipeline.run(spark, planted(spark, tmp_path / "none", [])).collect() == []
 
 
+def test_no_text_is_lost_where_an_id_repeats(spark):
+    a, b = prose(11, 80), prose(12, 80)
+    rows = [(1, a), (5, a), (5, b)]
+    for order in ([0, 1, 2], [2, 1, 0], [1, 2, 0]):
+        docs = spark.createDataFrame([(*rows[n], "en", "s", 1) for n in order], DOCUMENTS)
+        kept = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+        assert sorted((r["doc_id"], r["text"]) for r in kept.collect()) == [(1, a), (5, b)]
+
+
+def test_contaminated_rows_go_without_id_too(spark, tmp_path):
+    item, clean = prose(13, 30), prose(14, 50)
+    rows = [(None, prose(15, 40) + " " + item), (None, clean), (3, clean + " x"), (3, item), (None, None)]
+    sf_dir = planted(spark, tmp_path, [(i, t, "en", "s", 1) for i, t in rows], items=[(1, item)])
+    kept = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), sf_dir)
+    assert sorted((r["text"] or "") for r in kept.collect()) == ["", clean, clean + " x"]
+
+
 @needs_data
 def test_stages_keep_the_columns_of_documents(spark):
     docs = spark.read.parquet(f"{SF_DIR}/documents.parquet")

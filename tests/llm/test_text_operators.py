@@ -118,7 +118,7 @@ def test_covering_masks_meet_every_pair_within_the_radius():
             assert any(difference & m == 0 for m in masks)
 
 
-def simhash_by_force(rows, radius=3, shingle=3):
+def simhash_of_rows(rows, radius=3, shingle=3):
     fps = [simhash.fingerprint((t or "").encode(), shingle) for _, t in rows]
     near = [(a, b) for a in range(len(rows)) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= radius]
     root = groups(near, range(len(rows)))
@@ -126,7 +126,11 @@ def simhash_by_force(rows, radius=3, shingle=3):
     for k, (i, _) in enumerate(rows):
         if i is not None:
             least[root[k]] = min(least.get(root[k], i), i)
-    return sorted(((i, f"{f:016x}", least.get(root[k])) for k, ((i, _), f) in enumerate(zip(rows, fps))), key=str)
+    return [(i, f"{f:016x}", least.get(root[k])) for k, ((i, _), f) in enumerate(zip(rows, fps))]
+
+
+def simhash_by_force(rows, radius=3, shingle=3):
+    return sorted(simhash_of_rows(rows, radius, shingle), key=str)
 
 
 @pytest.mark.parametrize("compared_at_once", [simhash.COMPARED_AT_ONCE, 1])
