@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from repomine.llm.decontaminate import benchmark_matches
-from repomine.llm.packing import pack_documents, with_checksums
+from repomine.llm.packing import pack_documents
 from repomine.llm.quality import fit_quality, score_quality
 from repomine.llm.simhash import near_duplicates
 from repomine.llm.substring import remove_repeats
@@ -27,17 +27,25 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays: the one with the smallest id, whose id names the group.
 
-    Of several rows with that id one stays. Rows without id stay: nothing tells which group they lead.
+    Of a group's rows with that id the one with the least text digest stays, once, and of rows that differ
+    in other columns the least. A different text under an id that another group has too is in a group of its
+    own, and stays. Rows without id stay: nothing tells which group they lead.
     """
-    groups = near_duplicates(docs)
-    leaders = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    kept = docs.dropDuplicates(["doc_id"]) if _repeats(docs) else docs
-    return kept.join(leaders, "doc_id", "left_semi").union(docs.where("doc_id is null")).select(*COLUMNS)
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether an id occurs twice. Texts are then shuffled once more to leave one row of each."""
-    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"))
+    keyed = docs.select(*COLUMNS, F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_key"))
+    groups = near_duplicates(keyed, keep=("text_key",)).where("doc_id is not null")
+    first = groups.groupBy("component_id").agg(F.min(F.struct("doc_id", "text_key")).alias("first"))
+    # Written, as the join and the look for repeats read it.
+    leaders = cut_lineage(first.select("first.*"))
+    kept = keyed.join(leaders, ["doc_id", "text_key"], "left_semi")
+    if _repeats(kept):
+        whole = F.min(F.struct(*COLUMNS)).alias("row")
+        kept = kept.groupBy("doc_id", "text_key").agg(whole).select("row.*")
+    return kept.select(*COLUMNS).union(docs.where("doc_id is null").select(*COLUMNS))
+
+
+def _repeats(kept: DataFrame) -> bool:
+    """Whether a leading row occurs twice. Texts are then shuffled once more to leave one of each."""
+    counts = kept.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"))
     return not counts.where("n > 1").isEmpty()
 
 
@@ -50,14 +58,16 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold an item of the benchmark go. A document without id cannot be named and stays."""
-    held = benchmark_matches(docs, read_table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold an item of the benchmark go, by their text: rows without id, or that share one, too."""
+    text_no = F.xxhash64(F.coalesce("text", F.lit("")))
+    named = docs.select(text_no.alias("doc_id"), "text")
+    held = benchmark_matches(named, read_table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("text_no")).distinct()
+    return docs.withColumn("text_no", text_no).join(held, "text_no", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the training sequences, with the checksum of their ids."""
-    return with_checksums(pack_documents(docs))
+    return pack_documents(docs, checksums=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
