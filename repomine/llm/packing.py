@@ -31,7 +31,7 @@ GROUP_TOKENS = 16 * CONTEXT
 
 # What a worker remembers from task to task: bytes of the pieces between blanks, and words in lower case, so
 # many of each at most. Beyond them it starts anew.
-CACHED_BYTES, CACHED_WORDS = 1 << 21, 1 << 17
+CACHED_BYTES, CACHED_WORDS = 1 << 23, 1 << 17
 
 # A word that no normalizer changes but for its case, and marks after it.
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,!?;:]*)")
