@@ -576,9 +576,9 @@ def tree_diff_digests(spark, sf_dir):
 
 
 _SNAPSHOT_DIFF = f"""WITH trees AS (
-    SELECT k, CASE WHEN (p_partkey + k) % {roles.CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END
-           || p_brand || '/' || replace(p_type, ' ', '/') || '/' || p_partkey AS path,
-           (p_partkey + k) // {roles.CHANGE_EVERY} AS blob
+    SELECT k, CASE WHEN (p_partkey // 10 + k) % {roles.CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END
+           || (p_partkey // 1000) || '/' || (p_partkey // 10) || '/' || p_partkey AS path,
+           (p_partkey // 10 + k) // {roles.CHANGE_EVERY} AS blob
     FROM part, range({roles.SNAPSHOTS}) r(k)),
     new AS (SELECT * FROM trees WHERE k > 0), old AS (SELECT k + 1 AS k, path, blob FROM trees WHERE k < {roles.SNAPSHOTS - 1})
     SELECT CAST(coalesce(new.k, old.k) AS VARCHAR) AS hash, coalesce(new.path, old.path) AS path,
@@ -800,8 +800,8 @@ def _snapshot_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # The file name is the key of the part, so a deleted and an added file of one name are the same part.
 _RENAMED = f"""WITH files AS (
-    SELECT p_partkey, k, p_brand || '/' || replace(p_type, ' ', '/') AS home, (p_partkey + k) % {roles.CHANGE_EVERY} = 7 AS away,
-           (p_partkey + k) // {roles.CHANGE_EVERY} AS blob
+    SELECT p_partkey, k, (p_partkey // 1000) || '/' || (p_partkey // 10) AS home, (p_partkey // 10 + k) % {roles.CHANGE_EVERY} = 7 AS away,
+           (p_partkey // 10 + k) // {roles.CHANGE_EVERY} AS blob
     FROM part, range({roles.SNAPSHOTS}) r(k)),
     changes AS (
         SELECT n.k, n.p_partkey, n.home, o.away <> n.away AS moved, o.away, o.blob <> n.blob AS edited

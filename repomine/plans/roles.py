@@ -110,7 +110,7 @@ def branched_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-# Commits of the repository of parts, and of how many files one changes from a commit to the next.
+# Commits of the repository of parts, and of how many directories one changes from a commit to the next.
 SNAPSHOTS = 20
 CHANGE_EVERY = 100
 
@@ -124,19 +124,19 @@ def snapshot_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def snapshot_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts as the files of a repository, by brand and type, once for every commit.
+    """Parts as the files of a repository, ten to a directory, once for every commit.
 
-    One in a hundred has other contents than in the commit before, and one in a hundred moves away or back.
+    Of a hundred directories one has other contents than in the commit before, and two move away or back.
     """
     files = table(spark, sf_dir, "part").select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOTS - 1))).alias("k")
     )
     return files.selectExpr(
         "'parts' AS repo_id", "CAST(k AS STRING) AS hash",
-        f"concat(CASE WHEN (p_partkey + k) % {CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END,"
-        " p_brand, '/', replace(p_type, ' ', '/'), '/', p_partkey) AS path",
+        f"concat(CASE WHEN (p_partkey DIV 10 + k) % {CHANGE_EVERY} = 7 THEN 'old/' ELSE '' END,"
+        " p_partkey DIV 1000, '/', p_partkey DIV 10, '/', p_partkey) AS path",
         "CASE WHEN p_size > 25 THEN '100755' ELSE '100644' END AS mode",
-        f"CAST((p_partkey + k) DIV {CHANGE_EVERY} AS STRING) AS blob_id",
+        f"CAST((p_partkey DIV 10 + k) DIV {CHANGE_EVERY} AS STRING) AS blob_id",
     )
 
 
