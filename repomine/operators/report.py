@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,12 +21,19 @@ REPORT_HEADERS = {
     "repository": "Repository",
     "files_changed": "Files Changed",
 }
+# Input order of the repositories, then the log, newest first. The keys end in the hash.
+REPORT_ORDER = ["repo_ord", "-committed_at", "hash"]
 NO_REPOSITORIES = "No repositories found."
 NO_COMMITS = "No relevant commits found."
 
 
-def to_report(commits: DataFrame, legacy: bool = False, files: bool = False) -> DataFrame:
-    """Report rows of commits that carry ``clone_url``. ``files`` adds the repository and its file count."""
+def to_report(
+    commits: DataFrame, legacy: bool = False, files: bool = False, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Report rows of commits that carry ``clone_url``. ``files`` adds the repository and its file count.
+
+    ``keep`` names columns of the commits to carry along, such as those of the order.
+    """
     columns = [
         commit_url(F.col("clone_url"), F.col("hash"), legacy).alias("commit_url"),
         F.col("hash").alias("commit_hash"),
@@ -34,7 +43,7 @@ def to_report(commits: DataFrame, legacy: bool = False, files: bool = False) ->
     ]
     if files:
         columns += [F.col("clone_url").alias("repository"), "files_changed"]
-    return commits.select(*columns)
+    return commits.select(*columns, *keep)
 
 
 def in_report_order(commits: DataFrame) -> DataFrame:

@@ -21,10 +21,12 @@ from repomine.plans import mining, roles, upkeep
 from repomine.session import configure, cut_lineage, scratch_path
 from repomine.sources import tables
 from repomine.sources.lists import scan_repo_list as read_repo_list
+from repomine.sources.ordered import read_in_order, write_in_order
 from repomine.sources.reports import read_report, write_report
 from repomine.sources.search import (
     commit_count_from_responses, pages_until_end, repos_from_responses, search_pages,
 )
+from repomine.sources.search import scan_search_files as read_search_files
 from repomine.sources.search import scan_search_pages as read_search_pages
 from repomine.streaming.refresh import landed_stream, matching_stream, run_to_end
 
@@ -210,6 +212,20 @@ def scan_search_pages(spark, sf_dir):
     return _plain_repos(read_search_pages(spark, path, lines=True))
 
 
+@query(
+    f"""WITH cut AS (SELECT DISTINCT c_nationkey AS nation, c_custkey // {roles.FILE_KEYS} AS page FROM customer
+        WHERE c_nationkey % 5 = 2 AND c_custkey // {roles.FILE_KEYS} = c_nationkey // 5 % 3),
+    customer AS (SELECT c.* FROM customer c LEFT JOIN cut ON c_nationkey = nation
+        WHERE page IS NULL OR c_custkey // {roles.FILE_KEYS} < page)
+    {_PAGE_ITEMS}"""
+)
+def scan_search_files(spark, sf_dir):
+    """Pages written as a file each, some of them cut off, and read back up to the end of each search."""
+    path = scratch_path(spark, "files")
+    roles.page_files(spark, sf_dir).write.partitionBy("search_id", "page").text(path)
+    return _plain_repos(search_pages(pages_until_end(read_search_files(spark, path))))
+
+
 @query(
     """SELECT CASE WHEN c_mktsegment = 'FURNITURE' THEN 'http' ELSE 'https' END
         || '://github.com/org/r' || c_custkey || '.git' AS clone_url, 'org/r' || c_custkey AS repo_id
@@ -297,6 +313,23 @@ def report_rows_files(spark, sf_dir):
     return read_report(spark, _run(spark, sf_dir)[0])
 
 
+# The flagship for all repositories of no less than 0 stars.
+EVERYONE = dataclasses.replace(FLAGSHIP, domains=[""], commit_filter="", commit_threshold=0, min_stars=0)
+
+
+@query(
+    f"""WITH {_FILES}, chosen AS (SELECT c_custkey FROM customer WHERE floor(c_acctbal) >= 0)
+    SELECT row_number() OVER (ORDER BY o_custkey, o_orderdate DESC, CAST(o_orderkey AS VARCHAR)) AS row_number,
+    {_COMMIT_URL} AS commit_url, CAST(o_orderkey AS VARCHAR) AS commit_hash {_MINED}"""
+)
+def report_order(spark, sf_dir):
+    """A report written in its order, and the places of its rows restored from the files."""
+    path = scratch_path(spark, "ordered")
+    kept = mining.mined_commits(EVERYONE, _mining_tables(spark, sf_dir))
+    write_in_order(report.to_report(kept, keep=["repo_ord", "committed_at", "hash"]), report.REPORT_ORDER, path)
+    return read_in_order(spark, path).select("row_number", "commit_url", "commit_hash")
+
+
 def _run(spark, sf_dir) -> tuple[str, str]:
     """One run of the search form: the folder of its report, and that of the table of searches."""
     base, past = scratch_path(spark, "reports"), scratch_path(spark, "history")

@@ -227,19 +227,32 @@ _PAGE_BODY = (
 PAGE_ITEMS = 100
 
 
-def page_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``nation, page, value``: search pages as text, with the items of up to 100 customer keys of a nation each.
+def page_bodies(spark: SparkSession, sf_dir: str, keys: int = PAGE_ITEMS) -> DataFrame:
+    """``nation, page, value``: search pages as text, with the items of up to ``keys`` customer keys of a nation each.
 
-    Page 0 has the keys 0 to 99, page 1 those up to 199; a key has two items. A row grows with the customers
+    With 100, page 0 has the keys 0 to 99, page 1 those up to 199; a key has two items. A row grows with the customers
     of one key only, not with the table.
     """
     items = table(spark, sf_dir, "customer").selectExpr(
-        "c_nationkey AS nation", f"CAST(floor(c_custkey / {PAGE_ITEMS}) AS BIGINT) AS page", f"{_PAGE_BODY} AS body"
+        "c_nationkey AS nation", f"CAST(floor(c_custkey / {keys}) AS BIGINT) AS page", f"{_PAGE_BODY} AS body"
     )
     inner = F.array_join(F.collect_list(F.expr("substring(body, 11, length(body) - 12)")), ",")
     return items.groupBy("nation", "page").agg(F.concat(F.lit('{"items":['), inner, F.lit("]}")).alias("value"))
 
 
+# Customer keys of a page that is a file: about 100 of them are of one nation.
+FILE_KEYS = 2_500
+
+
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``search_id, page, value``: such pages, one search per nation; five of the searches have a page that is cut off."""
+    cut = F.expr("nation % 5 = 2 AND page = nation DIV 5 % 3")
+    return page_bodies(spark, sf_dir, FILE_KEYS).select(
+        F.col("nation").cast("string").alias("search_id"), F.col("page").cast("int").alias("page"),
+        F.when(cut, F.expr("substring(value, 1, length(value) - 5)")).otherwise(F.col("value")).alias("value"),
+    )
+
+
 def count_responses(spark: SparkSession, sf_dir: str, name: str = "c_name") -> DataFrame:
     """Customers as landed commit-count responses: with a last-page link, with a body only, or failed.
 

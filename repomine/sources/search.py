@@ -34,25 +34,52 @@ def scan_search_pages(spark: SparkSession, path: str, lines: bool = False) -> Da
     return _flatten(spark.read.schema(SEARCH_PAGE).json(path, multiLine=not lines), [])
 
 
+def scan_search_files(spark: SparkSession, path: str) -> DataFrame:
+    """``search_id, page, status, link, body, file`` of landed pages, each a file of its own.
+
+    The files lie in folders ``search_id=…/page=…`` and are read whole, many small ones by one task. A file
+    that is not one whole JSON text (cut off, blank, anything else) has no status, so :func:`pages_until_end`
+    takes it as a failed request that ends its search; :func:`broken_files` lists them. Spark passes over files
+    of no bytes: give ``pages_until_end`` the first page number, so that the gap ends the search. The link is
+    that of a page with a next one: a search goes on to its last file.
+    """
+    read = spark.read.schema("value string, search_id string, page int").text(path, wholetext=True)
+    parsed = F.from_json("value", "items array<string>, broken string", {"columnNameOfCorruptRecord": "broken"})
+    whole = F.rlike("value", F.lit(r"\S")) & parsed["broken"].isNull()
+    return read.select(
+        "search_id", "page", F.when(whole, 200).alias("status"), F.lit('rel="next"').alias("link"),
+        F.col("value").alias("body"), F.col("_metadata.file_path").alias("file"),
+    )
+
+
+def broken_files(responses: DataFrame) -> DataFrame:
+    """``search_id, page, file`` of the files that :func:`scan_search_files` could not read."""
+    return responses.where(F.col("status").isNull()).select("search_id", "page", "file")
+
+
 def search_pages(responses: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """Repositories out of a table with one response ``body`` per row."""
     parsed = responses.withColumn("items", F.from_json("body", SEARCH_PAGE)["items"])
     return _flatten(parsed, keep or [])
 
 
-def pages_until_end(responses: DataFrame) -> DataFrame:
+def pages_until_end(responses: DataFrame, first: int | None = None) -> DataFrame:
     """Pages a search uses: up to the first that failed or is empty, or has no next page (that one included).
 
     Columns ``search_id, page, status, link, body``, one row per request. A page may have been asked for
     several times: it failed only if no attempt succeeded, and one successful attempt of it is kept. The
-    pages of a search rise in the order they were asked.
+    pages of a search rise in the order they were asked. Where they are numbered without gaps, give the
+    ``first`` number: a page that is not there then ends its search like one that failed.
     """
     # Looking for a first item costs less than reading the page, which is done for the pages kept only.
     usable = F.coalesce(succeeded(F.col("status")), F.lit(False)) & json_text(F.col("body"), "items[0]").isNotNull()
     attempts = responses.withColumn("_usable", usable)
-    pages = attempts.groupBy("search_id", "page").agg(
-        F.bool_or("_usable").alias("usable"), F.bool_or(F.col("_usable") & has_next(F.col("link"))).alias("more")
-    )
+    tries = attempts.select("search_id", "page", "_usable", (F.col("_usable") & has_next(F.col("link"))).alias("_more"))
+    if first is not None:
+        # Every page stands for the one after it, too, and a search for its first: failed, unless it is there.
+        missing = F.explode(F.array(F.col("page") + 1, F.lit(first))).alias("page")
+        tries = tries.unionAll(tries.select("search_id", missing, F.lit(False), F.lit(False)))
+    pages = tries.groupBy("search_id", "page").agg(F.bool_or("_usable").alias("usable"), F.bool_or("_more").alias("more"))
     last = F.when(~F.col("usable"), F.col("page") - 1).when(~F.col("more"), F.col("page"))
     ends = pages.groupBy("search_id").agg(F.min(last).alias("_last"))
     # One search may have most of the pages, and bodies are long.
