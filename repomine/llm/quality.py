@@ -172,8 +172,13 @@ def fit_quality(
     error on folds left out; the scores of left-out folds are calibrated. Without labels of both kinds every
     score is the share of label 1, or 1 if there is none at all: nothing is known against a document.
     """
-    spark = docs.sparkSession
-    stats = cut_lineage(statistics(docs))
+    return fit_statistics(cut_lineage(statistics(docs)), labels, features, ridges, seed)
+
+
+def fit_statistics(
+    stats: DataFrame, labels: DataFrame, features: int = FEATURES, ridges: tuple[float, ...] = RIDGES, seed: int = SEED
+) -> QualityModel:
+    """:func:`fit_quality` from :func:`statistics` that were written; they are read several times."""
     cells = [F.struct(F.avg(F.col("stats")[i]).alias("m"), F.stddev_pop(F.col("stats")[i]).alias("s")) for i in range(len(NAMES))]
     moments = stats.agg(F.array(*cells).alias("x")).first()["x"]
     mean, spread = (np.array([float(f"{c[k] or 0.0:.9g}") for c in moments]) for k in ("m", "s"))
@@ -219,8 +224,22 @@ def score_quality(docs: DataFrame, model: QualityModel, threshold: float = THRES
     return map_batches(docs, run, schema + ", score double, predicted int")
 
 
+def score_statistics(stats: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
+    """``doc_id, score, predicted`` as :func:`score_quality` gives them, from the :func:`statistics` of the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            score = model.score(_stack(batch["stats"], len(NAMES)))
+            columns = [batch["doc_id"], pa.array(score), pa.array((score >= threshold).astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "score", "predicted"])
+
+    schema = f"doc_id {dict(stats.dtypes)['doc_id']}, score double, predicted int"
+    return map_batches(stats.select("doc_id", "stats"), run, schema)
+
+
 def op9_quality(spark, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    model = fit_quality(docs, read_table(spark, sf_dir, "labels"))
+    # Every text is looked at once: the model is fitted on the written statistics, and they are scored.
+    stats = cut_lineage(statistics(read_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    model = fit_statistics(stats, read_table(spark, sf_dir, "labels"))
     held_out = F.coalesce(fold_of(F.col("doc_id")) == 0, F.lit(False)).alias("held_out")
-    return score_quality(docs, model).select("doc_id", held_out, "score", "predicted")
+    return score_statistics(stats, model).select("doc_id", held_out, "score", "predicted")

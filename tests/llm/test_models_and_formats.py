@@ -89,10 +89,21 @@ def test_quality_of_odd_rows_and_without_labels(spark):
         got = quality.score_quality(docs, model)
         assert got.columns == ["doc_id", "text", "note", "score", "predicted"]
         assert {r["score"] for r in got.collect()} == {share} and got.count() == len(ODD)
+        short = quality.score_statistics(quality.statistics(docs), model)
+        assert [r[0] for r in short.select("score").collect()] == [share] * len(ODD)
     empty = frame(spark, [])
     assert quality.score_quality(empty, quality.fit_quality(empty, frame(spark, [], labels))).collect() == []
 
 
+@needs_data
+def test_scores_of_written_statistics(spark):
+    docs = table(spark, "documents").limit(300).cache()
+    model = quality.fit_quality(docs, table(spark, "labels"))
+    want = quality.score_quality(docs, model).select("doc_id", "score", "predicted")
+    got = quality.score_statistics(quality.statistics(docs), model)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
 # Toxicity
 
 
