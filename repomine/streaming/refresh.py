@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark import StorageLevel
@@ -9,9 +11,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from repomine.functions.text import contains_any
-from repomine.operators.history import new_commits
-from repomine.schemas import COMMIT_KEY, COMMITS
+from repomine.functions.text import contains_any, truncate_text
+from repomine.operators.diffs import max_files
+from repomine.operators.history import new_commits, parent_columns
+from repomine.schemas import COMMIT_KEY, COMMITS, commit_key
 from repomine.sources.tables import land
 
 
@@ -37,6 +40,32 @@ def matching_stream(
     return hits.dropDuplicates(COMMIT_KEY)
 
 
+def mined_stream(
+    commits: DataFrame, changes: DataFrame, keywords: Sequence[str], max_modified_files: int,
+    ingested: str = "ingested_at", late: str = "1 day", apart: str = "1 hour",
+) -> DataFrame:
+    """Commits with any keyword that change at most so many files, with ``files_changed``; roots always pass.
+
+    Two streams with an ingest time: commits, and changed files (``[repo_id,] hash, path``) that are ingested
+    at most ``apart`` before or after their commit. Rows come at most ``late`` behind the newest of their
+    stream; later ones are dropped. A commit is given out once both streams are past its time by ``late`` and
+    ``apart``, and then its state goes, so state is bounded by what is ingested in that time. Repeated
+    deliveries count once. Time moves by the rows of either stream, of the commits by those with a keyword;
+    a row without hash is a heartbeat, which only moves it. After a restart both streams must bring a row
+    before it moves again.
+    """
+    key = commit_key(changes)
+    hits = parent_columns(commits).where(contains_any(F.col("message"), keywords) | F.col("hash").isNull())
+    hits = hits.select(*COMMIT_KEY, "is_root", truncate_text(F.col("message")).alias("message"), ingested)
+    hits = hits.withWatermark(ingested, late).dropDuplicatesWithinWatermark(COMMIT_KEY)
+    files = changes.select(*[F.col(c).alias(f"_{c}") for c in [*key, "path"]], F.col(ingested).alias("_at"))
+    files = files.withWatermark("_at", late).dropDuplicatesWithinWatermark([f"_{c}" for c in [*key, "path"]])
+    near = F.expr(f"_at BETWEEN {ingested} - INTERVAL {apart} AND {ingested} + INTERVAL {apart}")
+    same = functools.reduce(operator.and_, [F.col(c) == F.col(f"_{c}") for c in key])
+    counted = hits.join(files, same & near, "left_outer").groupBy(*hits.columns).agg(F.count("_path").alias("files_changed"))
+    return max_files(counted.where(F.col("hash").isNotNull()), max_modified_files)
+
+
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:
     """Process everything that has landed, append it to a Parquet folder, and stop."""
     query = (
