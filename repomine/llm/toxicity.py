@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from repomine.llm.quality import fold_of
@@ -41,8 +41,6 @@ _WORD = re.compile(r"[^\W_]+")
 OWN_TERMS = 64
 OWN_SHARE = 0.1
 OWN_RATIO = 5.0
-# Languages, those with the most toxic rows without a listed word.
-OWN_LANGUAGES = 64
 
 # Kinds of toxic words for the second and third category of the query; the labels only say toxic or not. The words
 # are English; for rows without any of them see ``own_terms``.
@@ -136,23 +134,29 @@ class ToxicityChain:
 
 
 def fit_chain(
-    x: np.ndarray, y: np.ndarray, folds: np.ndarray, weight: np.ndarray, categories: Sequence[str], words: Sequence[str]
+    x: np.ndarray, y: np.ndarray, folds: np.ndarray, weight: np.ndarray, categories: Sequence[str], words: Sequence[str],
+    looked_at: Mapping[int, np.ndarray] | None = None,
 ) -> ToxicityChain:
     """Fit the categories (columns of ``y``) in order.
 
     A later model is trained with the probabilities that earlier ones give to rows they were not fitted on:
-    a model sees in training what it will see on new rows, not the answers learned by heart.
+    a model sees in training what it will see on new rows, not the answers learned by heart. ``words`` name the
+    first columns of ``x``, those the chain looks at. ``looked_at`` gives for a fold the columns that were
+    chosen without its rows; they are used where the fold is left out, so that its labels have no part in it.
     """
     done = np.zeros((len(x), 0))
     models = []
+    looked_at = looked_at or {}
+    final = np.arange(len(words))
     for column in range(y.shape[1]):
-        inputs, target = np.hstack([x, done]), y[:, column]
+        target = y[:, column]
         out_of_fold = np.zeros(len(x))
         for fold in np.unique(folds):
             rest = folds != fold
+            inputs = np.hstack([x[:, looked_at.get(int(fold), final)], done])
             part = fit_linear(inputs[rest], target[rest], weight[rest])
             out_of_fold[~rest] = part.probability(inputs[~rest])
-        models.append(fit_linear(inputs, target, weight))
+        models.append(fit_linear(np.hstack([x[:, final], done]), target, weight))
         done = np.hstack([done, out_of_fold[:, None]])
     return ToxicityChain(list(categories), list(words), models)
 
@@ -197,11 +201,9 @@ def own_terms(rows: DataFrame, toxic: str, listed: Sequence[str], kinds: Sequenc
     group = F.when(F.col(toxic) == 0, 0).when(none, 1)
     known = rows.select("text", "lang", group.alias("own")).where("own is not null")
     sizes = known.groupBy("lang").agg(F.sum("own").alias("all_own"), F.sum(1 - F.col("own")).alias("all_clean"))
-    sizes = sizes.where(F.col("all_own") >= LEAST_DOCUMENTS).orderBy(F.desc("all_own"), "lang").limit(OWN_LANGUAGES).collect()
-    if not sizes:
-        return {}
-
-    known = known.where(F.col("lang").isin([r["lang"] for r in sizes]))
+    # One row per language that has LEAST_DOCUMENTS rows of the sample, which bounds them.
+    sizes = F.broadcast(cut_lineage(sizes.where(F.col("all_own") >= LEAST_DOCUMENTS)))
+    known = known.join(sizes.select("lang"), "lang", "left_semi")
 
     def counted(part: DataFrame, wanted: dict[str, set[str]] | None) -> DataFrame:
         def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,22 +219,19 @@ def own_terms(rows: DataFrame, toxic: str, listed: Sequence[str], kinds: Sequenc
 
     # First the rows to split, which are few; of the clean ones only the features that these often hold. A row has
     # a bounded share of them, so they are at most 1 / OWN_SHARE times the features of a mean row.
-    least = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(max(LEAST_DOCUMENTS, OWN_SHARE * r["all_own"]))) for r in sizes])
-    often = counted(known.where("own = 1"), None).where(F.col("k") >= least)
-    often = cut_lineage(often)
+    least = F.greatest(F.lit(LEAST_DOCUMENTS), OWN_SHARE * F.col("all_own"))
+    often = cut_lineage(counted(known.where("own = 1"), None).join(sizes, "lang").where(F.col("k") >= least))
     wanted: dict[str, set[str]] = {}
     for r in often.select("lang", "word").collect():
         wanted.setdefault(r["lang"], set()).add(r["word"])
     clean_rows = counted(known.where("own = 0"), wanted).withColumnRenamed("k", "clean")
-    counts = cut_lineage(often.join(clean_rows, ["lang", "word"], "left").fillna(0, ["clean"]))
-    terms = {}
-    for r in sizes:
-        share, clean = F.col("k") / r["all_own"], (F.col("clean") + 1) / (r["all_clean"] + 1)
-        best = counts.where((F.col("lang") == r["lang"]) & (share >= OWN_SHARE) & (share >= OWN_RATIO * clean))
-        best = best.orderBy((share - clean).desc(), "word").limit(OWN_TERMS).collect()
-        if best:
-            terms[r["lang"]] = split_terms([(b["word"], b["k"]) for b in best], kinds)
-    return terms
+    share, clean = F.col("k") / F.col("all_own"), (F.coalesce("clean", F.lit(0)) + 1) / (F.col("all_clean") + 1)
+    place = F.row_number().over(Window.partitionBy("lang").orderBy((share - clean).desc(), "word"))
+    best = often.join(clean_rows, ["lang", "word"], "left").where(share >= OWN_RATIO * clean).withColumn("place", place)
+    found: dict[str, list[tuple[str, int]]] = {}
+    for r in best.where(F.col("place") <= OWN_TERMS).select("lang", "word", "k").orderBy("lang", "place").collect():
+        found.setdefault(r["lang"], []).append((r["word"], r["k"]))
+    return {lang: split_terms(words, kinds) for lang, words in found.items()}
 
 
 def fit_toxicity(
@@ -251,7 +250,9 @@ def fit_toxicity(
     one); those are in ``terms`` of the chain. Only rows outside fold 0 (see ``fold_of``) are learned from, at most
     ``sample_rows`` of either kind of the first category; their texts are broadcast-joined, so the documents
     are not shuffled. Several labels of a document count as the greatest; nulls count as 0, but a row without
-    id or first category is left out. Without any label all probabilities are one half.
+    id or first category is left out. Several texts of a document count as the first of them in order. Equal texts
+    are in one inner fold, and features are chosen anew for every inner fold that is left out. Without any label
+    all probabilities are one half.
     """
     kinds = dict(kinds or {})
     labels = labels.where(F.col("doc_id").isNotNull() & F.col(categories[0]).isNotNull()).groupBy("doc_id").agg(
@@ -262,11 +263,13 @@ def fit_toxicity(
     lang = F.coalesce(F.col("lang").cast("string"), F.lit("")) if "lang" in docs.columns else F.lit("")
     text_rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), lang.alias("lang"))
     # At most 2 x sample_rows ids, each with one text however often it occurs.
-    sample = text_rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    fold = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(INNER_FOLDS)).cast("int")
-
     marks = [f"y{i}" for i in range(len(names))]
-    rows = sample.withColumn("fold", fold).withColumnsRenamed(dict(zip(categories, marks)))
+    given_marks = marks[: len(categories)]
+    chosen = chosen.withColumnsRenamed(dict(zip(categories, given_marks)))
+    sample = text_rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", *given_marks)
+    sample = sample.agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.*", *given_marks)
+    fold = F.pmod(F.xxhash64("text", F.lit(1)), F.lit(INNER_FOLDS)).cast("int")
+    rows = sample.withColumn("fold", fold)
     words_of = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), 0))
     for mark, terms in zip(marks[len(categories):], kinds.values()):
         holds = F.arrays_overlap(words_of, F.array(*[F.lit(t) for t in terms]))
@@ -294,25 +297,44 @@ def fit_toxicity(
     def features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             held = [sorted(distinct_features(t)) for t in as_bytes(batch["text"])]
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.list_(pa.string())), *(batch[m] for m in marks)], names=["words", *marks])
-
-    totals = rows.agg(F.count("*").alias("n"), *[F.sum(m).alias(m) for m in marks]).first()
+            columns = [pa.array(held, pa.list_(pa.string())), batch["fold"], *(batch[m] for m in marks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["words", "fold", *marks])
+
+    # Counts of all rows and of each fold alone: what is left without a fold is their difference.
+    inner = range(INNER_FOLDS)
+    sums = [F.count("*").alias("n"), *[F.count(F.when(F.col("fold") == f, 1)).alias(f"n_{f}") for f in inner]]
+    for m in marks:
+        sums += [F.sum(m).alias(m), *[F.sum(F.when(F.col("fold") == f, F.col(m)).otherwise(0)).alias(f"{m}_{f}") for f in inner]]
+    totals = rows.agg(*sums).first()
     n = totals["n"] or 0
-    chosen_words: list[str] = []
+
+    def left(name: str, left_out: int | None, of: Callable = F.col):
+        return of(name) if left_out is None else of(name) - of(f"{name}_{left_out}")
+
+    chosen_words: dict[int | None, set[str]] = {f: set() for f in (None, *inner)}
     if n:
+        kinds_of_row = ", ".join(f"{m} int" for m in marks)
         held = (
-            map_batches(rows.select("text", *marks), features_of, "words array<string>, " + ", ".join(f"{m} int" for m in marks))
-            .select(F.explode("words").alias("word"), *marks)
-            .groupBy("word").agg(F.count("*").alias("docs"), *[F.sum(m).alias(m) for m in marks])
-            .where(F.col("docs") >= LEAST_DOCUMENTS)
+            map_batches(rows.select("text", "fold", *marks), features_of, f"words array<string>, fold int, {kinds_of_row}")
+            .select(F.explode("words").alias("word"), "fold", *marks)
+            .groupBy("word").agg(*sums)
+            .where(F.col("n") >= LEAST_DOCUMENTS)
         )
         held = cut_lineage(held)
-        for m in marks:
-            ones, zeros = (totals[m] or 0) + 1.0, n - (totals[m] or 0) + 1.0
-            gap = F.abs(F.col(m) / ones - (F.col("docs") - F.col(m)) / zeros) / F.sqrt(F.col("docs") + F.lit(1.0))
-            best = held.orderBy(gap.desc(), "word").limit(words).select("word").collect()  # at most `words` rows
-            chosen_words += [r["word"] for r in best]
-    vocabulary = sorted(set(chosen_words))
+        picks = []
+        for left_out in chosen_words:
+            seen, all_rows = left("n", left_out), left("n", left_out, totals.__getitem__)
+            for m in marks:
+                own, ones = left(m, left_out), left(m, left_out, totals.__getitem__)
+                gap = F.abs(own / (ones + 1.0) - (seen - own) / (all_rows - ones + 1.0)) / F.sqrt(seen + F.lit(1.0))
+                best = held.where(seen >= LEAST_DOCUMENTS).orderBy(gap.desc(), "word").limit(words)
+                picks.append(best.select("word", F.lit(left_out).cast("int").alias("left_out")))
+        for r in reduce(DataFrame.union, picks).collect():  # at most `words` rows of each
+            chosen_words[r["left_out"]].add(r["word"])
+    final = sorted(chosen_words[None])
+    vocabulary = final + sorted(set().union(*chosen_words.values()) - set(final))
+    place = {w: i for i, w in enumerate(vocabulary)}
+    looked_at = {f: np.array(sorted(place[w] for w in chosen_words[f]), int) for f in inner}
 
     def short_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = _Index(vocabulary)
@@ -332,7 +354,7 @@ def fit_toxicity(
     weight = np.where(y[:, 0] > 0, positive, negative)
     order = np.lexsort([*x.T, *y.T, [r["fold"] for r in short]]) if len(short) else []  # whatever order Spark gave
     folds = np.array([r["fold"] for r in short], int)
-    chain = fit_chain(x[order], y[order], folds[order], weight[order], names, vocabulary)
+    chain = fit_chain(x[order], y[order], folds[order], weight[order], names, final, looked_at)
     chain.terms = terms
     return chain
 

@@ -157,6 +157,38 @@ def test_later_toxic_categories_are_learned_in_every_language(spark):
     assert got[got.doc_id % 3 != 0][["toxic", "insult", "contempt"]].to_numpy().mean() < 0.03
 
 
+def test_every_language_has_terms_however_many_there_are(spark):
+    rows = []
+    for lang in range(80):
+        for i in range(30):
+            word = ("badly" if i < 3 else "worse") if i < 6 else "nice"
+            rows.append((f"{word}{lang:02d}q w{i}", f"l{lang:02d}", int(i < 6), 0, 0))
+    sample = frame(spark, rows, "text string, lang string, y0 int, y1 int, y2 int")
+    terms = toxicity.own_terms(sample, "y0", ["y1", "y2"], ["insult", "contempt"])
+    assert set(terms) == {f"l{n:02d}" for n in range(80)} and toxicity.own_terms(sample.limit(0), "y0", ["y1", "y2"], ["a", "b"]) == {}
+
+
+def test_a_left_out_fold_uses_its_own_columns():
+    rng = np.random.default_rng(1)
+    x = rng.random((200, 3))
+    y = np.stack([x[:, 0] > 0.5, x[:, 0] > 0.4], 1).astype(float)
+    folds = np.arange(200) % 2
+    asked = ["a", "b"], ["u", "v"]
+    blind = toxicity.fit_chain(x, y, folds, np.ones(200), *asked, {0: np.array([2]), 1: np.array([2])})
+    seeing = toxicity.fit_chain(x, y, folds, np.ones(200), *asked)
+    assert [len(m.weights) for m in blind.models] == [len(m.weights) for m in seeing.models] == [2, 3]
+    # Probabilities from a column that says nothing get less weight in the later model.
+    assert np.allclose(blind.models[0].weights, seeing.models[0].weights)
+    assert abs(blind.models[1].weights[-1]) < abs(seeing.models[1].weights[-1])
+
+
+def test_doubled_documents_count_once_by_their_first_text(spark):
+    docs = frame(spark, [(i, t, "en") for i in range(40) for t in (f"zz{i}", "vile words" if i % 2 else "kind words")], "doc_id bigint, text string, lang string")
+    labels = frame(spark, [(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    one, two = (toxicity.fit_toxicity(d, labels, ["toxic"]) for d in (docs, docs.orderBy("text", "doc_id")))
+    assert one.words == two.words and "vile" in one.words and all(np.array_equal(a.weights, b.weights) for a, b in zip(one.models, two.models))
+
+
 def test_toxicity_of_odd_rows_and_without_labels(spark):
     labels = "doc_id bigint, toxic int"
     docs = frame(spark, [(i, t, "k") for i, t in ODD], "doc_id bigint, text string, p_toxic string")
