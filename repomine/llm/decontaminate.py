@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from repomine.llm.text import as_bytes, map_batches, read_table, window_hashes,
 SHINGLE_WORDS = 5
 LEAST_CONTAINMENT = 0.8
 
-# Characters of benchmark text that a task holds at once; a larger benchmark is searched in blocks.
-BLOCK_CHARS = 32 * 1024 * 1024
+# Characters of benchmark text that a worker holds at once; a larger benchmark is searched in blocks. The shingles of
+# this much text, as tuples of words, take some hundred megabytes.
+BLOCK_CHARS = 4 * 1024 * 1024
 
 # Words are letters and digits, in lower case: punctuation and case do not hide a copy.
 _WORD = re.compile(r"[^\W_]+")
@@ -76,20 +79,32 @@ def sketch_items(items: list[tuple], shingle: int, least: float) -> list[_Sketch
     return [_Sketches(size, members, least) for size, members in sorted(groups.items())]
 
 
+# What this worker process has sketched last: the name of the block and its sketches.
+_held: dict[str, list[_Sketches]] = {}
+
+
+def _sketches_of(name: str, block: Broadcast, shingle: int, least: float) -> list[_Sketches]:
+    """Sketches of a block, made once per worker process and not in every task; one block is held at a time."""
+    if name not in _held:
+        _held.clear()
+        _held[name] = sketch_items(block.value, shingle, least)
+    return _held[name]
+
+
 def _search_block(docs: DataFrame, items: list[tuple], shingle: int, least: float) -> DataFrame:
     block = docs.sparkSession.sparkContext.broadcast(items)  # bounded by BLOCK_CHARS
-    built: list[list[_Sketches]] = []
+    name = uuid.uuid4().hex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built[:] = built or [sketch_items(block.value, shingle, least)]
+        sketches = _sketches_of(name, block, shingle, least)
         for batch in batches:
             found: list[tuple] = []
             for doc_id, text in zip(batch["doc_id"].to_pylist(), as_bytes(batch["text"])):
                 words = text_words(text.decode())
                 base = word_hashes(words)
-                hashes = {c.shingle: window_hashes(base, c.shingle) for c in built[0]}
+                hashes = {c.shingle: window_hashes(base, c.shingle) for c in sketches}
                 held: dict[int, set] = {}
-                for group in built[0]:
+                for group in sketches:
                     for at in group.candidates(hashes[group.shingle]):
                         own = held.get(group.shingle)
                         if own is None:

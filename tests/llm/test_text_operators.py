@@ -296,6 +296,17 @@ def held_by_force(docs, items, least=0.8, shingle=5):
     return sorted(out, key=str)
 
 
+def test_a_worker_sketches_a_block_once(monkeypatch):
+    class Block:
+        value = [(1, "one two three four five six")]
+
+    made = []
+    monkeypatch.setattr(decontaminate, "sketch_items", lambda *args: made.append(args) or [len(made)])
+    monkeypatch.setattr(decontaminate, "_held", {})
+    got = [decontaminate._sketches_of(name, Block, 5, 0.8) for name in ("a", "a", "b", "b", "a")]
+    assert got == [[1], [1], [2], [2], [3]] and len(decontaminate._held) == 1
+
+
 @pytest.mark.parametrize("block_chars", [1 << 25, 300])
 def test_decontamination_equals_brute_force(spark, block_chars):
     rng = random.Random(11)
