@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from repomine.functions import responses, text, urls
 from repomine.functions.dates import java_date_text, stamp_text
-from repomine.operators import diffs, health, history, keywords, ordering, reachability, renames, report
+from repomine.operators import diffs, health, history, keywords, ordering, reachability, renames, report, trigrams
 from repomine.operators import repos as repo_ops
 from repomine.operators.joins import fits_broadcast
 from repomine.plans import mining, roles, upkeep
@@ -128,6 +128,13 @@ def mine_search_staged(spark, sf_dir):
     return mining.mine(FLAGSHIP, _mining_tables(spark, sf_dir), staged=True)
 
 
+@query(f"WITH {_FILES}, {_CHOSEN} SELECT {_REPORT_COLUMNS} {_MINED}")
+def mine_search_sieved(spark, sf_dir):
+    """The search as it runs where neither the repositories nor the hits fit a broadcast."""
+    kept = mining.mined_commits(FLAGSHIP, _mining_tables(spark, sf_dir), staged=True, small=False, prune=False)
+    return report.to_report(kept)
+
+
 @query(
     f"""WITH {_FILES}, {_ENDS}, chosen AS (
         SELECT c_custkey FROM customer JOIN ends ON c_nationkey = nation
@@ -381,14 +388,23 @@ def repo_url_filter(spark, sf_dir):
     return pages.select("page_id", urls.is_repo_url(F.col("url"), roles.PAGES_HOST_PATTERN).alias("is_repo"))
 
 
-@query(
-    """SELECT 'org/r' || c_custkey AS repo_id FROM customer
+_DOMAIN_TERMS = ["Build", "00077", "nation 1"]
+_DOMAIN_HITS = """SELECT 'org/r' || c_custkey AS repo_id FROM customer
     WHERE lower(c_mktsegment) LIKE '%build%' OR lower(c_name) LIKE '%00077%'
     OR (c_acctbal >= 0 AND ('nation ' || c_nationkey) LIKE '%nation 1%')"""
-)
+
+
+@query(_DOMAIN_HITS)
 def repo_domain_filter(spark, sf_dir):
-    terms = ["Build", "00077", "nation 1"]
-    return repo_ops.match_domains(roles.repos(spark, sf_dir), terms).select("repo_id")
+    return repo_ops.match_domains(roles.repos(spark, sf_dir), _DOMAIN_TERMS).select("repo_id")
+
+
+@query(_DOMAIN_HITS)
+def repo_domain_index(spark, sf_dir):
+    """The same through the trigrams, written in order and read back."""
+    repos, path = roles.repos(spark, sf_dir), scratch_path(spark, "trigrams")
+    trigrams.write_index(trigrams.trigram_index(repos), path)
+    return trigrams.match_domains_indexed(repos, spark.read.parquet(path), _DOMAIN_TERMS).select("repo_id")
 
 
 @query("SELECT 'org/r' || c_custkey AS repo_id FROM customer WHERE floor(c_acctbal) >= 1000")

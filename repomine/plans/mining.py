@@ -18,6 +18,7 @@ from repomine.operators.repos import (
     commit_count_filter, complete_repos, count_filter_active, match_domains, min_stars, with_commit_count,
 )
 from repomine.operators.report import NO_COMMITS, NO_REPOSITORIES, in_report_order, run_totals, to_report
+from repomine.operators.sieve import key_sieve, sift
 from repomine.schemas import commit_key
 from repomine.session import cut_lineage
 from repomine.sources.reports import append_history, write_report
@@ -105,7 +106,7 @@ def keyword_commits(
 
 
 def change_counts(
-    hits: DataFrame, tables: MiningTables, repos: DataFrame | None = None, prune: bool = False
+    hits: DataFrame, tables: MiningTables, repos: DataFrame | None = None, prune: bool = False, sieved: bool = False
 ) -> DataFrame:
     """Changed files per commit: of all landed changes, or from the trees of ``hits`` and their parents.
 
@@ -113,7 +114,8 @@ def change_counts(
     a join with the hits would shuffle every change. Changes that may repeat a path are first cut down to the
     hits, by their commit; that shuffle also places them for the distinct count, so they cross the wire once.
     Where a side was measured to fit a broadcast it prunes the changes in the scan: ``repos`` by repository,
-    with ``prune`` the hits themselves by commit.
+    with ``prune`` the hits themselves by commit. ``sieved`` is for hits that do not fit, but are written: a
+    filter of fixed size then drops most other changes in the scan, before any shuffle.
     """
     if tables.file_changes is None:
         trees = tables.tree_entries if repos is None else keep_repos(tables.tree_entries, repos)
@@ -123,8 +125,10 @@ def change_counts(
     changes = tables.file_changes
     if repos is not None and "repo_id" in changes.columns:
         changes = keep_repos(changes, repos)
+    key = commit_key(changes)
+    if sieved:
+        changes = sift(changes, key_sieve(hits, key), key)
     if prune or not tables.unique_paths:
-        key = commit_key(changes)
         wanted = hits.select(*key)
         changes = changes.join(F.broadcast(wanted) if prune else wanted, key, "left_semi")
     return files_changed(changes, tables.unique_paths)
@@ -151,39 +155,46 @@ def filter_commits(
     only: DataFrame | None = None,
     with_count: bool = False,
     staged: bool = False,
+    prune: bool | None = None,
 ) -> DataFrame:
     """Commits of ``repos`` with any keyword and at most so many changed files.
 
     ``with_count`` adds ``files_changed``, which the plain report does not need. ``staged`` writes the
     commits with a keyword to the shared folder first and goes on from there: the messages are then searched
     once however often the commits are used, and their number is known. Trees always ask for it, since the
-    commits are needed for the parents, for the trees and for the result.
+    commits are needed for the parents, for the trees and for the result. ``prune`` says whether the keys of
+    staged hits fit a broadcast; ``None`` measures them.
     """
     staged = staged or tables.file_changes is None
     hits = keyword_commits(repos, keywords, tables, broadcast)
     if staged:
         hits = cut_lineage(hits)
     hits = with_readable_diff(hits, tables, only)
-    prune = staged and tables.file_changes is not None and fits_broadcast(hits.select(*commit_key(hits)))
-    counts = change_counts(hits, tables, only, prune)
+    known = staged and tables.file_changes is not None
+    if known and prune is None:
+        prune = fits_broadcast(hits.select(*commit_key(hits)))
+    counts = change_counts(hits, tables, only, bool(known and prune), bool(known and not prune))
     if with_count:
         return max_files(with_files_changed(hits, counts), max_modified_files)
     return within_file_limit(hits, counts, max_modified_files)
 
 
 def mined_commits(
-    query: MiningQuery, tables: MiningTables, with_count: bool = False, staged: bool = False
+    query: MiningQuery, tables: MiningTables, with_count: bool = False, staged: bool = False,
+    small: bool | None = None, prune: bool | None = None,
 ) -> DataFrame:
     """Kept commits of the search form, with the columns of their repository.
 
     One job is run here: it measures the repositories that pass domain and stars, which bounds the ones
-    chosen. If they fit, they are broadcast, and prune commits and changes in the scan.
+    chosen. If they fit, they are broadcast, and prune commits and changes in the scan. ``small`` and ``prune``
+    give the answer for the repositories and for staged hits instead.
     """
     candidates = candidate_repos(query, tables)
-    small = fits_broadcast(candidates)
+    if small is None:
+        small = fits_broadcast(candidates)
     return filter_commits(
         choose_repos(query, tables, small), query.keywords, query.max_modified_files, tables,
-        broadcast=small, only=candidates if small else None, with_count=with_count, staged=staged,
+        broadcast=small, only=candidates if small else None, with_count=with_count, staged=staged, prune=prune,
     )
 
 
