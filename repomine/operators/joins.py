@@ -34,13 +34,15 @@ def salted_join(
 
     ``spread_by`` must differ between the rows that share a key. The small side is repeated for every salt;
     each row of ``big`` has one salt, so the result is that of the plain join. That holds for joins that
-    give rows of ``big`` only with or without partners, not for those that keep rows of ``small``.
+    give rows of ``big`` only with or without partners, not for those that keep rows of ``small``. Spark's
+    estimate of a size leaves the repeats out, so the join is asked to sort: it must not be broadcast by it.
     """
     if how not in SALTABLE:
         raise ValueError(f"cannot salt a {how} join")
     salt = F.pmod(F.xxhash64(spread_by), F.lit(salts)).cast("int")
     every_salt = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    joined = big.withColumn("_salt", salt).join(small.withColumn("_salt", every_salt), [*on, "_salt"], how)
+    repeated = small.withColumn("_salt", every_salt).hint("merge")
+    joined = big.withColumn("_salt", salt).join(repeated, [*on, "_salt"], how)
     return joined.drop("_salt")
 
 
@@ -60,6 +62,15 @@ def small_side_join(
     return salted_join(big, small, on, spread_by, how)
 
 
+def measured_join(big: DataFrame, other: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Broadcast the other side when it was measured to fit, else shuffle both.
+
+    For sides that may have as many rows as ``big``, of which salted copies would be too many. Both have an
+    exchange of their own, so adaptive execution splits a hot key.
+    """
+    return big.join(F.broadcast(other) if fits_broadcast(other) else other.hint("merge"), on, how)
+
+
 def keep_repos(table: DataFrame, repos: DataFrame) -> DataFrame:
     """Rows of the given repositories, which were measured to fit a broadcast."""
     ids, on = bucketed(table, repos.select("repo_id"), ["repo_id"])
