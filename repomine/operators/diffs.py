@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from repomine.functions.buckets import bucketed
 from repomine.operators.history import parent_columns
-from repomine.operators.joins import small_side_join
+from repomine.operators.joins import measured_join
 from repomine.schemas import COMMIT_KEY, commit_key
 from repomine.session import cut_lineage
 
@@ -38,7 +38,7 @@ def tree_diff(commits: DataFrame, trees: DataFrame) -> DataFrame:
     )
     asked = asked.select("repo_id", "tree.hash", "child", "tree.is_new")
     asked, on = bucketed(trees, asked, COMMIT_KEY)
-    return _compared(trees.join(asked, on))
+    return _compared(measured_join(trees, asked, on))
 
 
 def _compared(sides: DataFrame, blobs: bool = False) -> DataFrame:
@@ -88,7 +88,7 @@ def changed_directories(commits: DataFrame, digests: DataFrame) -> DataFrame:
         F.explode(F.array(F.struct(F.col("child").alias("hash"), F.lit(True).alias("is_new")),
                           F.struct(F.col("parent").alias("hash"), F.lit(False).alias("is_new")))).alias("tree"),
     ).select("repo_id", "child", "parent", "tree.hash", "tree.is_new")
-    sides = digests.join(asked, COMMIT_KEY)
+    sides = measured_join(digests, asked, COMMIT_KEY)
     digest = F.struct("entries", "one", "two")
     both = sides.groupBy("repo_id", "child", "parent", "directory").agg(
         F.max(F.when(F.col("is_new"), digest)).alias("new"), F.max(F.when(~F.col("is_new"), digest)).alias("old")
@@ -117,7 +117,7 @@ def tree_diff_by_directory(
     ).select("repo_id", "child", "directory", "tree.hash", "tree.is_new")
     asked, on = bucketed(trees, asked, [*COMMIT_KEY, "directory"])
     placed = trees.withColumn("directory", path_directory(F.col("path"), depth))
-    return _compared(small_side_join(placed, asked, on, F.col("path")), blobs)
+    return _compared(measured_join(placed, asked, on), blobs)
 
 
 def _change_type(old: Column, new: Column) -> Column:

@@ -210,6 +210,22 @@ def test_salted_join_equals_plain_join(spark):
         assert rows(salted, *plain.columns) == rows(plain, *plain.columns)
 
 
+def test_salted_copies_are_not_broadcast(spark):
+    big, small = spark.range(50).selectExpr("id % 5 AS k", "id AS i"), spark.range(5).selectExpr("id AS k", "id AS v")
+    plan = joins.salted_join(big, small, ["k"], F.col("i"))._jdf.queryExecution().executedPlan().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin" in plan
+
+
+@pytest.mark.parametrize("form", [diffs.tree_diff, diffs.tree_diff_by_directory])
+def test_sides_of_trees_that_do_not_fit_are_shuffled(spark, monkeypatch, form):
+    monkeypatch.setattr(joins, "fits_broadcast", lambda df, max_bytes=0: False)
+    c = commit_table(spark, commit("r", "a", []), commit("r", "b", ["a"]))
+    t = spark.createDataFrame([("r", "a", "d/p", "1", "x"), ("r", "b", "d/p", "1", "y")], TREE_ENTRIES)
+    changed = form(c, t)
+    assert "Broadcast" not in changed._jdf.queryExecution().executedPlan().toString()
+    assert rows(changed, "hash", "path", "change_type") == [("b", "d/p", "MODIFY")]
+
+
 def test_fits_broadcast(spark):
     df = spark.createDataFrame([("a" * 100, 1), (None, 2)], "s string, n int")
     size = 100 + 2 * (8 + joins.ROW_OVERHEAD)
