@@ -6,6 +6,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
+from repomine.session import configure
 from repomine.streaming.refresh import landed_stream, mined_stream, run_to_end
 
 START = datetime(2024, 1, 1)
@@ -78,3 +79,9 @@ def test_heartbeats_are_not_commits(spark, tmp_path):
     mined = mined_stream(*streams, [""], 2)
     run_to_end(mined, f"{tmp_path}/rows", f"{tmp_path}/checkpoint")
     assert spark.read.schema(mined.schema).parquet(f"{tmp_path}/rows").count() == 0
+
+
+def test_state_is_not_counted_and_a_join_has_one_store(spark):
+    configure(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
+    assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
