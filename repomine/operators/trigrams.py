@@ -12,6 +12,8 @@ from repomine.operators.repos import DOMAIN_COLUMNS, match_domains
 from repomine.session import cut_lineage
 
 GRAM = 3
+# Repositories of which one task makes the trigrams: a row has tens of them, so a small file makes a large table.
+ROWS_A_TASK = 20_000
 
 
 def term_grams(term: str) -> list[str]:
@@ -24,13 +26,16 @@ def trigram_index(repos: DataFrame, columns: Sequence[str] = DOMAIN_COLUMNS, key
     """``gram`` and the key of every repository that holds it in one of the columns, each pair once.
 
     The lower-cased columns of a row are cut in one pass, parted by NUL. Rows without a key are left out. Of a
-    repository that is listed several times, the trigrams of all its rows are kept.
+    repository that is listed several times, the trigrams of all its rows are kept. The rows are counted and
+    dealt out first, so that no task holds the pairs of a whole split.
     """
     kinds = dict(repos.dtypes)
     fields = [F.array_join(c, "\0") if kinds[c].startswith("array") else F.col(c) for c in columns]
     low = F.lower(F.concat_ws("\0", *fields))
-    grams = F.array_distinct(F.regexp_extract_all(low, F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
-    held = repos.where(F.col(key).isNotNull()).select(F.explode(grams).alias("gram"), key)
+    grams = F.array_distinct(F.regexp_extract_all(F.col("_low"), F.lit(f"(?s)(?=(.{{{GRAM}}}))"), 1))
+    rows = repos.where(F.col(key).isNotNull()).select(low.alias("_low"), key)
+    tasks = max(repos.sparkSession.sparkContext.defaultParallelism, rows.count() // ROWS_A_TASK + 1)
+    held = rows.repartition(tasks).select(F.explode(grams).alias("gram"), key)
     return held.dropDuplicates(["gram", key])
 
 

@@ -92,3 +92,17 @@ def test_sieve_lets_few_changes_into_the_shuffle(spark):
     exact = tables.file_changes.join(hits.select("hash"), "hash", "left_semi").count()
     assert exact <= passed.count() <= exact * 1.05 + 20
     assert "BroadcastHashJoin" in passed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_of_a_shuffle_follow_the_data(spark):
+    """Their number was that of the setting, 4 here, so a task's rows grew with the table."""
+    rows = spark.range(8_000_000).select(F.xxhash64("id").alias("k"))
+    assert rows.groupBy("k").count().rdd.getNumPartitions() > 4
+
+
+def test_trigrams_are_made_in_tasks_of_so_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(trigrams, "ROWS_A_TASK", 10)
+    repos = spark.createDataFrame(repo_rows(), REPO_DDL).coalesce(1)
+    known = repos.where("repo_id is not null").count()
+    plan = trigrams.trigram_index(repos)._jdf.queryExecution().executedPlan().toString()
+    assert f"RoundRobinPartitioning({known // 10 + 1})" in plan
