@@ -23,7 +23,7 @@ def file_name(path: Column) -> Column:
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_replace(path, r"/?[^/]*$", "")
+    return F.left(path, F.length(path) - F.length(file_name(path)) - 1)
 
 
 def _pair(sides: DataFrame, keys: Sequence[str]) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,8 @@ def branched_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Commits of the repository of parts, and of how many directories one changes from a commit to the next.
 SNAPSHOTS = 20
 CHANGE_EVERY = 100
+# Parts of which one task makes the entries.
+PARTS_A_TASK = 50_000
 
 
 def snapshot_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +130,10 @@ def snapshot_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Of a hundred directories one has other contents than in the commit before, and two move away or back.
     """
-    files = table(spark, sf_dir, "part").select(
+    parts = table(spark, sf_dir, "part")
+    # A small file makes many entries: dealt out first, or the tasks of its few splits would make them all.
+    parts = parts.repartitionByRange(max(spark.sparkContext.defaultParallelism, parts.count() // PARTS_A_TASK + 1), "p_partkey")
+    files = parts.select(
         "*", F.explode(F.sequence(F.lit(0), F.lit(SNAPSHOTS - 1))).alias("k")
     )
     return files.selectExpr(

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from repomine.operators import diffs, health, history, joins, keywords, ordering
+from repomine.plans import roles
 from repomine.schemas import COMMIT_KEY, COMMITS, FILE_CHANGES, TREE_ENTRIES
 from repomine.sources.tables import land, scan_commits
 
@@ -272,3 +273,18 @@ def test_health_against_plain_python(spark):
         want.append((f"r{r}", len(times), len({t.date() for t in times}), max(gaps, default=-1)))
     found = health.repo_health(commit_table(spark, *data))
     assert rows(found, "repo_id", "commits", "active_days", "longest_gap_seconds") == sorted(want, key=str)
+
+
+def test_directories_of_odd_paths(spark):
+    paths = ["a/b/c/d/e/f", "a", "", "/a", "//a", "a/", "a//b", "/", "é/ü/x", "a\n/b", "a/\n", "a\n", "////////", None]
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    for depth in (1, 2, 4, 9):
+        old = F.array_join(F.slice(F.split(F.regexp_replace("path", r"/?[^/]*$", ""), "/"), 1, depth), "/")
+        new = df.select(old.alias("old"), diffs.path_directory(F.col("path"), depth).alias("new"))
+        assert all(r["old"] == r["new"] for r in new.collect())
+        assert "regexp" not in new.select("new")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_snapshot_entries_are_made_by_many_tasks(spark):
+    plan = roles.snapshot_trees(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "rangepartitioning(p_partkey" in plan
