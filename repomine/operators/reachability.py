@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from repomine.operators.joins import measured_join
 from repomine.schemas import COMMIT_KEY
 from repomine.session import cut_lineage
 
@@ -42,10 +43,13 @@ def _jumps(first: DataFrame, most: int) -> list[DataFrame]:
 
 
 def _ancestors(starts: DataFrame, jumps: list[DataFrame]) -> DataFrame:
-    """``starts`` and all their ancestors by first parents: the reach doubles with every jump."""
+    """``starts`` and all their ancestors by first parents: the reach doubles with every jump.
+
+    As long as what is reached fits a broadcast, the jumps are not shuffled.
+    """
     reached = starts
     for jump in jumps:
-        further = jump.join(reached, COMMIT_KEY).select("repo_id", F.col("to").alias("hash"))
+        further = measured_join(jump, reached, COMMIT_KEY).select("repo_id", F.col("to").alias("hash"))
         reached = cut_lineage(reached.union(further).distinct())
     return reached
 
@@ -58,8 +62,8 @@ def reachable_commits(commits: DataFrame, heads: DataFrame | None = None) -> Dat
 
     A line of first parents is walked by pointer doubling: after k rounds everything up to 2^k - 1 steps away
     is reached, 17 rounds for 100,000 commits. The other parents of all merges met are the starts of the next
-    walk; there are as many walks as branches are nested within branches, not as there are merges. The rounds
-    end with the number of commits of the largest repository, so a cycle, which only broken data has, ends
+    walk; there are as many walks as branches are nested within branches, not as there are merges. A walk ends
+    at what is reached already, so it has jumps between the other commits only. The rounds end with the number of commits of the largest repository, so a cycle, which only broken data has, ends
     too. Parents that the table does not hold, heads among them, are passed over. Every round is written.
     """
     heads = newest_commits(commits) if heads is None else heads
@@ -67,12 +71,14 @@ def reachable_commits(commits: DataFrame, heads: DataFrame | None = None) -> Dat
     first = edges.where("pos = 0").select(*COMMIT_KEY, "to")
     others = edges.where("pos > 0").select(*COMMIT_KEY, "to")
     most = commits.groupBy("repo_id").count().agg(F.max("count")).first()[0] or 0
-    jumps = _jumps(first, most)
     starts = cut_lineage(heads.select(*COMMIT_KEY).join(commits.select(*COMMIT_KEY), COMMIT_KEY, "left_semi").distinct())
     reached = starts.limit(0)
     while not starts.isEmpty():
-        grown = _ancestors(starts, jumps)
+        grown = _ancestors(starts, _jumps(first, most))
         reached = cut_lineage(reached.union(grown).distinct())
         merged = others.join(grown, COMMIT_KEY, "left_semi").select("repo_id", F.col("to").alias("hash")).distinct()
         starts = cut_lineage(merged.join(reached, COMMIT_KEY, "left_anti"))
+        if not starts.isEmpty():
+            open_ends = first.join(reached, COMMIT_KEY, "left_anti")
+            first = cut_lineage(open_ends.join(reached.withColumnRenamed("hash", "to"), _TO, "left_anti").select(*first.columns))
     return commits.join(reached, COMMIT_KEY, "left_semi")
