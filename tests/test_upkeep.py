@@ -191,3 +191,14 @@ def test_renames_of_compared_trees(spark):
     assert sorted(map(tuple, changes.select("path", "change_type", "blob_id").collect())) == [
         ("a/f", "DELETE", "x"), ("a/g", "MODIFY", "z"), ("b/f", "ADD", "x")]
     assert [tuple(r)[2:4] for r in renames.renamed_paths(changes).collect()] == [("a/f", "b/f")]
+
+
+def test_later_walks_have_jumps_between_unreached_commits(spark, monkeypatch):
+    edges = "repo_id string, hash string, parents array<string>, committed_at long"
+    rows = [("r", str(i), [str(i - 1)] if i else [], i) for i in range(20)]
+    rows += [("r", "s1", ["3"], 4), ("r", "s2", ["s1"], 5), ("r", "m", ["19", "s2"], 30), ("r", "lost", ["2"], 3)]
+    seen, real = [], reachability._jumps
+    monkeypatch.setattr(reachability, "_jumps", lambda first, most: seen.append(first.count()) or real(first, most))
+    found = reachability.reachable_commits(spark.createDataFrame(rows, edges))
+    assert sorted(r["hash"] for r in found.collect()) == sorted(r[1] for r in rows if r[1] != "lost")
+    assert seen == [23, 1]
