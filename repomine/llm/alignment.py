@@ -6,6 +6,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -56,8 +57,10 @@ class Aligner:
         self.bytes_b = [self._piece_bytes(i) for i in range(self.b.vocab_size())]
         self.sizes_a, self.sizes_b = (np.array(list(map(len, t)), np.int64) for t in (self.bytes_a, self.bytes_b))
         # How a token is written in the list of groups, before another of its group and as the last one.
-        self.spelled = [b"%d%c" % (i, c) for i in range(len(self.bytes_a)) for c in b",|"]
-        self.spelled += [b"%d%c" % (i, c) for i in range(len(self.bytes_b)) for c in b",;"]
+        # All are filled up with zero bytes to one width, a power of two.
+        spelled = [b"%d%c" % (i, c) for i in range(len(self.bytes_a)) for c in b",|"]
+        spelled += [b"%d%c" % (i, c) for i in range(len(self.bytes_b)) for c in b",;"]
+        self.spelled = np.array(spelled, f"S{1 << (max(map(len, spelled)) - 1).bit_length()}")
 
     def _piece_bytes(self, i: int) -> bytes:
         piece = self.b.id_to_piece(i)
@@ -77,46 +80,60 @@ class Aligner:
         """The measures of several texts, and the linked pairs of each with the number of their occurrences.
 
         The tokens of all texts cover one sequence of bytes twice. Its pieces between neighbouring ends of
-        either side are the links, one each, and the ends both sides have close the groups.
+        either side are the links, one each, and the ends both sides have close the groups. The ends are marked
+        in an array of those bytes, and tokens, links and groups are counted along the marks.
         """
         lists = [self.tokens(t) for t in texts]
         n_a, n_b = (np.array([len(x[side]) for x in lists], np.int64) for side in (0, 1))
-        a, b = (np.array([i for x in lists for i in x[side]], np.int64) for side in (0, 1))
+        a, b = (
+            np.fromiter(chain.from_iterable(x[side] for x in lists), np.int64, n.sum()) for side, n in enumerate((n_a, n_b))
+        )
+        # What ends at a byte: 1 a token of A, 2 one of B, 3 both. No set is sorted or searched.
         ends_a, ends_b = np.cumsum(self.sizes_a[a]), np.cumsum(self.sizes_b[b])
-        common = np.intersect1d(ends_a, ends_b, assume_unique=True)
-        group_a, group_b = np.searchsorted(common, ends_a), np.searchsorted(common, ends_b)
+        marks = np.zeros(ends_a[-1] + 1 if len(a) else 1, np.uint8)
+        marks[ends_a] = 1
+        marks[ends_b] += 2
+        cuts = np.flatnonzero(marks)
+        marks = marks[cuts]
+        # Tokens and groups that end up to each cut.
+        until_a, until_b = np.cumsum(marks & 1, dtype=np.int64), np.cumsum(marks >> 1, dtype=np.int64)
+        closing = np.flatnonzero(marks == 3)
+
+        # Where the texts stop among the cuts; texts without tokens are empty stretches.
         stops_a, stops_b = np.cumsum(n_a), np.cumsum(n_b)
-        # Ends of the texts in bytes; texts without tokens are empty stretches.
-        text_end = np.concatenate(([0], ends_a))[stops_a]
-        groups_to = np.searchsorted(common, text_end, "right")
-        n_groups = np.diff(groups_to, prepend=0)
-
-        cuts = np.union1d(ends_a, ends_b)
-        owner = np.searchsorted(text_end, cuts)
-        pairs = (a[np.searchsorted(ends_a, cuts)] << 32) | b[np.searchsorted(ends_b, cuts)]
-        order = np.lexsort((pairs, owner))
-        pairs, owner = pairs[order], owner[order]
-        new = np.ones(len(pairs), bool)
-        new[1:] = (pairs[1:] != pairs[:-1]) | (owner[1:] != owner[:-1])
+        link_stops = np.searchsorted(cuts, np.concatenate(([0], ends_a))[stops_a], "right")
+        n_links = np.diff(link_stops, prepend=0)
+        n_groups = np.diff(np.searchsorted(closing, link_stops), prepend=0)
+
+        # Text, token of A and token of B of each link in one number, so that equal ones are sorted together.
+        bits_a, bits_b = (len(t).bit_length() for t in (self.bytes_a, self.bytes_b))
+        keys = np.repeat(np.arange(len(texts)) << (bits_a + bits_b), n_links)
+        keys |= (a[until_a - (marks & 1)] << bits_b) | b[until_b - (marks >> 1)]
+        keys.sort()
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
         places = np.flatnonzero(new)
-        times = np.diff(np.append(places, len(pairs)))
-        pair_stops = np.searchsorted(owner[places], np.arange(len(texts)), "right")
+        times = np.diff(np.append(places, len(keys)))
+        pair_stops = np.searchsorted(places, link_stops)
+        keys = keys[places] & ((1 << (bits_a + bits_b)) - 1)
+        pairs = ((keys >> bits_b) << 32) | (keys & ((1 << bits_b) - 1))
 
         # A token stands after those of its side and the tokens of the other side in the groups before.
-        last_a, last_b = np.isin(ends_a, common), np.isin(ends_b, common)
-        b_before = np.searchsorted(group_b, group_a)
-        a_until = np.searchsorted(group_a, group_b, "right")
+        closed_a, closed_b = until_a[closing], until_b[closing]
+        in_a, in_b = np.diff(closed_a, prepend=0), np.diff(closed_b, prepend=0)
+        code_a, code_b = 2 * a, 2 * b + 2 * len(self.bytes_a)
+        code_a[closed_a - 1] += 1
+        code_b[closed_b - 1] += 1
         codes = np.empty(len(a) + len(b), np.int64)
-        codes[np.arange(len(a)) + b_before] = 2 * a + last_a
-        codes[np.arange(len(b)) + a_until] = 2 * len(self.bytes_a) + 2 * b + last_b
-        codes, stops = codes.tolist(), (stops_a + stops_b).tolist()
+        codes[np.arange(len(a)) + np.repeat(closed_b - in_b, in_a)] = code_a
+        codes[np.arange(len(b)) + np.repeat(closed_a, in_b)] = code_b
         digests = []
-        for i, stop in enumerate(stops):
-            written = b"".join(map(self.spelled.__getitem__, codes[stops[i - 1] if i else 0 : stop]))
+        for part in np.split(codes, (stops_a + stops_b)[:-1]):
+            written = self.spelled[part].tobytes().translate(None, b"\0")
             digests.append(hashlib.sha256(written[:-1]).hexdigest() if written else "")
         return {
-            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": np.bincount(owner, minlength=len(texts)),
-            "groups_sha256": digests, "pairs": pairs[places], "times": times, "pair_stops": pair_stops,
+            "n_a": n_a, "n_b": n_b, "n_groups": n_groups, "n_links": n_links,
+            "groups_sha256": digests, "pairs": pairs, "times": times, "pair_stops": pair_stops,
         }
 
 
