@@ -22,6 +22,8 @@ SQL_SETTINGS = {
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    # What the stores of an executor hold in memory is bounded for all of them, not for each.
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     # Counting the rows of the state would look up every key before it is written.
     "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows": "false",
     # The four stores of a join of streams are column families of one.

@@ -42,28 +42,59 @@ def matching_stream(
 
 def mined_stream(
     commits: DataFrame, changes: DataFrame, keywords: Sequence[str], max_modified_files: int,
-    ingested: str = "ingested_at", late: str = "1 day", apart: str = "1 hour",
+    ingested: str = "ingested_at", late: str = "1 day", apart: str = "1 hour", parts: int = 1,
 ) -> DataFrame:
     """Commits with any keyword that change at most so many files, with ``files_changed``; roots always pass.
 
     Two streams with an ingest time: commits, and changed files (``[repo_id,] hash, path``) that are ingested
     at most ``apart`` before or after their commit. Rows come at most ``late`` behind the newest of their
-    stream; later ones are dropped. A commit is given out once both streams are past its time by ``late`` and
-    ``apart``, and then its state goes, so state is bounded by what is ingested in that time. Repeated
-    deliveries count once. Time moves by the rows of either stream, of the commits by those with a keyword;
-    a row without hash is a heartbeat, which only moves it. After a restart both streams must bring a row
-    before it moves again.
+    stream; later ones are dropped, of the changes those whose window is closed. Repeated deliveries count once.
+
+    Commits and changes of a key meet in one grouping by windows of ingest time, so state is a row for each key
+    and window, not for each change. A window is as long as ``late`` (at least twice ``apart``) and takes the
+    changes within ``apart`` of its ends too. Its commits are given out once both streams are past its end by
+    ``late`` and ``apart``, and then its state goes, so state is bounded by what is ingested in that time. A row
+    holds all changes of a commit; where one may have millions, deal them over so many ``parts`` by path, which
+    are added up in a second grouping. Time moves by the rows of either stream, of the commits by those with a
+    keyword; a row without hash is a heartbeat, which only moves it. After a restart both streams must bring a
+    row before it moves again.
     """
     key = commit_key(changes)
     hits = parent_columns(commits).where(contains_any(F.col("message"), keywords) | F.col("hash").isNull())
     hits = hits.select(*COMMIT_KEY, "is_root", truncate_text(F.col("message")).alias("message"), ingested)
     hits = hits.withWatermark(ingested, late).dropDuplicatesWithinWatermark(COMMIT_KEY)
-    files = changes.select(*[F.col(c).alias(f"_{c}") for c in [*key, "path"]], F.col(ingested).alias("_at"))
-    files = files.withWatermark("_at", late).dropDuplicatesWithinWatermark([f"_{c}" for c in [*key, "path"]])
-    near = F.expr(f"_at BETWEEN {ingested} - INTERVAL {apart} AND {ingested} + INTERVAL {apart}")
-    same = functools.reduce(operator.and_, [F.col(c) == F.col(f"_{c}") for c in key])
-    counted = hits.join(files, same & near, "left_outer").groupBy(*hits.columns).agg(F.count("_path").alias("files_changed"))
-    return max_files(counted.where(F.col("hash").isNotNull()), max_modified_files)
+    # As values, not as conditions on rows: those would be moved before the watermark, and heartbeats be lost.
+    hit = F.when(F.col("hash").isNotNull(), F.struct(*hits.columns))
+    known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in [*key, "path"]])
+    at, none = F.col(ingested), F.lit(None)
+    file = F.when(known, F.struct("path", at.alias("at")))
+    part = F.pmod(F.xxhash64("path"), F.lit(parts))
+    files = changes.withWatermark(ingested, late)
+    files = files.select(*key, at, none.alias("hit"), file.alias("file"), part.alias("part"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
+    rows = hits.select(*key, at, hit.alias("hit"), none.alias("file"), every.alias("part")).unionAll(files)
+    around, near = _micros(commits.sparkSession, apart), F.expr(f"INTERVAL {apart}")
+    step = max(_micros(commits.sparkSession, late), 2 * around, 1)
+    rows = rows.withColumn("window", F.window(at, *[f"{n} microseconds" for n in (step + 2 * around, step, -around)]))
+    # The windows overlap; a commit is in the one that has all that is near it.
+    inside = (at >= F.col("window.start") + near) & (at < F.col("window.end") - near)
+    met = rows.groupBy(*key, "part", "window").agg(
+        F.collect_list(F.when(inside, F.col("hit"))).alias("hits"), F.collect_set("file").alias("files")
+    )
+    met = met.select("window", F.explode("hits").alias("hit"), "files")
+    one = F.col(f"hit.{ingested}")
+    found = F.filter("files", lambda f: f["at"].between(one - near, one + near))
+    paths = F.array_distinct(F.transform(found, lambda f: f["path"]))
+    counted = met.select("window", "hit", F.size(paths).cast("bigint").alias("files_changed"))
+    if parts > 1:
+        counted = counted.groupBy("window", "hit").agg(F.sum("files_changed").alias("files_changed"))
+    return max_files(counted.select("hit.*", "files_changed"), max_modified_files)
+
+
+def _micros(spark: SparkSession, interval: str) -> int:
+    """A month counts 31 days, as in a watermark."""
+    start = "TIMESTAMP '2000-01-01'"
+    return spark.sql(f"SELECT timestampdiff(MICROSECOND, {start}, {start} + INTERVAL {interval})").first()[0]
 
 
 def run_to_end(stream: DataFrame, out: str, checkpoint: str) -> None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
@@ -85,3 +86,88 @@ def test_state_is_not_counted_and_a_join_has_one_store(spark):
     configure(spark)
     assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows") == "false"
     assert spark.conf.get("spark.sql.streaming.join.stateFormatVersion") == "3"
+
+
+def brute(commits, changes, limit, key):
+    """Kept (repo_id, hash, files_changed), row by row."""
+    kept = []
+    for repo, name, parents, message, when in commits:
+        if message and "fix" in message and name is not None:
+            own = {
+                path for r, h, path, seen in changes
+                if h == name and path is not None and (key == ["hash"] or r is not None and r == repo)
+                and abs(seen - when) <= timedelta(hours=1)
+            }
+            if not parents or len(own) <= limit:
+                kept.append((repo, name, len(own)))
+    return sorted(kept, key=str)
+
+
+def streamed(spark, top, commits, changes, key, **options):
+    top.mkdir()
+    end = at(1000)
+    tables = {
+        "commits": (commits, (None, None, None, None, end), COMMITS),
+        "changes": (changes, (None, None, None, end), CHANGES),
+    }
+    progress, streams = [], []
+    for name, (rows, _, ddl) in tables.items():
+        spark.createDataFrame(rows, ddl).coalesce(1).write.parquet(f"{top}/{name}")
+        streams.append(landed_stream(spark, f"{top}/{name}", spark.createDataFrame([], ddl).schema))
+    if key == ["hash"]:
+        streams[1] = streams[1].drop("repo_id")
+    mined = mined_stream(*streams, ["fix"], 2, late="4 hours", apart="1 hour", **options)
+    for beat in (False, True):
+        for name, (_, row, ddl) in tables.items():
+            if beat:
+                spark.createDataFrame([row], ddl).coalesce(1).write.mode("append").parquet(f"{top}/{name}")
+        query = (
+            mined.writeStream.format("parquet").option("checkpointLocation", f"{top}/checkpoint")
+            .trigger(availableNow=True).start(f"{top}/rows")
+        )
+        query.awaitTermination()
+        progress += query.recentProgress
+    rows = spark.read.schema(mined.schema).parquet(f"{top}/rows").collect()
+    return sorted(((r["repo_id"], r["hash"], r["files_changed"]) for r in rows), key=str), progress
+
+
+def test_changes_over_the_edges_of_windows(spark, tmp_path):
+    rng = random.Random(5)
+    # Half hours: an hour before and after, and the edges of the windows of four hours, are met exactly.
+    messages = ["a fix", "a feature", None]
+    commits = [
+        (
+            f"r{i % 3}" if i % 9 else None, f"h{i // 2}", [] if i % 5 == 0 else ["p"], messages[i % 7 % 3],
+            at(rng.randrange(1, 40) / 2),
+        )
+        for i in range(60)
+    ]
+    times = {h: when for _, h, _, _, when in commits}
+    changes = [
+        (
+            rng.choice(["r0", "r1", "r2", None]), h, rng.choice(["a", "b", "c", "d", None]),
+            times[h] + timedelta(hours=rng.randrange(-3, 4) / 2),
+        )
+        for h in times for _ in range(8)
+    ]
+    changes = [c for c in changes if c[3] > START] + changes[:20]
+    for key in (["hash"], ["repo_id", "hash"]):
+        want = brute(commits, changes, 2, key)
+        for parts in (1, 3):
+            got, _ = streamed(spark, tmp_path / f"{len(key)}_{parts}", commits, changes, key, parts=parts)
+            assert got == want
+        assert any(n for *_, n in want)
+
+
+def test_state_is_a_row_for_a_commit_not_for_a_change(spark, tmp_path):
+    commits = [("r", f"h{i}", [], "a fix", at(1)) for i in range(10)]
+    changes = [("r", f"h{i}", f"p{k}", at(1)) for i in range(10) for k in range(50)]
+    got, progress = streamed(spark, tmp_path / "state", commits, changes, ["repo_id", "hash"])
+    assert got == sorted(("r", f"h{i}", 50) for i in range(10))
+    # The commits seen, and a row for each with its changes; two more are the heartbeats.
+    assert sum(o["numRowsUpdated"] for p in progress for o in p["stateOperators"]) <= 2 * 10 + 2 * 2
+
+
+def test_memory_of_state_is_bounded_for_an_executor(spark):
+    configure(spark)
+    assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
