@@ -28,7 +28,7 @@ from repomine.sources.search import (
 )
 from repomine.sources.search import scan_search_files as read_search_files
 from repomine.sources.search import scan_search_pages as read_search_pages
-from repomine.streaming.refresh import landed_stream, matching_stream, mined_stream, run_to_end
+from repomine.streaming.refresh import landed_stream, large_commits, matching_stream, mined_stream, run_to_end
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -925,7 +925,11 @@ def stream_mined_commits(spark, sf_dir):
         "lineitem", "CAST(l_orderkey AS STRING) AS hash", "CAST(l_partkey AS STRING) AS path",
         "timestamp_seconds(coalesce(l_orderkey + l_linenumber, l_partkey)) AS ingested_at",
     )
-    mined = mined_stream(commits, changes, PRIORITIES, FLAGSHIP.max_modified_files)
+    large = large_commits(roles.table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("hash")))
+    large = cut_lineage(large.withColumn("hash", F.col("hash").cast("string")))
+    mined = mined_stream(
+        commits, changes, PRIORITIES, FLAGSHIP.max_modified_files, large=None if large.isEmpty() else large
+    )
     run_to_end(mined, f"{out}/rows", f"{out}/checkpoint")
     late = 1 << 40  # seconds, far behind every order
     heartbeat = {"orders": {"o_custkey": late}, "lineitem": {"l_partkey": late}}

@@ -17,6 +17,9 @@ from repomine.operators.history import new_commits, parent_columns
 from repomine.schemas import COMMIT_KEY, COMMITS, commit_key
 from repomine.sources.tables import land
 
+# Changes of a commit in one row of state: some 100 bytes each, held in memory several times over.
+MOST_CHANGES = 200_000
+
 
 def landed_stream(
     spark: SparkSession, path: str, schema: StructType = COMMITS, fmt: str = "parquet", max_files: int = 10_000
@@ -42,7 +45,8 @@ def matching_stream(
 
 def mined_stream(
     commits: DataFrame, changes: DataFrame, keywords: Sequence[str], max_modified_files: int,
-    ingested: str = "ingested_at", late: str = "1 day", apart: str = "1 hour", parts: int = 1,
+    ingested: str = "ingested_at", late: str = "1 day", apart: str = "1 hour",
+    large: DataFrame | None = None,
 ) -> DataFrame:
     """Commits with any keyword that change at most so many files, with ``files_changed``; roots always pass.
 
@@ -53,11 +57,13 @@ def mined_stream(
     Commits and changes of a key meet in one grouping by windows of ingest time, so state is a row for each key
     and window, not for each change. A window is as long as ``late`` (at least twice ``apart``) and takes the
     changes within ``apart`` of its ends too. Its commits are given out once both streams are past its end by
-    ``late`` and ``apart``, and then its state goes, so state is bounded by what is ingested in that time. A row
-    holds all changes of a commit; where one may have millions, deal them over so many ``parts`` by path, which
-    are added up in a second grouping. Time moves by the rows of either stream, of the commits by those with a
-    keyword; a row without hash is a heartbeat, which only moves it. After a restart both streams must bring a
-    row before it moves again.
+    ``late`` and ``apart``, and then its state goes, so state is bounded by what is ingested in that time. Time
+    moves by the rows of either stream, of the commits by those with a keyword; a row without hash is a
+    heartbeat, which only moves it. After a restart both streams must bring a row before it moves again.
+
+    A row holds all changes of a commit. Name those that have too many for that in ``large``, as
+    :func:`large_commits` finds them: they are dealt over ``parts`` by path and added up in a second grouping.
+    The table must stay the same as long as the checkpoint is used.
     """
     key = commit_key(changes)
     hits = parent_columns(commits).where(contains_any(F.col("message"), keywords) | F.col("hash").isNull())
@@ -68,11 +74,14 @@ def mined_stream(
     known = functools.reduce(operator.and_, [F.col(c).isNotNull() for c in [*key, "path"]])
     at, none = F.col(ingested), F.lit(None)
     file = F.when(known, F.struct("path", at.alias("at")))
-    part = F.pmod(F.xxhash64("path"), F.lit(parts))
-    files = changes.withWatermark(ingested, late)
-    files = files.select(*key, at, none.alias("hit"), file.alias("file"), part.alias("part"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
-    rows = hits.select(*key, at, hit.alias("hit"), none.alias("file"), every.alias("part")).unionAll(files)
+    files = changes.withWatermark(ingested, late).withColumn("file", file)
+    if large is not None:
+        hits, files = (df.join(F.broadcast(large), key, "left") for df in (hits, files))
+    parts = F.lit(1) if large is None else F.coalesce("parts", F.lit(1))
+    every, part = F.explode(F.sequence(F.lit(0), parts - 1)), F.pmod(F.xxhash64("file.path"), parts)
+    rows = hits.select(*key, at, hit.alias("hit"), none.alias("file"), every.alias("part")).unionAll(
+        files.select(*key, at, none.alias("hit"), "file", part.alias("part"))
+    )
     around, near = _micros(commits.sparkSession, apart), F.expr(f"INTERVAL {apart}")
     step = max(_micros(commits.sparkSession, late), 2 * around, 1)
     rows = rows.withColumn("window", F.window(at, *[f"{n} microseconds" for n in (step + 2 * around, step, -around)]))
@@ -86,11 +95,22 @@ def mined_stream(
     found = F.filter("files", lambda f: f["at"].between(one - near, one + near))
     paths = F.array_distinct(F.transform(found, lambda f: f["path"]))
     counted = met.select("window", "hit", F.size(paths).cast("bigint").alias("files_changed"))
-    if parts > 1:
+    if large is not None:
         counted = counted.groupBy("window", "hit").agg(F.sum("files_changed").alias("files_changed"))
     return max_files(counted.select("hit.*", "files_changed"), max_modified_files)
 
 
+def large_commits(changes: DataFrame, most: int = MOST_CHANGES) -> DataFrame:
+    """Commits with more changes, repeats included, than a row of state should hold, and ``parts`` that do."""
+    # Keys are counted by 65,536 buckets first, which hardly shuffles; only those of full buckets by themselves.
+    key, parts = commit_key(changes), F.count("*").alias("parts")
+    placed = changes.select(*key, F.pmod(F.xxhash64(*key), F.lit(1 << 16)).alias("_bucket"))
+    full = placed.groupBy("_bucket").agg(parts).where(F.col("parts") > most).select("_bucket")
+    some = placed.join(F.broadcast(full), "_bucket", "left_semi")
+    counts = some.groupBy(*key).agg(parts).where(F.col("parts") > most)
+    return counts.withColumn("parts", F.ceil(F.col("parts") / most).cast("int"))
+
+
 def _micros(spark: SparkSession, interval: str) -> int:
     """A month counts 31 days, as in a watermark."""
     start = "TIMESTAMP '2000-01-01'"

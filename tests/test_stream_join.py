@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 from pyspark.sql import functions as F
 
 from repomine.session import configure
-from repomine.streaming.refresh import landed_stream, mined_stream, run_to_end
+from repomine.streaming.refresh import landed_stream, large_commits, mined_stream, run_to_end
 
 START = datetime(2024, 1, 1)
 COMMITS = "repo_id string, hash string, parents array<string>, message string, ingested_at timestamp"
@@ -153,8 +153,10 @@ def test_changes_over_the_edges_of_windows(spark, tmp_path):
     changes = [c for c in changes if c[3] > START] + changes[:20]
     for key in (["hash"], ["repo_id", "hash"]):
         want = brute(commits, changes, 2, key)
-        for parts in (1, 3):
-            got, _ = streamed(spark, tmp_path / f"{len(key)}_{parts}", commits, changes, key, parts=parts)
+        found = large_commits(spark.createDataFrame(changes, CHANGES).select(*key), 3)
+        assert max(r["parts"] for r in found.collect()) >= 2
+        for name, large in (("whole", None), ("dealt", found)):
+            got, _ = streamed(spark, tmp_path / f"{len(key)}_{name}", commits, changes, key, large=large)
             assert got == want
         assert any(n for *_, n in want)
 
